@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabulens.session import small_table
 
 GRID_POINTS = 60
 
 
-def grid_point(index: int, low: Column, high: Column) -> Column:
-    return low + F.lit(index / (GRID_POINTS - 1)) * (high - low)
+def grid(low: float, high: float) -> list[float]:
+    return [low + i / (GRID_POINTS - 1) * (high - low) for i in range(GRID_POINTS)]
 
 
 def density(
@@ -22,36 +22,31 @@ def density(
     """(grp, point, x, density) with 60 points per group from its minimum to its maximum.
 
     ``groups`` lists (grp, min, max, sample std, n) of at most a dozen groups; ``values``
-    holds (grp, value). Every row adds its 60 kernel terms to its group's running sums in
-    place: rows are neither multiplied nor moved, and each task sends one row per group.
-    Groups with fewer than two rows or no spread have no curve.
+    holds (grp, value). A row meets the 60 points inside the scan's pipeline and is summed
+    up at once, so each task sends 60 short rows per group. Groups with fewer than two rows
+    or no spread have no curve.
     """
     usable = [
-        (grp, low, high, std * n ** (-1 / 5), n) for grp, low, high, std, n in groups if n > 1 and std
+        (number, name, n, std * n ** (-1 / 5), grid(low, high))
+        for number, (name, low, high, std, n) in enumerate(groups)
+        if n > 1 and std
     ]
     table = small_table(
-        values.sparkSession, usable, "grp string, low double, high double, width double, size bigint"
+        values.sparkSession,
+        usable,
+        "number int, grp string, size bigint, width double, grid array<double>",
     )
-    value, low, high, width = (F.col(c) for c in ("value", "low", "high", "width"))
-
-    def kernel(index: int) -> Column:
-        z = (value - grid_point(index, low, high)) / width
-        return F.sum(F.exp(F.lit(-0.5) * z * z)).alias(f"k{index}")
-
-    sums = (
+    z = (F.col("value") - F.col("x")) / F.col("width")
+    kernels = (
         values.join(F.broadcast(table), "grp")
-        .groupBy("grp", "low", "high", "width", "size")
-        .agg(*[kernel(i) for i in range(GRID_POINTS)])
+        .select("number", "value", "width", F.posexplode("grid").alias("point", "x"))
+        .groupBy("number", "point")
+        .agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("total"))
     )
-    scale = F.col("size") * width * F.lit(math.sqrt(2 * math.pi))
-    curve = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("point"),
-                grid_point(i, low, high).alias("x"),
-                (F.col(f"k{i}") / scale).alias("density"),
-            )
-            for i in range(GRID_POINTS)
-        ]
+    scale = F.col("size") * F.col("width") * F.lit(math.sqrt(2 * math.pi))
+    return kernels.join(F.broadcast(table), "number").select(
+        "grp",
+        "point",
+        F.element_at("grid", F.col("point") + 1).alias("x"),
+        (F.col("total") / scale).alias("density"),
     )
-    return sums.select("grp", F.inline(curve))
