@@ -2,83 +2,134 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence, Set
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.session import small_table
 
-# Pairs summed in one job. Columns are taken in tiles, so that a job reads few of them.
-TILE = 12
+# Up to this many sums fit one generated aggregate. Wider tables multiply blocks of rows as
+# matrices instead, so that they too are read once.
+MOST_SUMS = 120
 
+# A spread this small next to the values' distance from the centre is rounding noise.
+NOISE = 1e-12
 
-def pair_expressions(a: Column, b: Column, tag: str) -> list[Column]:
-    """Sums over the rows where both sides are present."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return [
-        F.count(x).alias(f"n_{tag}"),
-        F.covar_pop(x, y).alias(f"c_{tag}"),
-        F.stddev_pop(x).alias(f"sx_{tag}"),
-        F.stddev_pop(y).alias(f"sy_{tag}"),
-    ]
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def correlation_pairs(df: DataFrame, values: Mapping[int, Column]) -> DataFrame:
+def correlation_pairs(
+    df: DataFrame,
+    values: Mapping[int, Column],
+    most_sums: int = MOST_SUMS,
+) -> DataFrame:
     """(pos_a, pos_b, r, n) for every pair of columns, pos_a before pos_b.
 
     ``r`` uses the rows where both values are present; it is NULL for fewer than two rows
-    or a constant side. All pairs of a tile are summed in one scan that reads only the
-    tile's columns, and each task sends a single row.
+    or a constant side. One scan finds the means, a second one the sums around them, and
+    each task sends one row per pair at most.
     """
     positions = sorted(values)
-    tiles = [positions[i : i + TILE] for i in range(0, len(positions), TILE)]
-    parts = []
-    for i, left in enumerate(tiles):
-        for right in tiles[i:]:
-            pairs = (
-                list(combinations(left, 2))
-                if left is right
-                else [(a, b) for a in left for b in right]
-            )
-            if pairs:
-                parts.append(_pair_block(df, values, pairs))
-    if not parts:
+    if len(positions) < 2:
         return small_table(df.sparkSession, [], "pos_a int, pos_b int, r double, n bigint")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    facts = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.avg(values[pos]).alias(f"mean{pos}") for pos in positions],
+        *[F.count(values[pos]).alias(f"n{pos}") for pos in positions],
+    ).first()
+    centred = df.select(
+        *[(values[pos] - F.lit(facts[f"mean{pos}"] or 0.0)).alias(f"v{pos}") for pos in positions]
+    )
+    complete = {pos for pos in positions if facts[f"n{pos}"] == facts["rows"]}
+    if _number_of_sums(len(positions), len(complete)) <= most_sums:
+        sums = _sums_by_expression(centred, positions, complete)
+    else:
+        sums = _sums_by_block(centred, positions)
+    return sums.select("pos_a", "pos_b", _pearson().alias("r"), "n")
+
+
+def _number_of_sums(columns: int, complete: int) -> int:
+    pairs = columns * (columns - 1) // 2
+    shared = complete * (complete - 1) // 2
+    return 3 * complete + pairs + 5 * (pairs - shared)
+
 
+def _pearson() -> Column:
+    n, sx, sy, sxx, syy, sxy = (F.col(name) for name in SUMS)
+    x_spread, y_spread = n * sxx - sx * sx, n * syy - sy * sy
+    varies = (n > 1) & (x_spread > NOISE * n * sxx) & (y_spread > NOISE * n * syy)
+    # NULL instead of a spread of zero keeps the division safe
+    scale = F.when(varies, F.sqrt(x_spread) * F.sqrt(y_spread))
+    r = (n * sxy - sx * sy) / scale
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
 
-def _pair_block(
-    df: DataFrame, values: Mapping[int, Column], pairs: Sequence[tuple[int, int]]
+
+def _sums_by_expression(
+    centred: DataFrame, positions: Sequence[int], complete: Set[int]
 ) -> DataFrame:
-    used = sorted({pos for pair in pairs for pos in pair})
-    numbers = df.select(*[values[pos].alias(f"v{pos}") for pos in used])
-    sums = []
-    for a, b in pairs:
-        sums += pair_expressions(F.col(f"v{a}"), F.col(f"v{b}"), f"{a}_{b}")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("pos_a"),
-                F.lit(b).alias("pos_b"),
-                _pearson(f"{a}_{b}").alias("r"),
-                F.col(f"n_{a}_{b}").alias("n"),
-            )
-            for a, b in pairs
-        ]
-    )
-    return numbers.agg(*sums).select(F.inline(rows))
+    """Sums of products in one aggregate.
 
+    Two columns without gaps share their own sums and add only their product; any other
+    pair sums the rows where neither side is missing.
+    """
 
-def _pearson(tag: str) -> Column:
-    spread = F.col(f"sx_{tag}") * F.col(f"sy_{tag}")
-    r = F.col(f"c_{tag}") / F.nullif(spread, F.lit(0.0))
-    # rounding may leave the range by a hair
-    return F.when(F.col(f"n_{tag}") > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    def v(pos: int) -> Column:
+        return F.col(f"v{pos}")
+
+    sums = [
+        term.alias(f"{name}_{pos}")
+        for pos in complete
+        for name, term in (
+            ("n", F.count(v(pos))), ("s", F.sum(v(pos))), ("q", F.sum(v(pos) * v(pos))),
+        )
+    ]
+    rows = []
+    for a, b in combinations(positions, 2):
+        sums.append(F.sum(v(a) * v(b)).alias(f"sxy_{a}_{b}"))
+        names = {"sxy": f"sxy_{a}_{b}"}
+        if a in complete and b in complete:
+            names |= {"n": f"n_{a}", "sx": f"s_{a}", "sy": f"s_{b}", "sxx": f"q_{a}", "syy": f"q_{b}"}
+        else:
+            x, y = F.when(v(b).isNotNull(), v(a)), F.when(v(a).isNotNull(), v(b))
+            own = {"n": F.count(v(a) * v(b)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x),
+                   "syy": F.sum(y * y)}
+            sums += [term.alias(f"{name}_{a}_{b}") for name, term in own.items()]
+            names |= {name: f"{name}_{a}_{b}" for name in own}
+        shown = [F.col(names[name]).alias(name) for name in SUMS]
+        rows.append(F.struct(F.lit(a).alias("pos_a"), F.lit(b).alias("pos_b"), *shown))
+    return centred.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def _sums_by_block(centred: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """The same sums for many columns, as matrix products over batches of rows."""
+    places = np.array(positions)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(places))]
+            block = np.column_stack(columns).astype(float)
+            present = (~np.isnan(block)).astype(float)
+            block = np.nan_to_num(block)
+            products = np.stack(
+                [present.T @ present, block.T @ present, (block**2).T @ present, block.T @ block]
+            )
+            total = products if total is None else total + products
+        if total is not None:
+            i, j = np.triu_indices(len(places), 1)
+            n, s, ss, sxy = total
+            arrays = [places[i], places[j], n[i, j].astype("int64"), s[i, j], s[j, i], ss[i, j],
+                      ss[j, i], sxy[i, j]]
+            names = ["pos_a", "pos_b", "n", "sx", "sy", "sxx", "syy", "sxy"]
+            arrays[:2] = [place.astype("int32") for place in arrays[:2]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+    schema = "pos_a int, pos_b int, n long, sx double, sy double, sxx double, syy double, sxy double"
+    partial = centred.mapInArrow(multiply, schema)
+    return partial.groupBy("pos_a", "pos_b").agg(*[F.sum(name).alias(name) for name in SUMS])
 
 
 def correlation_matrix(pairs: DataFrame, constant: DataFrame, digits: int = 3) -> DataFrame:

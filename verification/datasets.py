@@ -77,7 +77,39 @@ CONVERSATIONS = Dataset(
     ("conv_id", "turn"),
 )
 
-DATASETS = (ORDERS, EVENTS, CUSTOMER, PART, LINEITEM, LABELLED, CONVERSATIONS)
+# columns that set off most rules; the expressions mean the same in both engines
+MIXED_COLUMNS = {
+    "row_no": ("o_orderkey", N),
+    "falling": ("-o_orderkey", N),
+    "steady": ("CAST(1000 + (o_orderkey % 2) * 0.5 AS DOUBLE)", N),
+    "price": ("o_totalprice", N),
+    "price_twice": ("o_totalprice * 2 + (o_orderkey % 7)", N),
+    "blend": ("o_totalprice + o_orderkey * 20", N),
+    "flag": ("CASE WHEN o_orderkey % 100 < 93 THEN 'yes' ELSE 'no' END", C),
+    "lean": (
+        "CASE WHEN o_orderkey % 100 < 75 THEN 'a' WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'c' END", C,
+    ),
+    "sparse": ("CASE WHEN o_orderkey % 10 < 7 THEN NULL ELSE o_custkey END", N),
+    "patchy": ("CASE WHEN o_orderkey % 10 < 3 THEN NULL ELSE o_orderpriority END", C),
+    "spiky": (
+        "CASE WHEN o_orderkey % 10 = 0 THEN 100000 + o_orderkey ELSE o_orderkey % 10 END", N,
+    ),
+    "extreme": ("CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE o_orderkey % 5 END", N),
+    "half": ("CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END", C),
+    "rating": ("o_orderkey % 4", N),
+    "placed": ("o_orderdate", D),
+    "same": ("'one'", C),
+}
+MIXED = Dataset(
+    "mixed",
+    "(SELECT "
+    + ", ".join(f"{expression} AS {name}" for name, (expression, _) in MIXED_COLUMNS.items())
+    + " FROM orders)",
+    {name: kind for name, (_, kind) in MIXED_COLUMNS.items()},
+    ("row_no",),
+)
+
+DATASETS = (ORDERS, EVENTS, CUSTOMER, PART, LINEITEM, LABELLED, CONVERSATIONS, MIXED)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +121,7 @@ def load(spark: SparkSession, sf_dir: str, dataset: Dataset) -> DataFrame:
         documents = table(spark, sf_dir, "documents")
         labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
         return documents.join(labels, "doc_id", "left").select(*dataset.columns)
+    if dataset is MIXED:
+        columns = [f"{expression} AS {name}" for name, (expression, _) in MIXED_COLUMNS.items()]
+        return table(spark, sf_dir, "orders").selectExpr(*columns)
     return table(spark, sf_dir, dataset.name)
