@@ -64,7 +64,8 @@ def _pearson() -> Column:
     # NULL instead of a spread of zero keeps the division safe
     scale = F.when(varies, F.sqrt(x_spread) * F.sqrt(y_spread))
     r = (n * sxy - sx * sy) / scale
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # rounding may leave the range by a hair
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _sums_by_expression(

@@ -87,7 +87,7 @@ def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType
     facts = _scan(df, columns)
     columns = [_with_facts(c, facts) for c in columns]
     undecided = [c for c in columns if c.kind == "undecided"]
-    dates = _date_formats(df, [c for c in undecided if facts[f"d{c.pos}"]], order_by)
+    dates = _date_formats(df, [c for c in undecided if facts.get(f"d{c.pos}")], order_by)
     columns = [
         replace(c, kind="date", date_format=dates[c.pos]) if c.pos in dates else c for c in columns
     ]
