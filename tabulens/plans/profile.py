@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabulens.batching import batches
 from tabulens.functions.dates import cadence
 from tabulens.functions.numbers import rounded
 from tabulens.functions.text import is_blank
@@ -86,10 +87,15 @@ def column_metrics(
         if c.present:
             kinds.setdefault(c.kind, []).append(c)
     measured = [c for c in kinds.get("numeric", []) if c.is_measured]
-    _merge(out, numeric_metrics(df, measured, order_by, direct_rows))
-    _merge(out, categorical_metrics(df, kinds.get("categorical", [])))
-    _merge(out, date_metrics(df, kinds.get("date", [])))
-    _merge(out, text_metrics(df, kinds.get("text", [])))
+    for batch in batches(measured):
+        _merge(out, numeric_metrics(df, batch, order_by, direct_rows))
+    for kind, compute in (
+        ("categorical", categorical_metrics),
+        ("date", date_metrics),
+        ("text", text_metrics),
+    ):
+        for batch in batches(kinds.get(kind, [])):
+            _merge(out, compute(df, batch))
     return [out[c.pos] for c in types]
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
+from tabulens.batching import batches
 from tabulens.functions.dates import DATE_FORMATS, DATE_TYPES, as_timestamp, parse_date, pick_format
 from tabulens.functions.numbers import NUMERIC_TYPES, as_number, parse_number
 from tabulens.operators.frequency import distinct_counts, text_key, to_long
@@ -84,10 +85,12 @@ def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType
     columns = [ColumnType(f.name, i, f.dataType) for i, f in enumerate(df.schema.fields)]
     if not columns:
         return []
-    facts = _scan(df, columns)
-    columns = [_with_facts(c, facts) for c in columns]
+    facts = {}
+    for batch in batches(columns):
+        facts.update(_scan(df, batch))
+    columns = [_with_facts(c, facts[c.pos]) for c in columns]
     undecided = [c for c in columns if c.kind == "undecided"]
-    dates = _date_formats(df, [c for c in undecided if facts.get(f"d{c.pos}")], order_by)
+    dates = _date_formats(df, [c for c in undecided if facts[c.pos]["dates"]], order_by)
     columns = [
         replace(c, kind="date", date_format=dates[c.pos]) if c.pos in dates else c for c in columns
     ]
@@ -95,35 +98,52 @@ def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType
     return _categories(df, columns, undecided)
 
 
-def _scan(df: DataFrame, columns: Sequence[ColumnType]) -> dict[str, int]:
-    wanted = [F.count(F.lit(1)).alias("total")]
+def _scan(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Row]:
+    """Counts per column position: rows, values, numbers, date-like texts, longest text.
+
+    Cells are lined up as (pos, ...) rows and summed at once inside each task, which keeps
+    the plan small for any number of columns.
+    """
+    cells = []
     for c in columns:
         family = _family(c.dtype)
         present = c.number if family == "float" else c.column
-        wanted.append(F.count(present).alias(f"n{c.pos}"))
         if family == "string":
-            wanted += [
-                F.count(parse_number(c.column)).alias(f"p{c.pos}"),
-                F.count_if(c.column.rlike(DATE_START)).alias(f"d{c.pos}"),
-                F.max(F.length(c.column)).alias(f"l{c.pos}"),
-            ]
-    return df.agg(*wanted).first().asDict()
-
-
-def _with_facts(column: ColumnType, facts: dict[str, int]) -> ColumnType:
-    total, present = facts["total"], facts[f"n{column.pos}"]
+            looks = (
+                parse_number(c.column).isNotNull(),
+                F.coalesce(c.column.rlike(DATE_START), F.lit(False)),
+                F.length(c.column),
+            )
+        else:
+            looks = (F.lit(False), F.lit(False), F.lit(None).cast("int"))
+        cells += [F.lit(c.pos), present.isNotNull(), *looks]
+    names = ("pos", "present", "number", "date", "length")
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias(*names))
+    rows = long.groupBy("pos").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("present").alias("present"),
+        F.count_if("number").alias("numbers"),
+        F.count_if("date").alias("dates"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("longest"),
+    )
+    found = {row["pos"]: row for row in rows.collect()}
+    nothing = Row(total=0, present=0, numbers=0, dates=0, longest=0)
+    return {c.pos: found.get(c.pos, nothing) for c in columns}
+
+
+def _with_facts(column: ColumnType, facts: Row) -> ColumnType:
+    total, present = facts["total"], facts["present"]
     family = _family(column.dtype)
     kind = {"float": "numeric", "number": "numeric", "date": "date", "nested": "nested"}.get(family)
     if family == "bool":
         # with gaps a boolean column is a column of texts
         kind = "numeric" if present == total else "undecided"
     if family == "string":
-        numbers = facts[f"p{column.pos}"]
-        kind = "numeric" if present and numbers / present >= NUMERIC_SHARE else "undecided"
+        is_number = present and facts["numbers"] / present >= NUMERIC_SHARE
+        kind = "numeric" if is_number else "undecided"
     if present == 0 and family != "nested":
         kind = "text"
-    longest = facts.get(f"l{column.pos}") or 0
-    return replace(column, kind=kind, total=total, present=present, longest=longest)
+    return replace(column, kind=kind, total=total, present=present, longest=facts["longest"])
 
 
 def _date_formats(
@@ -157,8 +177,10 @@ def _categories(
 ) -> list[ColumnType]:
     if not undecided:
         return list(columns)
-    long = to_long(df, {c.pos: text_key(c.text, c.longest) for c in undecided})
-    distinct = {row["pos"]: row["n_unique"] for row in distinct_counts(long).collect()}
+    distinct = {}
+    for batch in batches(undecided):
+        long = to_long(df, {c.pos: text_key(c.text, c.longest) for c in batch})
+        distinct.update({row["pos"]: row["n_unique"] for row in distinct_counts(long).collect()})
     out = []
     for c in columns:
         if c.kind == "undecided":

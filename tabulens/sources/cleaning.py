@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabulens.batching import batches
 from tabulens.functions.numbers import as_number
 from tabulens.functions.text import tidy_name
 from tabulens.operators.ordinal import is_row_number, with_ordinal
@@ -41,35 +42,44 @@ def clean_table(
         return df
     order_by = [tidy_name(name) for name in order_by]
     facts = _facts(df)
-    kept = [i for i, _ in enumerate(df.columns) if facts[f"n{i}"]]
+    kept = [i for i, _ in enumerate(df.columns) if facts[i][0]]
     names = [df.columns[i] for i in kept]
     kept_names = [n for n in names if not UNNAMED.fullmatch(n)]
     # rows are judged on all filled columns, index-like ones included
-    df = df.select(*[f"`{n}`" for n in names]).dropna(how="all")
+    quoted = [f"`{n}`" for n in names]
+    df = df.select(*quoted).dropna(how="all", subset=quoted) if names else df.select()
     for name in list(kept_names):
         if name.lower() == "index" and _counts_rows(df, name, order_by):
             kept_names.remove(name)
     columns = []
     for name in kept_names[:MOST_COLUMNS]:
-        i = _position(names, kept, name)
-        is_boolean = booleans and facts.get(f"b{i}") == facts[f"n{i}"]
+        present, words = facts[kept[names.index(name)]]
         column = F.col(f"`{name}`")
+        is_boolean = booleans and words == present
         columns.append(F.lower(column).cast("boolean").alias(name) if is_boolean else column)
     return df.select(*columns)
 
 
-def _position(names: Sequence[str], kept: Sequence[int], name: str) -> int:
-    return kept[names.index(name)]
+def _facts(df: DataFrame) -> dict[int, tuple[int, int]]:
+    """Values and boolean words per column position.
 
-
-def _facts(df: DataFrame) -> dict[str, int]:
-    wanted = []
-    for i, f in enumerate(df.schema.fields):
-        column = F.col(f"`{f.name}`")
-        wanted.append(F.count(column).alias(f"n{i}"))
-        if f.dataType.typeName() == "string":
-            wanted.append(F.count_if(column.isin(*BOOLEAN_WORDS)).alias(f"b{i}"))
-    return df.agg(*wanted).first().asDict()
+    Cells are lined up as (pos, ...) rows and summed at once inside each task, which keeps
+    the plan small for any number of columns.
+    """
+    found = {i: (0, 0) for i, _ in enumerate(df.columns)}
+    for batch in batches(list(enumerate(df.schema.fields))):
+        cells = []
+        for i, f in batch:
+            column = F.col(f"`{f.name}`")
+            text = f.dataType.typeName() == "string"
+            word = F.coalesce(column.isin(*BOOLEAN_WORDS), F.lit(False)) if text else F.lit(False)
+            cells += [F.lit(i), column.isNotNull(), word]
+        long = df.select(F.stack(F.lit(len(batch)), *cells).alias("pos", "present", "word"))
+        counts = long.groupBy("pos").agg(
+            F.count_if("present").alias("n"), F.count_if("word").alias("b")
+        )
+        found.update({row["pos"]: (row["n"], row["b"]) for row in counts.collect()})
+    return found
 
 
 def _counts_rows(df: DataFrame, name: str, order_by: Sequence[str]) -> bool:

@@ -30,9 +30,9 @@ def finite_only(df: DataFrame) -> DataFrame:
 
 
 def write_frames(frames: Mapping[str, DataFrame], path: str, fmt: str = "json") -> None:
-    """Each frame into its own folder below ``path``."""
+    """Each (small) frame into one file in its own folder below ``path``."""
     for name, frame in frames.items():
-        writer = finite_only(frame).write.mode("overwrite").format(fmt)
+        writer = finite_only(frame).coalesce(1).write.mode("overwrite").format(fmt)
         if fmt == "json":
             writer = writer.option("ignoreNullFields", False)
         writer.save(f"{path}/{name}")
@@ -56,7 +56,7 @@ def report_document(report: Report) -> DataFrame:
     parts = []
     for name, frame in report.frames().items():
         row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        rows = finite_only(frame).select(row.alias("row"))
+        rows = finite_only(frame).coalesce(1).select(row.alias("row"))
         listed = rows.agg(F.array_join(F.collect_list("row"), ",")).scalar()
         parts.append(F.concat(F.lit(f'"{name}":['), listed, F.lit("]")))
     body = F.concat_ws(",", *parts)
