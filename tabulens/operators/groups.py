@@ -15,7 +15,7 @@ from tabulens.functions.numbers import rounded
 from tabulens.operators.density import density
 from tabulens.operators.frequency import top_k, value_counts
 from tabulens.operators.quantiles import DIRECT_ROWS, exact_quantiles
-from tabulens.session import small_table
+from tabulens.session import pin, small_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -25,12 +25,12 @@ def drop_small_groups(
 ) -> DataFrame:
     """Rows whose category occurs at least ``min_rows`` times.
 
-    Nothing is left if fewer than ``min_groups`` categories qualify. The categories may be
-    many, so the join is left to the optimizer rather than forced to broadcast.
+    Nothing is left if fewer than ``min_groups`` categories qualify. Categories are counted
+    once; they may be many, so how to join them is left to the optimizer.
     """
-    kept = value_counts(df, column).where(F.col("n") >= min_rows).select(column)
-    enough = kept.limit(min_groups).agg(F.count(F.lit(1))).scalar()
-    return df.where(enough >= min_groups).join(kept, column, "left_semi").select(*df.columns)
+    kept = pin(value_counts(df, column).where(F.col("n") >= min_rows).select(column))
+    enough = kept.limit(min_groups).count() >= min_groups
+    return (df if enough else df.limit(0)).join(kept, column, "left_semi").select(*df.columns)
 
 
 def top_groups(values: DataFrame, k: int, min_rows: int = 1, column: str = "grp") -> DataFrame:
@@ -44,9 +44,19 @@ def only(values: DataFrame, groups: DataFrame, column: str = "grp") -> DataFrame
     return values.join(F.broadcast(groups.select(column)), column, "left_semi")
 
 
-def group_means(values: DataFrame, k: int = 15, min_rows: int = 1) -> DataFrame:
+def enough_groups(top: DataFrame, min_groups: int) -> DataFrame:
+    """``top`` (at most 20 rows), or nothing if it has fewer than ``min_groups`` rows."""
+    if min_groups <= 1:
+        return top
+    count = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    return top.withColumn("_groups", count).where(F.col("_groups") >= min_groups).drop("_groups")
+
+
+def group_means(
+    values: DataFrame, k: int = 15, min_rows: int = 1, min_groups: int = 1
+) -> DataFrame:
     """(grp, mean, std, n) of the ``k`` groups with the highest means."""
-    return (
+    top = (
         values.groupBy("grp")
         .agg(
             F.avg("value").alias("mean"),
@@ -56,20 +66,24 @@ def group_means(values: DataFrame, k: int = 15, min_rows: int = 1) -> DataFrame:
         .where(F.col("n") >= min_rows)
         .orderBy(F.desc("mean"), "grp")
         .limit(k)
-        .select("grp", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), "n")
+    )
+    return enough_groups(top, min_groups).select(
+        "grp", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), "n"
     )
 
 
-def lowest_means(values: DataFrame, k: int = 15, min_rows: int = 1) -> DataFrame:
+def lowest_means(
+    values: DataFrame, k: int = 15, min_rows: int = 1, min_groups: int = 1
+) -> DataFrame:
     """(grp, mean) of the ``k`` groups with the lowest means, ascending."""
-    return (
+    top = (
         values.groupBy("grp")
         .agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
         .where(F.col("n") >= min_rows)
         .orderBy("mean", "grp")
         .limit(k)
-        .select("grp", rounded(F.col("mean")).alias("mean"))
     )
+    return enough_groups(top, min_groups).select("grp", rounded(F.col("mean")).alias("mean"))
 
 
 def box_summary(
@@ -89,21 +103,20 @@ def box_summary(
     table = small_table(values.sparkSession, positions.items(), "grp string, pos int")
     tagged = values.join(F.broadcast(table), "grp")
     sizes = {positions[name]: n for name, n in groups}
-    quartiles = exact_quantiles(tagged.select("pos", "value"), QUARTILES, sizes, direct_rows)
+    long = tagged.select("pos", "value")
+    quartiles = [
+        (row["pos"], *row["q"])
+        for row in exact_quantiles(long, QUARTILES, sizes, direct_rows).collect()
+    ]
+    found = small_table(
+        values.sparkSession, quartiles, "pos int, q1 double, median double, q3 double"
+    )
     ends = tagged.groupBy("pos", "grp").agg(
         F.min("value").alias("min"), F.max("value").alias("max")
     )
-    boxes = ends.join(F.broadcast(quartiles), "pos").select(
-        "pos",
-        "grp",
-        "min",
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
-        "max",
-    )
+    boxes = ends.join(F.broadcast(found), "pos")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = boxes.select("pos", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
+    fences = found.select("pos", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
     keys = list(order_by) or ["value"]
     order = Window.partitionBy("pos").orderBy(*keys)
     outside = (
@@ -153,10 +166,10 @@ def grouped_density(values: DataFrame, names: Sequence[str]) -> DataFrame:
 def crosstab(pairs: DataFrame, top_x: int, top_y: int) -> DataFrame:
     """(grp, other, n) over the most frequent values of each side, zeros included.
 
-    The table is counted once; both rankings and the cells come from the pair counts. Only
+    The table is counted once; both rankings and the cells come from the written counts. Only
     values that meet a top value of the other side appear.
     """
-    counts = value_counts(pairs, "grp", "other")
+    counts = pin(value_counts(pairs, "grp", "other"))
     cells = _top_cells(counts, _margin(counts, "grp", top_x), _margin(counts, "other", top_y))
     return _filled(cells, cells.select("grp").distinct(), cells.select("other").distinct())
 
@@ -181,7 +194,7 @@ def _filled(cells: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
 
 def category_heatmap(pairs: DataFrame, k: int = 15) -> DataFrame:
     """(grp, other, x_rank, y_rank, n): the top ``k`` of each side in order of frequency."""
-    counts = value_counts(pairs, "grp", "other")
+    counts = pin(value_counts(pairs, "grp", "other"))
     xs, ys = _margin(counts, "grp", k), _margin(counts, "other", k)
     return (
         _filled(_top_cells(counts, xs, ys), xs, ys)
@@ -196,14 +209,16 @@ def _positions(labels: DataFrame, name: str, rank: str) -> DataFrame:
     return labels.select(name, F.row_number().over(order).alias(rank))
 
 
-def mean_heatmap(values: DataFrame, k: int = 20, min_rows: int = 1) -> DataFrame:
+def mean_heatmap(
+    values: DataFrame, k: int = 20, min_rows: int = 1, min_groups: int = 1
+) -> DataFrame:
     """(grp, rank, mean) for the ``k`` largest groups in order of size."""
     summary = (
         values.groupBy("grp")
         .agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_rows)
     )
-    top = top_k(summary, k, "grp")
+    top = enough_groups(top_k(summary, k, "grp"), min_groups)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "grp")  # at most 20 rows
     return top.select(
         "grp", F.row_number().over(order).alias("rank"), rounded(F.col("mean")).alias("mean")

@@ -19,7 +19,7 @@ from tabulens.operators.frequency import value_counts
 from tabulens.session import small_table
 
 DIRECT_ROWS = 1_000_000
-GRID = 256
+GRID = 1024
 INFINITY = float("inf")
 SKETCH_ACCURACY = 10_000
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tabulens.functions.numbers import null_non_finite
 from tabulens.operators.bins import bin_count, discrete_histogram, histogram
@@ -236,29 +236,26 @@ def grouped(
     return rows.dropna(subset=["grp", "value"])
 
 
-def _if_enough_groups(frame: DataFrame, values: DataFrame, min_rows: int) -> DataFrame:
-    """Empty unless at least two groups have ``min_rows`` rows."""
-    if min_rows <= 1:
-        return frame
-    large = value_counts(values, "grp").where(F.col("n") >= min_rows).limit(GROUPS_LEAST)
-    return frame.where(large.agg(F.count(F.lit(1))).scalar() >= GROUPS_LEAST)
+def _least_groups(min_rows: int) -> int:
+    """Where small groups are dropped, one remaining group is not enough."""
+    return GROUPS_LEAST if min_rows > 1 else 1
 
 
 def grouped_bar_data(values: DataFrame, min_rows: int = 1) -> DataFrame:
-    return _if_enough_groups(group_means(values, min_rows=min_rows), values, min_rows)
+    return group_means(values, min_rows=min_rows, min_groups=_least_groups(min_rows))
 
 
 def grouped_lollipop_data(values: DataFrame, min_rows: int = 1) -> DataFrame:
-    return _if_enough_groups(lowest_means(values, min_rows=min_rows), values, min_rows)
+    return lowest_means(values, min_rows=min_rows, min_groups=_least_groups(min_rows))
 
 
 def grouped_heatmap_data(values: DataFrame, min_rows: int = 1) -> DataFrame:
-    return _if_enough_groups(mean_heatmap(values, min_rows=min_rows), values, min_rows)
+    return mean_heatmap(values, min_rows=min_rows, min_groups=_least_groups(min_rows))
 
 
 def _largest(values: DataFrame, k: int, min_rows: int) -> list[tuple[str, int]]:
     sizes = group_sizes(top_groups(values, k, min_rows))
-    return sizes if min_rows <= 1 or len(sizes) >= GROUPS_LEAST else []
+    return sizes if len(sizes) >= _least_groups(min_rows) else []
 
 
 def grouped_box_data(
@@ -328,19 +325,23 @@ def correlation_data(
 def missing_mask(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """0/1 per cell for about 100 evenly spaced rows, with the row number ``_rid``.
 
-    Only the order columns and the flags are sorted, not the table.
+    Only the order columns and a text of one character per column are sorted, not the table.
     """
 
-    def is_missing(f) -> Column:
+    def flag(f: T.StructField) -> Column:
         value = F.col(f"`{f.name}`")
         present = null_non_finite(value) if f.dataType.typeName() in ("float", "double") else value
-        return present.isNull().cast("int").alias(f.name)
+        return F.when(present.isNull(), "1").otherwise("0")
 
-    flags = [is_missing(f) for f in df.schema.fields]
+    fields = df.schema.fields
     keys = [F.col(f"`{name}`").alias(f"_key{i}") for i, name in enumerate(order_by)]
-    rows = with_ordinal(df.select(*keys, *flags), [f"_key{i}" for i in range(len(keys))])
+    mask = F.concat(*[flag(f) for f in fields]).alias("_mask")
+    rows = with_ordinal(df.select(*keys, mask), [f"_key{i}" for i in range(len(keys))])
     picked = every_nth(rows, df.count(), MASK_ROWS)
-    return picked.select("_rid", *[f"`{f.name}`" for f in df.schema.fields])
+    cells = [
+        F.substring("_mask", i + 1, 1).cast("int").alias(f.name) for i, f in enumerate(fields)
+    ]
+    return picked.select("_rid", *cells)
 
 
 # choosing and building ----------------------------------------------------------------

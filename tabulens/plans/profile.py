@@ -88,7 +88,9 @@ def column_metrics(
             kinds.setdefault(c.kind, []).append(c)
     measured = [c for c in kinds.get("numeric", []) if c.is_measured]
     for batch in batches(measured):
-        _merge(out, numeric_metrics(df, batch, order_by, direct_rows))
+        found = numeric_metrics(df, batch, direct_rows)
+        _merge(out, found)
+        _merge(out, order_metrics(df, batch, found, order_by))
     for kind, compute in (
         ("categorical", categorical_metrics),
         ("date", date_metrics),
@@ -112,10 +114,9 @@ def _by_position(frame: DataFrame) -> dict[int, Metrics]:
 def numeric_metrics(
     df: DataFrame,
     columns: Sequence[ColumnType],
-    order_by: Sequence[str] = (),
     direct_rows: int = DIRECT_ROWS,
 ) -> dict[int, Metrics]:
-    """Passes over the numeric columns: moments; value counts; spread; row order."""
+    """Passes over the numeric columns: moments; value counts; spread."""
     if not columns:
         return {}
     long = to_long(df, {c.pos: c.number for c in columns})
@@ -139,13 +140,26 @@ def numeric_metrics(
         found[pos].update(zip(QUANTILE_NAMES, metrics.pop("q")))
         found[pos].update(metrics)
     _merge(found, _by_position(spread_metrics(long, found)))
-    for pos, (rising, falling) in monotonic_flags(
-        df, {c.pos: c.number for c in kept}, order_by
-    ).items():
-        found[pos].update(monotonic_inc=rising, monotonic_dec=falling)
     return found
 
 
+def order_metrics(
+    df: DataFrame,
+    columns: Sequence[ColumnType],
+    measured: dict[int, Metrics],
+    order_by: Sequence[str] = (),
+) -> dict[int, Metrics]:
+    """Whether the measured columns rise or fall in row order."""
+    values = {c.pos: c.number for c in columns if c.pos in measured}
+    if not values:
+        return {}
+    flags = monotonic_flags(df, values, order_by)
+    return {
+        pos: {"monotonic_inc": rising, "monotonic_dec": falling}
+        for pos, (rising, falling) in flags.items()
+    }
+
+
 def categorical_metrics(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Metrics]:
     if not columns:
         return {}
