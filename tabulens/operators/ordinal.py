@@ -13,12 +13,19 @@ from tabulens.session import pin, small_table
 
 # monotonically_increasing_id: the partition sits above bit 33, the row number below
 ROW_BITS = 33
+SALT_SEED = 7
 
 
 def in_order(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
-    """Range-partition by the order columns and sort inside each partition."""
-    keys = list(order_by)
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    """Range-partition by the order columns and sort inside each partition.
+
+    A seeded random last key lets the partitions split rows with equal order columns, so a
+    value shared by a third of the rows does not end up in one task.
+    """
+    if not order_by:
+        return df
+    salted = df.withColumn("_salt", F.rand(SALT_SEED))
+    return salted.repartitionByRange(*order_by, "_salt").drop("_salt").sortWithinPartitions(*order_by)
 
 
 def with_ordinal(

@@ -28,6 +28,7 @@ from tabulens.operators.groups import (
     top_groups,
 )
 from tabulens.operators.ordinal import every_nth, with_ordinal
+from tabulens.operators.quantiles import values_at_ranks
 from tabulens.operators.sampling import SAMPLE_ROWS, sample_rows, scatter_outliers
 from tabulens.plans.choose import ALTERNATIVES, choose_charts, choose_pair_charts
 from tabulens.plans.profile import Metrics, profile_frame
@@ -153,12 +154,20 @@ def index_line(df: DataFrame, column: ColumnType, order_by: Sequence[str] = ())
 
 
 def timeline(df: DataFrame, column: ColumnType) -> DataFrame:
-    """(point, ts): about 200 evenly spaced dates in order, numbered from 0."""
-    dates = df.select(column.timestamp.alias("ts")).where(F.col("ts").isNotNull())
-    n = dates.count()
-    step = max(1, n // LINE_POINTS)
-    picked = every_nth(with_ordinal(dates, ["ts"]), n, LINE_POINTS)
-    return picked.select((F.col("_rid") / step).cast("long").alias("point"), "ts")
+    """(point, ts): about 200 evenly spaced dates in order, numbered from 0.
+
+    The dates at the wanted ranks are looked up in the value counts, so a date shared by
+    many rows is one value, and a long column is narrowed instead of sorted.
+    """
+    # microseconds stay exact as a double
+    micros = F.unix_micros(column.timestamp.cast("timestamp")).cast("double")
+    long = df.select(F.lit(0).alias("pos"), micros.alias("value")).where(F.col("value").isNotNull())
+    n = long.count()
+    ranks = range(0, n, max(1, n // LINE_POINTS))
+    found = values_at_ranks(long, {0: ranks}, {0: n}) if n else {}
+    rows = [(point, int(found[0, rank])) for point, rank in enumerate(ranks)]
+    table = small_table(df.sparkSession, rows, "point bigint, micros bigint")
+    return table.select("point", F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"))
 
 
 def category_counts(df: DataFrame, column: ColumnType) -> DataFrame:

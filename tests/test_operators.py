@@ -22,7 +22,7 @@ from tabulens.operators.frequency import (
 )
 from tabulens.operators.gaps import date_spans, gap_metrics
 from tabulens.operators.moments import moments
-from tabulens.operators.ordinal import every_nth, is_row_number, monotonic_flags, with_ordinal
+from tabulens.operators.ordinal import every_nth, in_order, is_row_number, monotonic_flags, with_ordinal
 from tabulens.operators.quantiles import exact_quantiles
 from tabulens.operators.sampling import sample_rows, scatter_outliers
 
@@ -195,6 +195,20 @@ def test_row_numbers_follow_the_order(spark):
     assert not is_row_number(numbered, F.col("k") + F.lit(1.0)).first()[0]
 
 
+def test_rows_with_equal_keys_are_split(spark):
+    df = spark.range(0, 20_000, 1, 8).select("id", F.when(F.col("id") < 9_000, 5).otherwise(F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = in_order(df, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in parts) < 9_000
+    rows = with_ordinal(df, ["k"]).collect()
+    assert sorted(r["_rid"] for r in rows) == list(range(20_000))
+    ordered = [r["k"] for r in sorted(rows, key=lambda r: r["_rid"])]
+    assert ordered == sorted(ordered)
+
+
 def test_row_numbers_without_order_are_complete(spark):
     rows = with_ordinal(spark.range(100).repartition(7)).collect()
     assert sorted(r["_rid"] for r in rows) == list(range(100))
