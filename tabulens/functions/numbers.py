@@ -27,11 +27,19 @@ def null_non_finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def is_number_text(text: Column) -> Column:
+    """Whether a string is a written number, thousands commas allowed."""
+    return text.rlike(NUMBER_CHARACTERS) & _without_commas(text).rlike(NUMBER_PATTERN)
+
+
+def _without_commas(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit(""))
+
+
 def parse_number(text: Column) -> Column:
     """String to double; thousands commas are dropped, anything else unparsable is NULL."""
-    bare = F.replace(text, F.lit(","), F.lit(""))
-    is_number = text.rlike(NUMBER_CHARACTERS) & bare.rlike(NUMBER_PATTERN)
-    return null_non_finite(F.when(is_number, bare.try_cast("double")))
+    number = _without_commas(text).try_cast("double")
+    return null_non_finite(F.when(is_number_text(text), number))
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:

@@ -32,6 +32,11 @@ def tidy_name(name: str) -> str:
     return re.sub(r"\s+", " ", name.strip())
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and back-quotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def quoted_list(values: Column) -> Column:
     """``['a', 'b']`` from an array of strings."""
     return F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabulens.functions.text import named
+
 # Texts longer than this are told apart by a 128-bit digest, so that counting distinct
 # documents shuffles 16 bytes per value instead of the document.
 DIGEST_OVER = 32
@@ -117,6 +119,6 @@ def frequency_encode(df: DataFrame, column: str, name: str) -> DataFrame:
 
     A categorical column has at most 100 values, so its counts may be broadcast.
     """
-    counts = value_counts(df.where(F.col(column).isNotNull()), column)
-    lookup = counts.select(F.col(column).alias("_value"), F.col("n").alias(name))
-    return df.join(F.broadcast(lookup), df[column] == lookup["_value"], "left").drop("_value")
+    counts = value_counts(df.select(named(column).alias("_value")).dropna(), "_value")
+    lookup = counts.withColumnRenamed("n", name)
+    return df.join(F.broadcast(lookup), named(column) == F.col("_value"), "left").drop("_value")

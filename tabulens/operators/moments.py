@@ -16,7 +16,6 @@ def moments(long: DataFrame) -> DataFrame:
         F.count("value").alias("n_valid"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
-        F.var_samp("value").alias("variance"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.skewness("value").alias("skewness"),

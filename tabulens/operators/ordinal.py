@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulens.functions.text import named
 from tabulens.session import pin, small_table
 
 # monotonically_increasing_id: the partition sits above bit 33, the row number below
@@ -16,6 +17,15 @@ ROW_BITS = 33
 SALT_SEED = 7
 
 
+def order_keys(order_by: Sequence[str]) -> list[Column]:
+    """The order columns under names that clash with no other column."""
+    return [named(name).alias(key) for name, key in zip(order_by, key_names(order_by))]
+
+
+def key_names(order_by: Sequence[str]) -> list[str]:
+    return [f"_key{i}" for i, _ in enumerate(order_by)]
+
+
 def in_order(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """Range-partition by the order columns and sort inside each partition.
 
@@ -24,8 +34,9 @@ def in_order(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """
     if not order_by:
         return df
+    keys = [named(key) if isinstance(key, str) else key for key in order_by]
     salted = df.withColumn("_salt", F.rand(SALT_SEED))
-    return salted.repartitionByRange(*order_by, "_salt").drop("_salt").sortWithinPartitions(*order_by)
+    return salted.repartitionByRange(*keys, "_salt").drop("_salt").sortWithinPartitions(*keys)
 
 
 def with_ordinal(

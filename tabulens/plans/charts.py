@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tabulens.functions.numbers import null_non_finite
+from tabulens.functions.text import named
 from tabulens.operators.bins import bin_count, discrete_histogram, histogram
 from tabulens.operators.correlation import correlation_matrix, correlation_pairs, line_fit
 from tabulens.operators.frequency import ranked, top_k, value_counts
@@ -27,7 +28,7 @@ from tabulens.operators.groups import (
     mean_heatmap,
     top_groups,
 )
-from tabulens.operators.ordinal import every_nth, with_ordinal
+from tabulens.operators.ordinal import every_nth, key_names, order_keys, with_ordinal
 from tabulens.operators.quantiles import values_at_ranks
 from tabulens.operators.sampling import SAMPLE_ROWS, sample_rows, scatter_outliers
 from tabulens.plans.choose import ALTERNATIVES, choose_charts, choose_pair_charts
@@ -81,8 +82,8 @@ class Chart:
 # one column ---------------------------------------------------------------------------
 
 
-def numbers(df: DataFrame, column: ColumnType, keep: Sequence[str] = ()) -> DataFrame:
-    rows = df.select(column.number.alias("value"), *keep)
+def numbers(df: DataFrame, column: ColumnType, order_by: Sequence[str] = ()) -> DataFrame:
+    rows = df.select(column.number.alias("value"), *order_keys(order_by))
     return rows.where(F.col("value").isNotNull())
 
 
@@ -134,7 +135,7 @@ def box_data(
 ) -> DataFrame:
     m = _spread(df, column, metrics)
     values = numbers(df, column, order_by).withColumn("grp", F.lit(column.name))
-    return box_summary(values, [(column.name, m["n_valid"])], order_by)
+    return box_summary(values, [(column.name, m["n_valid"])], key_names(order_by))
 
 
 def violin_data(df: DataFrame, column: ColumnType) -> DataFrame:
@@ -145,7 +146,8 @@ def violin_data(df: DataFrame, column: ColumnType) -> DataFrame:
 
 def index_line(df: DataFrame, column: ColumnType, order_by: Sequence[str] = ()) -> DataFrame:
     """(row, value): about 200 evenly spaced non-null values with their row numbers."""
-    rows = with_ordinal(df.select(*order_by, column.number.alias("value")), order_by, "row")
+    values = df.select(*order_keys(order_by), column.number.alias("value"))
+    rows = with_ordinal(values, key_names(order_by), "row")
     present = rows.where(F.col("value").isNotNull()).select("row", "value")
     if column.present < column.total or not column.is_measured:
         present = with_ordinal(present, ["row"])
@@ -203,18 +205,27 @@ def pie_data(df: DataFrame, column: ColumnType) -> DataFrame:
 
 
 def points(
-    df: DataFrame, x: ColumnType, y: ColumnType, keep: Sequence[str] = ()
+    df: DataFrame, x: ColumnType, y: ColumnType, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    pairs = df.select(x.number.alias("x"), y.number.alias("y"), *keep)
+    pairs = df.select(x.number.alias("x"), y.number.alias("y"), *order_keys(order_by))
     return pairs.dropna(subset=["x", "y"])
 
 
 def scatter_data(
     df: DataFrame, x: ColumnType, y: ColumnType, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    """(x, y) of at most 600 rows, drawn by a keyed digest of the order columns."""
-    key = list(order_by) or ["x", "y"]
-    return sample_rows(points(df, x, y, order_by), key, SAMPLE_ROWS)
+    """(x, y) of at most 600 rows, drawn by a keyed digest of the order columns, and those."""
+    return sample_rows(points(df, x, y, order_by), _point_key(order_by), SAMPLE_ROWS)
+
+
+def _point_key(order_by: Sequence[str]) -> list[str]:
+    return key_names(order_by) or ["x", "y"]
+
+
+def scatter_outlier_data(
+    df: DataFrame, x: ColumnType, y: ColumnType, order_by: Sequence[str] = ()
+) -> DataFrame:
+    return scatter_outliers(scatter_data(df, x, y, order_by), _point_key(order_by))
 
 
 def xy_line(df: DataFrame, x: ColumnType, y: ColumnType) -> DataFrame:
@@ -229,19 +240,20 @@ def dated_values(
     A category next to a date gives its text as the value.
     """
     value = other.text if other.kind == "categorical" else other.number
-    rows = df.select(date.timestamp.alias("ts"), value.alias("value"), *order_by)
+    rows = df.select(date.timestamp.alias("ts"), value.alias("value"), *order_keys(order_by))
     rows = rows.dropna(subset=["ts", "value"])
     n = rows.count()
     step = max(1, n // LINE_POINTS)
-    numbered = with_ordinal(rows, ["ts", *(order_by or ["value"])])
+    numbered = with_ordinal(rows, ["ts", *(key_names(order_by) or ["value"])])
     picked = every_nth(numbered, n, LINE_POINTS)
     return picked.select((F.col("_rid") / step).cast("long").alias("point"), "ts", "value")
 
 
 def grouped(
-    df: DataFrame, category: ColumnType, number: ColumnType, keep: Sequence[str] = ()
+    df: DataFrame, category: ColumnType, number: ColumnType, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    rows = df.select(category.text.alias("grp"), number.number.alias("value"), *keep)
+    keys = order_keys(order_by)
+    rows = df.select(category.text.alias("grp"), number.number.alias("value"), *keys)
     return rows.dropna(subset=["grp", "value"])
 
 
@@ -272,7 +284,8 @@ def grouped_box_data(
 ) -> DataFrame:
     """Box summaries of the 12 largest groups; with under 4 rows only a flag."""
     sizes = _largest(values, BOX_TOP, min_rows)
-    boxes = box_summary(values, [s for s in sizes if s[1] >= BOX_ROWS], order_by)
+    large = [size for size in sizes if size[1] >= BOX_ROWS]
+    boxes = box_summary(values, large, key_names(order_by))
     return _with_insufficient(boxes, sizes, BOX_ROWS)
 
 
@@ -338,14 +351,13 @@ def missing_mask(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """
 
     def flag(f: T.StructField) -> Column:
-        value = F.col(f"`{f.name}`")
+        value = named(f.name)
         present = null_non_finite(value) if f.dataType.typeName() in ("float", "double") else value
         return F.when(present.isNull(), "1").otherwise("0")
 
     fields = df.schema.fields
-    keys = [F.col(f"`{name}`").alias(f"_key{i}") for i, name in enumerate(order_by)]
     mask = F.concat(*[flag(f) for f in fields]).alias("_mask")
-    rows = with_ordinal(df.select(*keys, mask), [f"_key{i}" for i in range(len(keys))])
+    rows = with_ordinal(df.select(*order_keys(order_by), mask), key_names(order_by))
     picked = every_nth(rows, df.count(), MASK_ROWS)
     cells = [
         F.substring("_mask", i + 1, 1).cast("int").alias(f.name) for i, f in enumerate(fields)
@@ -524,11 +536,8 @@ def _build_pair(
         def build() -> DataFrame:
             return scatter_data(df, x, y, order_by).select("x", "y")
 
-        def sample() -> DataFrame:
-            return scatter_data(df, x, y, order_by)
-
-        parts["trendline"] = lambda: line_fit(sample())
-        parts["outliers"] = lambda: scatter_outliers(sample(), list(order_by) or ["x", "y"])
+        parts["trendline"] = lambda: line_fit(scatter_data(df, x, y, order_by))
+        parts["outliers"] = lambda: scatter_outlier_data(df, x, y, order_by)
     elif kind == "categories":
         if built == "heatmap":
             title += " — Heatmap"

@@ -42,7 +42,7 @@ QUANTILE_NAMES = ("p05", "p10", "q1", "median", "q3", "p90", "p95")
 
 RAW_SCHEMA = (
     "column string, position int, type string, total bigint, missing bigint,"
-    " mean double, median double, mode double, std double, variance double,"
+    " mean double, median double, mode double, std double,"
     " min double, max double, q1 double, q3 double, p05 double, p10 double, p90 double,"
     " p95 double, skewness double, kurtosis double, outliers_iqr bigint, outliers_z bigint,"
     " monotonic_inc boolean, monotonic_dec boolean, numeric_entropy double,"
@@ -233,7 +233,7 @@ def _profile_columns() -> list[Column]:
         r("median"),
         r("mode"),
         r("std"),
-        r("variance"),
+        rounded(c("std") * c("std")).alias("variance"),
         rounded(relative * 100).alias("cv_pct"),
         r("min"),
         r("max"),

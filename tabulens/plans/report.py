@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions.numbers import plain_number
+from tabulens.functions.text import named
 from tabulens.plans.charts import Chart, chart_catalogue, correlations, report_charts, single_chart
 from tabulens.plans.features import (
     Feature,
@@ -21,7 +22,7 @@ from tabulens.plans.profile import Metrics, column_metrics, profile_frame, quali
 from tabulens.plans.types import ColumnType, detect_types
 from tabulens.session import small_table
 
-PREVIEW_ROWS = 10
+PREVIEW_ROWS, FEATURE_ROWS = 10, 5_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,12 @@ class Report:
         """The table with its suggested columns."""
         return add_features(self.table, self.suggestions)
 
+    @property
+    def feature_values(self) -> DataFrame:
+        """The suggested columns of the first 5,000 rows."""
+        names = [named(f.name) for f in self.suggestions]
+        return first_rows(self.features, self.order_by, FEATURE_ROWS).select(*names)
+
     @property
     def preview(self) -> DataFrame:
         return preview(self.table, self.order_by)
@@ -114,7 +121,12 @@ def _collected(pairs: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """The first ten rows."""
-    return (df.orderBy(*order_by) if order_by else df).limit(PREVIEW_ROWS)
+    return first_rows(df, order_by, PREVIEW_ROWS)
+
+
+def first_rows(df: DataFrame, order_by: Sequence[str], rows: int) -> DataFrame:
+    """Each task keeps only its own first rows."""
+    return (df.orderBy(*[named(key) for key in order_by]) if order_by else df).limit(rows)
 
 
 def digest(prof: DataFrame, importance: DataFrame, name: str = "dataset") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tabulens.batching import batches
 from tabulens.functions.dates import DATE_FORMATS, DATE_TYPES, as_timestamp, parse_date, pick_format
-from tabulens.functions.numbers import NUMERIC_TYPES, as_number, parse_number
+from tabulens.functions.numbers import NUMERIC_TYPES, as_number, is_number_text
+from tabulens.functions.text import named
 from tabulens.operators.frequency import distinct_counts, text_key, to_long
 from tabulens.session import small_table
 
@@ -39,7 +40,7 @@ class ColumnType:
 
     @property
     def column(self) -> Column:
-        return F.col(f"`{self.name.replace('`', '``')}`")
+        return named(self.name)
 
     @property
     def number(self) -> Column:
@@ -110,7 +111,7 @@ def _scan(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Row]:
         present = c.number if family == "float" else c.column
         if family == "string":
             looks = (
-                parse_number(c.column).isNotNull(),
+                F.coalesce(is_number_text(c.column), F.lit(False)),
                 F.coalesce(c.column.rlike(DATE_START), F.lit(False)),
                 F.length(c.column),
             )
@@ -156,7 +157,7 @@ def _date_formats(
     parts = []
     for c in columns:
         rows = df.where(c.column.isNotNull())
-        rows = rows.orderBy(*order_by) if order_by else rows
+        rows = rows.orderBy(*[named(key) for key in order_by]) if order_by else rows
         readable = F.struct(*[parse_date(c.column, f).isNotNull().alias(f) for f in DATE_FORMATS])
         first = rows.limit(DATE_SAMPLE)
         parts.append(first.select(F.lit(c.pos).alias("pos"), readable.alias("ok")))

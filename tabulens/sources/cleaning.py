@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabulens.batching import batches
 from tabulens.functions.numbers import as_number
 from tabulens.functions.text import tidy_name
-from tabulens.operators.ordinal import is_row_number, with_ordinal
+from tabulens.operators.ordinal import is_row_number, key_names, order_keys, with_ordinal
 
 # Fixed values.
 MOST_COLUMNS = 300
@@ -100,7 +100,6 @@ def _counts_rows(df: DataFrame, name: str, order_by: Sequence[str]) -> bool:
         return False
     if row["total"] != rows * (rows - 1) / 2:
         return False
-    keys = [F.col(f"`{key}`").alias(f"_key{i}") for i, key in enumerate(order_by)]
-    values = df.select(*keys, number.alias("value"))
-    numbered = with_ordinal(values, [f"_key{i}" for i in range(len(keys))])
+    values = df.select(*order_keys(order_by), number.alias("value"))
+    numbered = with_ordinal(values, key_names(order_by))
     return bool(is_row_number(numbered, F.col("value")).first()["is_row_number"])

@@ -16,13 +16,15 @@ WRAPPERS = ("data", "results", "records", "rows", "items")
 EXTRA = "_extra_field"
 
 
-def read_table(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, ext: str | None = None, encoding: str = "utf-8"
+) -> DataFrame:
     """Read and clean a file or folder; the kind is taken from ``ext`` or the file name."""
     kind = (ext or path.rsplit(".", 1)[-1]).lower().lstrip(".")
     if kind == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, encoding=encoding)
     if kind == "json":
-        return read_json(spark, path)
+        return read_json(spark, path, encoding)
     if kind in ("xls", "xlsx"):
         raise ValueError("Workbooks are not read; save the sheet as CSV.")
     raise ValueError(f"Unsupported file extension: .{kind}")

@@ -143,8 +143,8 @@ def test_long_texts_are_counted_by_digest(spark):
 
 
 def test_frequency_encode_keeps_nulls(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
-    rows = [(r["c"], r["freq"]) for r in frequency_encode(df, "c", "freq").collect()]
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "`c.d` string")
+    rows = [(r["c.d"], r["freq"]) for r in frequency_encode(df, "c.d", "freq").collect()]
     assert sorted(rows, key=str) == sorted([("a", 2), ("a", 2), ("b", 1), (None, None)], key=str)
 
 

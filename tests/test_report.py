@@ -89,6 +89,18 @@ def test_charts_on_request(report):
         report.chart("nope", None, "bar")
 
 
+def test_order_columns_may_have_any_name(spark):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i % 9), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, value double, `grp.x` string")
+    report = tabulens.full_report(df, ["ts", "value", "grp.x"])
+    for key, chart in report.charts.items():
+        assert chart.frame.count() > 0, key
+        for part in chart.parts:
+            chart.part(part).collect()
+    assert report.preview.count() == 10
+    assert report.feature_values.count() == 60
+
+
 def test_groups_too_small_are_flagged(spark):
     rows = [(g, float(i)) for g, n in (("a", 3), ("b", 4), ("c", 9), ("d", 10)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, v double")

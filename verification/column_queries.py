@@ -266,6 +266,17 @@ def histogram_many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histogram(spark, sf_dir, LINEITEM, "l_quantity")
 
 
+@query(
+    "histogram_labels",
+    "SELECT bin, replace(concat(CAST(round(lo, 0) AS VARCHAR), '–', CAST(round(hi, 0) AS VARCHAR)),"
+    f" '-0.0', '0.0') AS label FROM ({histogram_sql('orders', 'o_totalprice', FD_BINS)})",
+)
+def histogram_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, ORDERS)
+    c = one(df, ORDERS, "o_totalprice")
+    return charts.histogram_data(df, c, numeric_metrics(df, [c])[c.pos]).select("bin", "label")
+
+
 @query(
     "histogram_discrete",
     "SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS bin,"

@@ -115,7 +115,7 @@ def _beyond_sql(column: str) -> str:
 def scatter_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, EVENTS)
     x, y = one(df, EVENTS, "user_id"), one(df, EVENTS, "value")
-    return sampling.scatter_outliers(charts.scatter_data(df, x, y, EVENTS.order), EVENTS.order)
+    return charts.scatter_outlier_data(df, x, y, EVENTS.order)
 
 
 @query(
@@ -245,7 +245,7 @@ def grouped_box_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, EVENTS)
     values = charts.grouped(df, one(df, EVENTS, "event_type"), one(df, EVENTS, "value"), EVENTS.order)
     sizes = groups.group_sizes(groups.top_groups(values, charts.BOX_TOP, charts.GROUP_ROWS))
-    return _box_rounded(groups.box_summary(values, sizes, EVENTS.order, direct_rows=500))
+    return _box_rounded(groups.box_summary(values, sizes, ["_key0"], direct_rows=500))
 
 
 @query(

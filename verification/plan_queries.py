@@ -68,6 +68,23 @@ def chart_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose_charts(prof).select("column", "type", "chart")
 
 
+OTHERS = {
+    "histogram": "boxplot", "boxplot": "violin,histogram", "lollipop": "bar", "bar": "lollipop,treemap",
+    "pie": "donut,bar", "donut": "pie,bar", "treemap": "bar,lollipop", "line": "area,scatter",
+}
+
+
+@query(
+    "chart_alternatives",
+    'SELECT "column", chart, CASE chart '
+    + " ".join(f"WHEN '{chart}' THEN '{others}'" for chart, others in OTHERS.items())
+    + f" ELSE '' END AS alternatives FROM ({chart_choice_sql(LABELLED)})",
+)
+def chart_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = choose_charts(profile(load(spark, sf_dir, LABELLED), LABELLED.order))
+    return chosen.select("column", "chart", F.array_join("alternatives", ",").alias("alternatives"))
+
+
 @query("digest", digest_sql(ORDERS, "orders"))
 def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = profile(load(spark, sf_dir, ORDERS), ORDERS.order)
