@@ -42,5 +42,20 @@ def quoted_list(values: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))
 
 
-def with_percent(value: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def fixed(value: Column, digits: int = 0) -> Column:
+    """Text with so many decimals, rounded by the value the double really has.
+
+    14.35 is stored a little below, so it is shown as 14.3; true halves go to the even digit.
+    """
+    scale = float(10**digits)
+    size = F.abs(value.cast("double"))
+    # two halves of the digits, each of which can be scaled without rounding
+    wide = size * F.lit(134217729.0)
+    head = wide - (wide - size)
+    high, low = head * scale, (size - head) * scale
+    whole = F.floor(high + low).cast("double")
+    beyond_half = (high - (whole + 0.5)) + low
+    up = (beyond_half > 0) | ((beyond_half == 0) & (whole % 2 == 1))
+    rounded = (whole + up.cast("double")) / scale
+    signed = F.when(value < 0, -rounded).otherwise(rounded)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", signed))

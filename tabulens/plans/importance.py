@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.functions.numbers import or_zero
-from tabulens.functions.text import with_percent
+from tabulens.functions.text import fixed
 
 # Lower bounds of the tiers.
 IMPORTANT, MODERATE = 6.0, 3.0
@@ -90,7 +90,7 @@ def _all_signals() -> list[Signal]:
 
 def _missing_signal() -> Signal:
     rate = F.col("missing_rate")
-    shown = F.concat(F.lit(" ("), with_percent(rate), F.lit("%)"))
+    shown = F.concat(F.lit(" ("), fixed(rate), F.lit("%)"))
     return [
         Step(rate >= 80, -4.0, F.concat(F.lit("Mostly missing"), shown)),
         Step(rate >= 50, -2.5, F.concat(F.lit("High missing rate"), shown)),
@@ -103,7 +103,7 @@ def _numeric_signals() -> list[Signal]:
     cv, entropy = or_zero(F.col("cv_pct")), or_zero(F.col("numeric_entropy"))
     skew, kurt = F.abs(or_zero(F.col("skewness"))), F.abs(or_zero(F.col("kurtosis")))
     outliers, n = or_zero(F.col("outlier_ratio")), F.coalesce("n_valid", F.lit(0))
-    shown = F.concat(F.lit(" ("), with_percent(outliers, 1), F.lit("%)"))
+    shown = F.concat(F.lit(" ("), fixed(outliers, 1), F.lit("%)"))
     return [
         [Step(F.lit(True), 2.0)],
         [
@@ -133,7 +133,7 @@ def _categorical_signals() -> list[Signal]:
     entropy, balance = or_zero(F.col("normalised_entropy")), or_zero(F.col("balance_score"))
     cardinality, unique = or_zero(F.col("cardinality_ratio")), F.coalesce("unique_count", F.lit(0))
     dominant = F.coalesce(F.nullif(F.col("dominant_rate"), F.lit(0.0)), F.lit(100.0))
-    shown = F.concat(F.lit("One value covers "), with_percent(dominant), F.lit("% of rows"))
+    shown = F.concat(F.lit("One value covers "), fixed(dominant), F.lit("% of rows"))
     return [
         [Step(F.lit(True), 1.5)],
         [

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulens.functions.numbers import or_zero
-from tabulens.functions.text import quoted_list, with_percent
+from tabulens.functions.text import quoted_list, fixed
 
 # How many findings are kept, and how many pairs and columns a finding lists.
 MOST_FINDINGS, STRONG_PAIRS, MODERATE_PAIRS, LISTED_COLUMNS = 40, 5, 4, 5
@@ -95,7 +95,7 @@ def quality_findings(prof: DataFrame) -> DataFrame:
 
     def rates(group: str) -> Column:
         return F.array_join(
-            F.transform(group, lambda c: _text(c["column"], " (", with_percent(c["rate"]), "%)")),
+            F.transform(group, lambda c: _text(c["column"], " (", fixed(c["rate"]), "%)")),
             ", ",
         )
 
@@ -162,7 +162,7 @@ def _distribution_rules() -> list[Column]:
             1, is_numeric & (F.abs(skew) >= 2), kind, "high",
             _text(
                 name, " is heavily ", _when(skew > 0, "right (positively)", "left (negatively)"),
-                " skewed (skewness = ", with_percent(skew, 2), "). ",
+                " skewed (skewness = ", fixed(skew, 2), "). ",
                 "A log or square-root transformation may improve model performance.",
             ),
             cols,
@@ -170,26 +170,26 @@ def _distribution_rules() -> list[Column]:
         _finding(
             2, is_numeric & (F.abs(skew) >= 1) & (F.abs(skew) < 2), kind, "medium",
             _text(name, " shows moderate ", _when(skew > 0, "right", "left"), " skew (",
-                  with_percent(skew, 2), ")."),
+                  fixed(skew, 2), ")."),
             cols,
         ),
         _finding(
             3, is_numeric & (rate >= 15), kind, "high",
             _text(
-                name, " has a very high outlier rate: ", with_percent(rate, 1), "% of values (", rows,
+                name, " has a very high outlier rate: ", fixed(rate, 1), "% of values (", rows,
                 " rows) fall outside the IQR fence. Investigate before modelling.",
             ),
             cols,
         ),
         _finding(
             4, is_numeric & (rate >= 5) & (rate < 15), kind, "medium",
-            _text(name, " contains notable outliers (", with_percent(rate, 1), "%, ", rows, " rows)."),
+            _text(name, " contains notable outliers (", fixed(rate, 1), "%, ", rows, " rows)."),
             cols,
         ),
         _finding(
             5, is_numeric & (kurt > 5), kind, "medium",
             _text(
-                name, " has very heavy tails (excess kurtosis = ", with_percent(kurt, 2), "). ",
+                name, " has very heavy tails (excess kurtosis = ", fixed(kurt, 2), "). ",
                 "Extreme values are much more common than a normal distribution would predict.",
             ),
             cols,
@@ -197,7 +197,7 @@ def _distribution_rules() -> list[Column]:
         _finding(
             6, is_numeric & (cv > 100), kind, "medium",
             _text(
-                name, " has extremely high relative variability (CV = ", with_percent(cv), "%). ",
+                name, " has extremely high relative variability (CV = ", fixed(cv), "%). ",
                 "The spread is larger than the mean — check for mixed populations.",
             ),
             cols,
@@ -217,14 +217,14 @@ def _categorical_rules() -> list[Column]:
             1, is_category & (share >= 90), kind, "high",
             _text(
                 name, " is dominated by one value: '", value, "' accounts for ",
-                with_percent(share), "% of all rows. ",
+                fixed(share), "% of all rows. ",
                 "The column has very little discriminating power.",
             ),
             cols,
         ),
         _finding(
             2, is_category & (share >= 70) & (share < 90), kind, "medium",
-            _text(name, " is skewed — '", value, "' covers ", with_percent(share), "% of rows."),
+            _text(name, " is skewed — '", value, "' covers ", fixed(share), "% of rows."),
             cols,
         ),
         _finding(
@@ -239,7 +239,7 @@ def _categorical_rules() -> list[Column]:
             4, is_category & (cardinality > 0.5) & (cardinality <= 0.9), kind, "medium",
             _text(
                 name, " has high cardinality (", unique.cast("string"), " unique values, ",
-                with_percent(cardinality * 100), "% of rows). Consider grouping rare categories.",
+                fixed(cardinality * 100), "% of rows). Consider grouping rare categories.",
             ),
             cols,
         ),
@@ -265,7 +265,7 @@ def _trend_rules() -> list[Column]:
         _finding(
             2, is_date & (regularity < 50), "trend", "medium",
             _text(
-                name, " has irregular intervals (only ", with_percent(regularity),
+                name, " has irregular intervals (only ", fixed(regularity),
                 "% of gaps are regular). Resampling may be needed before time-series modelling.",
             ),
             cols,
@@ -305,7 +305,7 @@ def correlation_findings(prof: DataFrame, correlations: DataFrame) -> DataFrame:
     )
     text = _text(
         "Strong ", _when(F.col("r") > 0, "positively", "negatively"), " correlated pair: '",
-        F.col("a"), "' and '", F.col("b"), "' (r = ", with_percent(F.col("r"), 2), "). ",
+        F.col("a"), "' and '", F.col("b"), "' (r = ", fixed(F.col("r"), 2), "). ",
         _when(
             is_high,
             "High multicollinearity — consider dropping one in regression.",
@@ -325,7 +325,7 @@ def correlation_findings(prof: DataFrame, correlations: DataFrame) -> DataFrame:
     moderate = pairs.where(strength < 0.7).agg(F.sort_array(F.collect_list(entry)).alias("pairs"))
     shown = F.transform(
         F.slice("pairs", 1, MODERATE_PAIRS),
-        lambda p: _text("'", p["a"], "'↔'", p["b"], "' (", with_percent(p["r"], 2), ")"),
+        lambda p: _text("'", p["a"], "'↔'", p["b"], "' (", fixed(p["r"], 2), ")"),
     )
     cols = F.array_sort(F.array_union(F.col("pairs.a"), F.col("pairs.b")))
     moderate_rows = _listed(

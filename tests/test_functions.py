@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tabulens.functions.numbers import (
     rounded,
     square_root,
 )
-from tabulens.functions.text import NA_TOKENS, is_blank, null_na_tokens, quoted_list, slug, tidy_name
+from tabulens.functions.text import NA_TOKENS, fixed, is_blank, null_na_tokens, quoted_list, slug, tidy_name
 
 
 def column(spark, values, kind, expression):
@@ -95,6 +96,15 @@ def test_cadence(spark):
     assert column(spark, gaps, "double", cadence) == names
 
 
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_decimals_round_like_printf(spark, digits):
+    rng = random.Random(digits)
+    values = [0.0, 0.5, 1.5, 2.5, 14.35, 0.415, 0.125, 0.375, -0.4, -2.675, 2.675, 99.995, 60.25, 1e9 + 0.5]
+    values += [round(rng.uniform(-100, 100), digits + 1) for _ in range(300)]
+    shown = column(spark, values, "double", lambda v: fixed(v, digits))
+    assert shown == [f"{v:.{digits}f}" for v in values]
+
+
 def test_text_helpers(spark):
     assert column(spark, ["", "  ", "\t\n", "abc", " a "], "string", is_blank) == [
         True, True, True, False, False,
