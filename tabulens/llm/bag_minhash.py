@@ -229,8 +229,8 @@ def describe(
         lambda batches: _describe(batches, bands, rows, width),
         f"id {kind}, digest long, h1 long, h2 long, shingles long, bands array<long>",
     )
-    # once written, the numbers stay
-    return pin(pin(narrow).withColumn("node", F.monotonically_increasing_id()))
+    # numbers follow the partitions and order of what is written, so they stay
+    return pin(narrow).withColumn("node", F.monotonically_increasing_id())
 
 
 def text_digest(text_col: str):
