@@ -16,8 +16,8 @@ and the ties' connected components are clusters that hold every candidate pair.
 
 Verification. Inside a cluster all pairs are compared exactly: clusters up to a block in one group;
 larger ones are split by classes of length (near texts are at most one class apart) and blocks in a
-class, and pairs of blocks are groups. A group counts overlaps as products of 0/1 matrices over
-(shingle, occurrence) and emits only links that join what was apart. Components of the links are
+class, and pairs of blocks are groups (clusters.py). A group counts overlaps as products of 0/1
+matrices over (shingle, occurrence) and emits only links that join what was apart. Components of the links are
 the near-duplicate classes.
 
 How it runs: one pass over the texts leaves ids, digests and band keys (written to the checkpoint
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tabulens.session import pin
 
+from .clusters import across, block_groups, each_group, near_matrix, overlaps
 from .graph import Forest, components
 from .shingles import WIDTH, WordHashes, find_words, scramble, shingle_hashes, slices
 from .texts import whole
@@ -49,10 +50,6 @@ from .texts import whole
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 8
-BLOCK = 256
-# Elements (shingles with their occurrences) of a block in large clusters.
-BLOCK_SHINGLES = 400_000
-COLUMNS = 4096
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,53 +135,14 @@ def _describe(
             )
 
 
-def _links(
-    batches: Iterator[pa.RecordBatch], threshold: float, width: int
-) -> Iterator[pa.RecordBatch]:
-    """Links of every group of texts that stand one after the other (cluster, i, j)."""
-    word_hashes = WordHashes()
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def compared() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        nodes = rows["node"].to_pylist()
-        part = rows["part"].to_numpy()
-        # pairs inside one block are the group's in which it stands alone
-        found = _near_pairs(rows["text"].to_pylist(), part, threshold, width, word_hashes)
-        forest = Forest()
-        links = [
-            {"a": nodes[i], "b": nodes[j]} for i, j in found if forest.join(nodes[i], nodes[j])
-        ]
-        return pa.RecordBatch.from_pylist(links, schema)
+def _elements(
+    texts: list[str], width: int, word_hashes: WordHashes
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, element) of all texts and the number of elements of each.
 
-    for batch in batches:
-        keys = list(
-            zip(*(batch.column(k).to_pylist() for k in ("cluster", "i", "j")), strict=True)
-        )
-        start = 0
-        for at in range(1, len(keys) + 1):
-            if at < len(keys) and keys[at] == keys[start]:
-                continue
-            if key is not None and key != keys[start]:
-                yield compared()
-                held = []
-            key = keys[start]
-            held.append(batch.slice(start, at - start))
-            start = at
-    if held:
-        yield compared()
-
-
-def _near_pairs(
-    texts: list[str], part: np.ndarray, threshold: float, width: int, word_hashes: WordHashes
-) -> list[tuple[int, int]]:
-    """Pairs of texts with a weighted Jaccard at the threshold or above; exact.
-
-    With two parts only pairs across them are compared.
+    A shingle that occurs n times is n elements, so overlaps of bags are those of sets.
     """
-    flats, sizes = [], []
+    flats, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for a, b in slices([len(t) for t in texts]):
         words = [find_words(t.lower()) for t in texts[a:b]]
         counts = np.fromiter(map(len, words), np.int64, b - a)
@@ -193,28 +151,32 @@ def _near_pairs(
         sizes.append(own)
     size = np.concatenate(sizes)
     row, shingle, weight = bags(np.concatenate(flats), size)
-    # a shingle that occurs n times is n elements, so that overlaps are those of sets
     again = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
     element = scramble(np.repeat(shingle, weight) + again.astype(np.uint64) * _GOLDEN)
-    owner = np.repeat(row, weight)
-    _, column, met = np.unique(element, return_inverse=True, return_counts=True)
-    shared = met[column] > 1
-    owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    overlap = np.zeros((len(texts), len(texts)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [low, low + COLUMNS])
-        there = np.zeros((len(texts), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
-        there[owner[a:b], column[a:b] - low] = 1.0
-        overlap += there @ there.T  # counts below 2 ** 24 are exact in single precision
-    union = size[:, None] + size[None, :] - overlap
-    near = (union > 0) & (overlap >= threshold * union)
-    if len(np.unique(part)) > 1:
-        near &= part[:, None] != part[None, :]
-    i, j = np.nonzero(np.triu(near, 1))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    return np.repeat(row, weight), element, size
+
+
+def _links(
+    batches: Iterator[pa.RecordBatch], threshold: float, width: int
+) -> Iterator[pa.RecordBatch]:
+    """(a, b): exact links of each group, as many as join what was apart."""
+    word_hashes = WordHashes()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        nodes = rows["node"].to_pylist()
+        owner, element, size = _elements(rows["text"].to_pylist(), width, word_hashes)
+        overlap = overlaps(owner, element, len(nodes))
+        near = near_matrix(overlap, size, threshold, across(rows))
+        forest = Forest()
+        links = [
+            {"a": nodes[i], "b": nodes[j]}
+            for i, j in zip(*np.nonzero(np.triu(near)), strict=True)
+            if nodes[i] != nodes[j] and forest.join(nodes[i], nodes[j])
+        ]
+        return pa.RecordBatch.from_pylist(links, schema)
+
+    return each_group(batches, compare)
 
 
 def describe(
@@ -304,62 +266,8 @@ def _verified(
     width: int,
 ) -> DataFrame:
     """(a, b): exact links between the texts of each cluster."""
-    step = float(-np.log(threshold))
-    sized = classes.select("node", "shingles").join(cluster, "node")
-    sizes = sized.groupBy("component").agg(
-        ((F.count("*") <= BLOCK) & (F.sum("shingles") <= 4 * BLOCK_SHINGLES)).alias("fits")
-    )
-    member = (
-        sized.join(sizes, "component")
-        # one class for a cluster that fits into a block
-        .withColumn(
-            "size_class",
-            F.when(F.col("fits"), 0).otherwise(
-                F.floor(F.log(F.col("shingles")) / step + 1e-9).cast("int")
-            ),
-        )
-    )
-    blocks = (
-        member.groupBy("component", "size_class")
-        .agg(F.count("*").alias("n"), F.sum("shingles").alias("all"))
-        .select(
-            "component",
-            "size_class",
-            F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
-            .cast("int")
-            .alias("parts"),
-        )
-    )
-    blocks = pin(blocks)
-    one = F.when(F.col("fits"), 1).otherwise(F.col("parts"))
-    placed = member.join(blocks, ["component", "size_class"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), one).cast("int")
-    )
-    other = blocks.select(
-        "component", F.col("size_class").alias("other_class"), F.col("parts").alias("other_parts")
-    )
-    # each text meets the blocks of its own class and of the classes beside it
-    met = (
-        placed.join(other, "component")
-        .where(F.abs(F.col("size_class") - F.col("other_class")) <= 1)
-        .withColumn(
-            "other_block",
-            F.explode(
-                F.sequence(
-                    F.lit(0),
-                    F.when(F.col("fits"), 0).otherwise(F.col("other_parts") - 1),
-                )
-            ),
-        )
-    )
-    own = F.col("size_class").cast("long") * 2**32 + F.col("block")
-    its = F.col("other_class").cast("long") * 2**32 + F.col("other_block")
-    groups = met.select(
-        "node", "component", F.least(own, its).alias("i"), F.greatest(own, its).alias("j"),
-        own.alias("part"),
-    ).groupBy("node", F.col("component").alias("cluster")).agg(
-        F.collect_set(F.struct("i", "j", "part")).alias("groups")
-    )
+    member = classes.select("node", F.col("shingles").alias("size")).join(cluster, "node")
+    groups = block_groups(member, threshold)
     where = texts.select("node", "id", "digest").join(groups, "node")
     source = df.select(
         F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest"),
@@ -378,7 +286,6 @@ def _verified(
         rows.repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j", "node")
         .mapInArrow(lambda batches: _links(batches, threshold, width), "a long, b long")
-        .where(F.col("a") != F.col("b"))
         .distinct()
     )
 
