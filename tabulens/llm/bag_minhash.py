@@ -294,13 +294,14 @@ def dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings
 ) -> DataFrame:
     """The rows of ``df`` that stay: one of each near-duplicate class."""
+
+    def keyed(frame: DataFrame, ident: str) -> DataFrame:
+        key = F.xxhash64(F.col(f"`{ident}`"), F.col("__llm_digest"))
+        return frame.withColumn("__llm_key", key)
+
     stay = near_classes(df, id_col, text_col, **settings).where("kept")
-    marked = df.withColumn("__llm_digest", text_digest(text_col)).alias("d")
-    stay = stay.select("id", "digest").alias("s")
-    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (
-        F.col("d.__llm_digest") == F.col("s.digest")
-    )
-    return (
-        marked.join(stay, same, "left_semi").dropDuplicates([id_col, "__llm_digest"])
-        .drop("__llm_digest")
-    )
+    stay = keyed(stay.select("id", F.col("digest").alias("__llm_digest")), "id").drop("id")
+    marked = keyed(df.withColumn("__llm_digest", text_digest(text_col)), id_col)
+    keys = ["__llm_key", "__llm_digest"]
+    # repeated rows stand in one partition after the join
+    return marked.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)

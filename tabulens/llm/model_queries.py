@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classifier import TRAIN_ROWS, classify, train
+from .lm_score import score_texts
 from .registry import query, table
 
 
@@ -30,3 +31,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.withColumn("held_out", held_out), model).select(
         "doc_id", "held_out", "score", "predicted"
     )
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and n-gram scores of every document, learnt from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, fold("doc_id", 10) == 0).withColumnRenamed("id", "doc_id")

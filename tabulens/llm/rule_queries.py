@@ -171,7 +171,7 @@ def _license_sql() -> str:
     templates = ", ".join(
         f"('{name}', {listed(template_bigrams(text))})" for name, text in TEMPLATES.items()
     )
-    return f"""
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 p AS (
     SELECT rid, unnest(list_distinct(list_concat(
