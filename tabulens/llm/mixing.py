@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabulens.session import pin
 
-from .texts import bind, whole, words
+from .texts import bind, settled, whole, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -63,7 +63,7 @@ def source_targets(
 
     Weights repeat along the ordered sources. With the sources ordered by the level at which each
     is full, the level that spends the whole share is the first one that does not exceed the next
-    source's.
+    source's; from there on levels fall, as sources are counted as full that are not.
     """
     by_name = Window.orderBy("key")
     everything = Window.partitionBy()
@@ -81,7 +81,7 @@ def source_targets(
         F.sum("weight").over(before), F.lit(0.0)
     )
     levels = weighted.withColumn("level", left / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
     target = F.least(F.col("limit").cast("double"), level * F.col("weight"))
     return levels.select("key", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -263,7 +263,7 @@ def _decided(joined: DataFrame, cap: int) -> DataFrame:
 
     expected = F.least(F.lit(float(cap)), rate * row["own"])
     return (
-        joined.withColumn("copies", bind(expected, copies).cast("long"))
+        joined.withColumn("copies", settled(bind(expected, copies).cast("long")))
         .withColumn("size", row["size"])
         .withColumn("source_size", source["source_size"])
         .withColumn("target", source["target"])

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import bind, whole, words
+from .texts import bind, settled, whole, words
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -167,7 +167,7 @@ def apply_rules(signals: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         F.array(*(F.when(~_holds(r), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull()
     )
     return signals.withColumns({"base_failed": base, "failed_rules": failed}).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
+        "kept", settled(~F.col("base_failed") & (F.size("failed_rules") == 0))
     )
 
 

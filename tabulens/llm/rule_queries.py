@@ -129,7 +129,7 @@ c AS (
 ),
 t AS (
     SELECT key, source_size, coalesce(least(CAST(lim AS DOUBLE),
-        min(CASE WHEN level <= full_at THEN level END) OVER () * weight), 0.0) AS target
+        max(CASE WHEN level <= full_at THEN level END) OVER () * weight), 0.0) AS target
     FROM c
 ),
 e AS (

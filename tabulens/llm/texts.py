@@ -23,3 +23,13 @@ def words(text: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def settled(value: Column) -> Column:
+    """``value``, computed where it stands.
+
+    Filters and generators over a deterministic column are moved below its projection, with the
+    whole expression copied into them, once for each use. A term that the optimiser must not move
+    keeps a costly expression in one place.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
