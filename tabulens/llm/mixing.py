@@ -187,7 +187,7 @@ def mix(
     targets = pin(targets.join(sums.select("key", "mass"), "key"))
     expected = F.least(
         F.lit(float(cap)),
-        F.coalesce(F.col("target") / F.col("mass"), F.lit(0.0)) * F.col("own"),
+        F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)) * F.col("own"),
     )
 
     def ranked(frame: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def mix(
 
 def _decided(joined: DataFrame, cap: int) -> DataFrame:
     row, source = F.col("__llm_row"), F.col("__llm_source")
-    rate = F.coalesce(source["target"] / source["mass"], F.lit(0.0))
+    rate = F.coalesce(F.try_divide(source["target"], source["mass"]), F.lit(0.0))
 
     def copies(expected: Column) -> Column:
         certain = F.floor(expected)

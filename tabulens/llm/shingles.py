@@ -77,7 +77,7 @@ def shingle_hashes(
     starts = place <= (counts[rows] - taken)
     for k in range(width):
         step = np.zeros(total, np.uint64)
-        step[: total - k] = words[k:]
+        step[: max(total - k, 0)] = words[k:]
         inside = k < taken
         mixed = scramble(out ^ step) + np.uint64(k + 1)
         out = np.where(inside, mixed, out)
