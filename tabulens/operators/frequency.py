@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulens.functions.text import named
+from tabulens.session import pin
 
 # Texts longer than this are told apart by a 128-bit digest, so that counting distinct
 # documents shuffles 16 bytes per value instead of the document.
@@ -114,11 +115,21 @@ def category_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+# Up to so many distinct values their counts are sent to every task.
+BROADCAST_VALUES = 10_000
+
+
 def frequency_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the number of rows that share the row's value; NULL stays NULL.
 
-    A categorical column has at most 100 values, so its counts may be broadcast.
+    The counts are broadcast when there are few values, as a categorical column has; otherwise
+    they are joined by a shuffle.
     """
-    counts = value_counts(df.select(named(column).alias("_value")).dropna(), "_value")
-    lookup = counts.withColumnRenamed("n", name)
-    return df.join(F.broadcast(lookup), named(column) == F.col("_value"), "left").drop("_value")
+    key = "_value"
+    while key in df.columns or key == name:
+        key += "_"
+    counts = value_counts(df.select(named(column).alias("value")).dropna(), "value")
+    lookup = pin(counts.select(F.col("value").alias(key), F.col("n").alias(name)))
+    if lookup.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        lookup = F.broadcast(lookup)
+    return df.join(lookup, named(column) == F.col(key), "left").drop(key)

@@ -6,10 +6,12 @@ table runs nothing. Frames only hold the reduced data; the table itself stays wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tabulens.functions.numbers import null_non_finite
@@ -34,7 +36,7 @@ from tabulens.operators.sampling import SAMPLE_ROWS, sample_rows, scatter_outlie
 from tabulens.plans.choose import ALTERNATIVES, choose_charts, choose_pair_charts
 from tabulens.plans.profile import Metrics, profile_frame
 from tabulens.plans.types import ColumnType
-from tabulens.session import small_table
+from tabulens.session import pin, small_table
 
 # How much of a column a chart shows.
 LINE_POINTS, MASK_ROWS = 200, 100
@@ -161,15 +163,17 @@ def timeline(df: DataFrame, column: ColumnType) -> DataFrame:
     The dates at the wanted ranks are looked up in the value counts, so a date shared by
     many rows is one value, and a long column is narrowed instead of sorted.
     """
-    # microseconds stay exact as a double
-    micros = F.unix_micros(column.timestamp.cast("timestamp")).cast("double")
+    # of the time as written, in no zone; microseconds stay exact as a double
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    written = column.timestamp.cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, written).cast("double")
     long = df.select(F.lit(0).alias("pos"), micros.alias("value")).where(F.col("value").isNotNull())
     n = long.count()
     ranks = range(0, n, max(1, n // LINE_POINTS))
     found = values_at_ranks(long, {0: ranks}, {0: n}) if n else {}
     rows = [(point, int(found[0, rank])) for point, rank in enumerate(ranks)]
     table = small_table(df.sparkSession, rows, "point bigint, micros bigint")
-    return table.select("point", F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"))
+    return table.select("point", F.timestamp_add("MICROSECOND", F.col("micros"), epoch).alias("ts"))
 
 
 def category_counts(df: DataFrame, column: ColumnType) -> DataFrame:
@@ -214,18 +218,22 @@ def points(
 def scatter_data(
     df: DataFrame, x: ColumnType, y: ColumnType, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    """(x, y) of at most 600 rows, drawn by a keyed digest of the order columns, and those."""
-    return sample_rows(points(df, x, y, order_by), _point_key(order_by), SAMPLE_ROWS)
+    """(x, y) of at most 600 rows, drawn by a keyed digest of the order columns, and those.
 
-
-def _point_key(order_by: Sequence[str]) -> list[str]:
-    return key_names(order_by) or ["x", "y"]
+    Without order columns rows are drawn by their place in the reading, so that equal points are
+    drawn as often as they occur.
+    """
+    if order_by:
+        return sample_rows(points(df, x, y, order_by), key_names(order_by), SAMPLE_ROWS)
+    placed = points(df, x, y).withColumn("_place", F.monotonically_increasing_id())
+    return sample_rows(placed, ["_place"], SAMPLE_ROWS).select("x", "y")
 
 
 def scatter_outlier_data(
     df: DataFrame, x: ColumnType, y: ColumnType, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    return scatter_outliers(scatter_data(df, x, y, order_by), _point_key(order_by))
+    sample = pin(scatter_data(df, x, y, order_by))  # drawn once for quartiles and points
+    return scatter_outliers(sample, key_names(order_by) or ["x", "y"])
 
 
 def xy_line(df: DataFrame, x: ColumnType, y: ColumnType) -> DataFrame:
@@ -415,20 +423,62 @@ def report_charts(
 def _complete_rows(
     df: DataFrame, pairs: Sequence[tuple[ColumnType, ColumnType]]
 ) -> list[int]:
-    """Rows with both values, per pair; only pairs with gaps are counted."""
-    gaps = {
-        i: pair for i, pair in enumerate(pairs) if any(c.present < c.total for c in pair)
-    }
-    counts = {i: pairs[i][0].total for i in range(len(pairs))}
+    """Rows with both values, per pair, as the charts see them: NaN and unread text are gaps.
+
+    Only columns with gaps are looked at together: each task multiplies its 0/1 matrix of present
+    values with itself, and the rows of the products are added up.
+    """
+    columns = list({c.name: c for pair in pairs for c in pair}.values())
+    gaps = [c for c in columns if c.present < c.total or _family_has_nan(c)]
+    counts: dict[tuple[str, str], int] = {}
     if gaps:
-        row = df.agg(
-            *[
-                F.count_if(x.column.isNotNull() & y.column.isNotNull()).alias(str(i))
-                for i, (x, y) in gaps.items()
-            ]
-        ).first()
-        counts.update({i: row[str(i)] for i in gaps})
-    return [counts[i] for i in range(len(pairs))]
+        place = {c.name: i for i, c in enumerate(gaps)}
+        present = F.array(*(_shown_value(c).isNotNull() for c in gaps))
+        size = len(gaps)
+        products = (
+            df.select(present.alias("present"))
+            .mapInArrow(lambda batches: _present_products(batches, size), "i int, n array<long>")
+            .groupBy("i")
+            .agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size)))
+            .collect()
+        )
+        both = {row["i"]: row for row in products}
+        alone = {c.name: both[place[c.name]][f"n{place[c.name]}"] if both else 0 for c in gaps}
+        for x, y in pairs:
+            if x.name in place and y.name in place:
+                row = both.get(place[x.name])
+                counts[x.name, y.name] = row[f"n{place[y.name]}"] if row else 0
+            else:
+                counts[x.name, y.name] = alone.get(x.name, alone.get(y.name, x.total))
+    return [counts.get((x.name, y.name), x.total) for x, y in pairs]
+
+
+def _family_has_nan(column: ColumnType) -> bool:
+    return isinstance(column.dtype, (T.FloatType, T.DoubleType)) or (
+        isinstance(column.dtype, T.StringType) and column.kind in ("numeric", "date")
+    )
+
+
+def _shown_value(column: ColumnType) -> Column:
+    """The value as charts use it."""
+    if column.kind == "numeric":
+        return column.number
+    return column.timestamp if column.kind == "date" else column.text
+
+
+def _present_products(
+    batches: Iterator[pa.RecordBatch], size: int
+) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((size, size), np.int64)
+    for batch in batches:
+        flat = batch.column("present").flatten().to_numpy(zero_copy_only=False)
+        # counts of a batch are exact in single precision
+        there = flat.astype(np.float32).reshape(-1, size)
+        total += (there.T @ there).astype(np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(size, dtype=np.int32)), pa.array(list(total), pa.list_(pa.int64()))],
+        names=["i", "n"],
+    )
 
 
 def _column_charts(
@@ -633,7 +683,7 @@ def _single_pair(
 
 
 def _has_numbers(df: DataFrame, column: ColumnType, x: ColumnType, y: ColumnType) -> bool:
-    complete = df.where(x.column.isNotNull() & y.column.isNotNull())
+    complete = df.where(_shown_value(x).isNotNull() & _shown_value(y).isNotNull())
     return bool(complete.select(column.number.alias("v")).dropna().head(1))
 
 

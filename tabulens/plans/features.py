@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,7 +47,16 @@ def suggest_features(
     for make in (_numeric, _dates, _categories, _ratios):
         for feature in make(types, facts):
             found.setdefault(feature.name, feature)
-    return list(found.values())[:MOST_FEATURES]
+    # names are compared as Spark does, without case
+    taken = {c.name.lower() for c in types}
+    out = []
+    for feature in list(found.values())[:MOST_FEATURES]:
+        name, number = feature.name, 2
+        while name.lower() in taken:
+            name, number = f"{feature.name}_{number}", number + 1
+        taken.add(name.lower())
+        out.append(replace(feature, name=name))
+    return out
 
 
 def _shown(metrics: Metrics, name: str, digits: int = 4) -> float:

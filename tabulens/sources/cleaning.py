@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,7 +15,7 @@ from tabulens.operators.ordinal import is_row_number, key_names, order_keys, wit
 
 # Fixed values.
 MOST_COLUMNS = 300
-UNNAMED = re.compile(r"unnamed[:_ ]*\d+", re.IGNORECASE)
+UNNAMED = re.compile(r"unnamed[:_ ]+\d+", re.IGNORECASE)
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -30,9 +31,15 @@ def unique_names(names: Sequence[str]) -> list[str]:
 
 
 def clean_table(
-    df: DataFrame, order_by: Sequence[str] = (), booleans: bool = False
+    df: DataFrame,
+    order_by: Sequence[str] = (),
+    booleans: bool = False,
+    max_columns: int | None = MOST_COLUMNS,
 ) -> DataFrame:
-    """Tidy names; drop empty columns, empty rows and row-number columns; 300 columns at most.
+    """Tidy names; drop empty columns, empty rows and row-number columns.
+
+    Columns behind the first ``max_columns`` are dropped with a warning that names them; None keeps
+    all.
 
     One aggregate decides about all columns; the rest are projections and a filter. With
     ``booleans``, text columns that hold nothing but true and false become booleans.
@@ -51,8 +58,12 @@ def clean_table(
     for name in list(kept_names):
         if name.lower() == "index" and _counts_rows(df, name, order_by):
             kept_names.remove(name)
+    if max_columns is not None and len(kept_names) > max_columns:
+        dropped = ", ".join(kept_names[max_columns:])
+        warnings.warn(f"columns beyond the first {max_columns} are dropped: {dropped}", stacklevel=2)
+        kept_names = kept_names[:max_columns]
     columns = []
-    for name in kept_names[:MOST_COLUMNS]:
+    for name in kept_names:
         present, words = facts[kept[names.index(name)]]
         column = F.col(f"`{name}`")
         is_boolean = booleans and words == present

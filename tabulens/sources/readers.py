@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabulens.functions.text import null_na_tokens
-from tabulens.sources.cleaning import clean_table, unique_names
+from tabulens.sources.cleaning import MOST_COLUMNS, clean_table, unique_names
 
 # Fixed values.
 DELIMITERS = (",", ";", "\t", "|")
@@ -17,14 +19,18 @@ EXTRA = "_extra_field"
 
 
 def read_table(
-    spark: SparkSession, path: str, ext: str | None = None, encoding: str = "utf-8"
+    spark: SparkSession,
+    path: str,
+    ext: str | None = None,
+    encoding: str = "utf-8",
+    max_columns: int | None = MOST_COLUMNS,
 ) -> DataFrame:
     """Read and clean a file or folder; the kind is taken from ``ext`` or the file name."""
     kind = (ext or path.rsplit(".", 1)[-1]).lower().lstrip(".")
     if kind == "csv":
-        return read_csv(spark, path, encoding=encoding)
+        return read_csv(spark, path, encoding=encoding, max_columns=max_columns)
     if kind == "json":
-        return read_json(spark, path, encoding)
+        return read_json(spark, path, encoding, max_columns=max_columns)
     if kind in ("xls", "xlsx"):
         raise ValueError("Workbooks are not read; save the sheet as CSV.")
     raise ValueError(f"Unsupported file extension: .{kind}")
@@ -51,19 +57,51 @@ def _literal(text: str) -> str:
     return r"\|" if text == "|" else text
 
 
+def _broken_lines(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Lines with an odd number of quotes, and lines with bytes that are not UTF-8."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.translate(line, '"', ""))
+    row = (
+        spark.read.text(path)
+        .agg(F.count_if(quotes % 2 == 1), F.count_if(F.contains(line, F.lit("\ufffd"))))
+        .first()
+    )
+    return row[0], row[1]
+
+
+def _undecodable(lines: int) -> ValueError:
+    return ValueError(
+        f"{lines} lines hold characters that are not UTF-8; pass encoding, such as 'latin-1'."
+    )
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     sep: str | None = None,
     encoding: str = "utf-8",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     clean: bool = True,
+    max_columns: int | None = MOST_COLUMNS,
 ) -> DataFrame:
     """Delimited text with a header line; every column as text, missing-value tokens NULL.
 
-    Rows with too many fields are left out, short ones padded. Files stay splittable unless
-    ``multi_line`` is set, which quoted line breaks need.
+    Rows with too many fields are left out, short ones padded. Files are read in splits unless
+    ``multi_line`` is set; without a choice of the caller, a pass over the lines looks for quoted
+    line breaks (an odd number of quotes in a line) and sets it where it finds any, with a warning.
+    Text that is not UTF-8 raises an error where no other ``encoding`` is given.
     """
+    utf8 = encoding.lower().replace("-", "") == "utf8"
+    if multi_line is None or utf8:
+        odd, undecodable = _broken_lines(spark, path)
+        if utf8 and undecodable:
+            raise _undecodable(undecodable)
+        if multi_line is None:
+            multi_line = odd > 0
+            if multi_line:
+                warnings.warn(
+                    f"{odd} lines end inside quotes: each file is read as a whole", stacklevel=2
+                )
     sep = sep or sniff_delimiter(spark, path, encoding)
     reader = (
         spark.read.option("sep", sep)
@@ -85,20 +123,41 @@ def read_csv(
     # the one field too many tells a long row from a complete one
     kept = rows.where(F.col(EXTRA).isNull())
     df = kept.select(*[null_na_tokens(F.col(f.name)).alias(n) for f, n in zip(fields, names)])
-    return clean_table(df, booleans=True) if clean else df
+    return clean_table(df, booleans=True, max_columns=max_columns) if clean else df
+
+
+def _is_record(line: str) -> bool:
+    """Whether a line is a whole JSON object."""
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
 
 
 def read_json(
-    spark: SparkSession, path: str, encoding: str = "utf-8", clean: bool = True
+    spark: SparkSession,
+    path: str,
+    encoding: str = "utf-8",
+    clean: bool = True,
+    max_columns: int | None = MOST_COLUMNS,
 ) -> DataFrame:
     """JSON in one of these forms: a record per line (read in parallel), an array of records,
-    an object that wraps such an array, an object of columns, or a single flat object."""
+    an object that wraps such an array, an object of columns, or a single flat object.
+
+    The first filled line decides: with more lines behind it, a whole object is a record per line,
+    and blank lines do not count. A line that is no record raises an error. Text that is not UTF-8 raises an error where no other ``encoding`` is given.
+    """
     reader = spark.read.option("encoding", encoding)
-    head = [row["value"].strip() for row in spark.read.text(path).limit(2).collect()]
-    first = head[0].lstrip("﻿") if head else ""
-    if len(head) == 2 and first.startswith("{") and first.endswith("}"):
+    lines = spark.read.text(path).where(F.trim(F.translate("value", "\ufeff\t\r", "")) != "")
+    head = [row["value"].strip() for row in lines.limit(2).collect()]
+    first = head[0].lstrip("\ufeff") if head else ""
+    if encoding.lower().replace("-", "") == "utf8":
+        undecodable = lines.where(F.contains("value", F.lit("\ufffd"))).count()
+        if undecodable:
+            raise _undecodable(undecodable)
+    if len(head) == 2 and _is_record(first):
         df = reader.json(path)
-        keys = _key_order(spark.read.text(path).limit(1), "$")
+        keys = _key_order(lines.limit(1), "$")
     else:
         document = spark.read.text(path, wholetext=True)
         df = reader.option("multiLine", True).json(path)
@@ -112,7 +171,7 @@ def read_json(
         raise ValueError("The file is not valid JSON.")
     order = [k for k in keys if k in df.columns] + [c for c in df.columns if c not in keys]
     df = df.select(*[f"`{name}`" for name in order])
-    return clean_table(df) if clean else df
+    return clean_table(df, max_columns=max_columns) if clean else df
 
 
 def _key_order(text: DataFrame, path: str) -> list[str]:

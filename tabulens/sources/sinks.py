@@ -9,6 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, functions as F
 
 from tabulens.functions.numbers import null_non_finite
+from tabulens.session import pin
 
 if TYPE_CHECKING:
     from tabulens.plans.report import Report
@@ -29,10 +30,21 @@ def finite_only(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+# Frames of up to so many rows become one file.
+ONE_FILE_ROWS = 100_000
+
+
 def write_frames(frames: Mapping[str, DataFrame], path: str, fmt: str = "json") -> None:
-    """Each (small) frame into one file in its own folder below ``path``."""
+    """Each frame into its own folder below ``path``.
+
+    A frame is computed in parallel and pinned first. A small one is then gathered into one file, in
+    its order; one that holds many rows (a line through all points) is written by all tasks, whose
+    files follow its order.
+    """
     for name, frame in frames.items():
-        writer = finite_only(frame).coalesce(1).write.mode("overwrite").format(fmt)
+        pinned = pin(finite_only(frame))
+        small = pinned.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
+        writer = (pinned.coalesce(1) if small else pinned).write.mode("overwrite").format(fmt)
         if fmt == "json":
             writer = writer.option("ignoreNullFields", False)
         writer.save(f"{path}/{name}")
@@ -56,7 +68,7 @@ def report_document(report: Report) -> DataFrame:
     parts = []
     for name, frame in report.frames().items():
         row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        rows = finite_only(frame).coalesce(1).select(row.alias("row"))
+        rows = pin(finite_only(frame)).coalesce(1).select(row.alias("row"))
         listed = rows.agg(F.array_join(F.collect_list("row"), ",")).scalar()
         parts.append(F.concat(F.lit(f'"{name}":['), listed, F.lit("]")))
     body = F.concat_ws(",", *parts)

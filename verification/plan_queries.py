@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulens.functions.numbers import parse_number
 from tabulens.plans import charts
@@ -17,7 +18,7 @@ from tabulens.plans.profile import column_metrics, profile, profile_frame
 from tabulens.plans.report import digest, preview
 from tabulens.plans.types import detect_types
 from tabulens.session import ensure_checkpoint_dir
-from tabulens.sources import clean_table, read_csv, read_json
+from tabulens.sources import clean_table, read_csv, read_json, read_table
 from verification.datasets import EVENTS, LABELLED, MIXED, ORDERS, Dataset, load, table
 from verification.plan_sql import (
     chart_choice_sql,
@@ -248,30 +249,116 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
+CUSTOMERS = (
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment"
+    " FROM customer"
+)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """The customers as read, whatever types their source has."""
+    text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+
+    def number(name: str) -> Column:
+        return parse_number(F.col(name)) if name in text else F.col(name)
+
+    return df.select(
+        number("c_custkey").cast("long").alias("c_custkey"),
+        "c_name",
+        number("c_nationkey").cast("long").alias("c_nationkey"),
+        number("c_acctbal").cast("double").alias("c_acctbal"),
+        "c_mktsegment",
+    )
 
 
 @query("csv_roundtrip", CUSTOMERS)
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delimited file written and read back; the delimiter is found out."""
-    df = table(spark, sf_dir, "customer").drop("c_nationkey")
     path = _scratch(spark, "customer-csv")
-    df.write.option("header", True).option("sep", ";").csv(path)
-    out = read_csv(spark, path)
-    return out.select(
-        parse_number(F.col("c_custkey")).cast("long").alias("c_custkey"),
-        "c_name",
-        parse_number(F.col("c_acctbal")).alias("c_acctbal"),
-        "c_mktsegment",
-    )
+    table(spark, sf_dir, "customer").write.option("header", True).option("sep", ";").csv(path)
+    return _typed(read_csv(spark, path))
+
+
+@query("read_table", CUSTOMERS)
+def read_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of a file is told by its extension."""
+    path = f"{_scratch(spark, 'customer')}.csv"
+    table(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    return _typed(read_table(spark, path))
+
+
+@query(
+    "csv_quoted_breaks",
+    CUSTOMERS.replace("c_name,", "c_name || chr(10) || c_mktsegment AS c_name,"),
+)
+def csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks inside quotes belong to the value."""
+    path = _scratch(spark, "customer-breaks")
+    name = F.concat("c_name", F.lit("\n"), "c_mktsegment")
+    table(spark, sf_dir, "customer").withColumn("c_name", name).write.option("header", True).csv(path)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _typed(read_csv(spark, path))
 
 
 @query("json_roundtrip", CUSTOMERS)
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").drop("c_nationkey")
     path = _scratch(spark, "customer-json")
-    df.write.json(path)
-    return read_json(spark, path)
+    table(spark, sf_dir, "customer").write.json(path)
+    return _typed(read_json(spark, path))
+
+
+@query("json_lines_blank_head", CUSTOMERS)
+def json_lines_blank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank lines, also the first of a file, are no records."""
+    path = _scratch(spark, "customer-blank")
+    record = F.concat(F.lit("\n"), F.to_json(F.struct("*")))
+    table(spark, sf_dir, "customer").select(record).write.text(path)
+    return _typed(read_json(spark, path))
+
+
+def _one_document(spark: SparkSession, sf_dir: str, name: str, document: Column) -> DataFrame:
+    """The customers written as one JSON document (one row by its nature) and read back."""
+    path = _scratch(spark, name)
+    table(spark, sf_dir, "customer").agg(document.alias("value")).write.text(path)
+    return _typed(read_json(spark, path))
+
+
+def _records() -> Column:
+    return F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n")
+
+
+@query("json_array", CUSTOMERS)
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = F.concat(F.lit("["), _records(), F.lit("]"))
+    return _one_document(spark, sf_dir, "customer-array", document)
+
+
+@query("json_wrapper", CUSTOMERS)
+def json_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = F.concat(F.lit('{"source": "shop", "records": ['), _records(), F.lit("]}"))
+    return _one_document(spark, sf_dir, "customer-wrapper", document)
+
+
+@query("json_columns", CUSTOMERS)
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").columns
+    document = F.to_json(F.struct(*(F.collect_list(n).alias(n) for n in names)))
+    return _one_document(spark, sf_dir, "customer-columns", document)
+
+
+@query(
+    "report_written",
+    "SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY o_orderpriority",
+)
+def report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written with its chart data, and one chart read back."""
+    from tabulens.plans.report import full_report
+    from tabulens.sources import write_report
+
+    path = _scratch(spark, "report")
+    write_report(full_report(load(spark, sf_dir, ORDERS), ORDERS.order), path)
+    return spark.read.json(f"{path}/chart_data/bar_o_orderpriority").select("label", "n")
 
 
 @query(
