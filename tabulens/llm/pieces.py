@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,10 @@ from .texts import whole
 
 MARKER = "▁"
 # Distinct chunks kept by a task, and characters of text taken at a time.
-TABLE_CHUNKS = 400_000
-SLICE_CHARS = 4_000_000
+TABLE_CHUNKS = 200_000
+SLICE_CHARS = 1_000_000
 
 
-@lru_cache(maxsize=2)
 def load(model: str):
     import sentencepiece
 
@@ -114,50 +112,76 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_column(model: str):
-    """A function of a text column to an array of ids."""
+def _encoder(model: str):
+    """A function of a list of texts to their ids as an Arrow list array."""
+    processor = load(model)
+    table = ChunkTable(processor) if chunks_are_safe(processor) else None
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        processor = load(model)
-        table = ChunkTable(processor) if chunks_are_safe(processor) else None
-        for batch in batches:
-            texts = batch.to_pylist()
-            ids, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-            for a, b in _slices(texts):
-                if table is not None:
-                    own, lengths = table.encode(texts[a:b])
-                else:
-                    lists = processor.encode(texts[a:b], num_threads=1)
-                    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-                    own = np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum()))
-                ids.append(own)
-                counts.append(lengths)
-            offsets = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-
-    return encode
-
-
-def decode_column(model: str):
-    """A function of a column of id arrays to texts."""
+    def run(texts: list[str]) -> pa.Array:
+        ids, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for a, b in _slices(texts):
+            if table is not None:
+                own, lengths = table.encode(texts[a:b])
+            else:
+                lists = processor.encode(texts[a:b], num_threads=1)
+                lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+                own = np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum()))
+            ids.append(own)
+            counts.append(lengths)
+        offsets = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        processor = load(model)
-        for batch in batches:
-            yield pa.array(
-                (processor.decode(x.as_py()) if x.is_valid else "" for x in batch), pa.string()
-            )
+    return run
+
+
+def _decoder(model: str):
+    """A function of an Arrow list array of ids to an array of texts."""
+    processor = load(model)
 
-    return decode
+    def run(ids: pa.Array) -> pa.Array:
+        texts = (processor.decode(x.as_py()) if x.is_valid else "" for x in ids)
+        return pa.array(texts, pa.string())
+
+    return run
 
 
 def encode(df: DataFrame, model: str, text_col: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with the ids of each text, without begin or end ids."""
-    return df.withColumn(to, encode_column(model)(whole(text_col)))
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoded = _encoder(model)
+        for batch in batches:
+            yield encoded(batch.to_pylist())
+
+    return df.withColumn(to, run(whole(text_col)))
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the text of each array of ids."""
-    return df.withColumn(to, decode_column(model)(F.col(f"`{ids_col}`")))
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoded = _decoder(model)
+        for batch in batches:
+            yield decoded(batch)
+
+    return df.withColumn(to, run(F.col(f"`{ids_col}`")))
+
+
+def encode_and_decode(
+    df: DataFrame, model: str, text_col: str = "text", to: str = "coded"
+) -> DataFrame:
+    """``df`` with a struct of the ids of each text and the text that they decode to.
+
+    The same as ``decode`` of ``encode``, in one Python process for each task.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoded, decoded = _encoder(model), _decoder(model)
+        for batch in batches:
+            ids = encoded(batch.to_pylist())
+            yield pa.StructArray.from_arrays([ids, decoded(ids)], names=["ids", "decoded"])
+
+    return df.withColumn(to, run(whole(text_col)))

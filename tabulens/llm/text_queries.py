@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back
-from .pieces import decode, encode
+from .pieces import encode_and_decode
 from .registry import query, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -55,7 +55,7 @@ def piece_model() -> str:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of every document, and digest of the text they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, piece_model()).drop("text"), piece_model())
+    coded = encode_and_decode(docs, piece_model()).select("doc_id", "coded.ids", "coded.decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
