@@ -165,15 +165,16 @@ def timeline(df: DataFrame, column: ColumnType) -> DataFrame:
     """
     # of the time as written, in no zone; microseconds stay exact as a double
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    written = column.timestamp.cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", epoch, written).cast("double")
+    seconds = (column.timestamp.cast("timestamp_ntz") - epoch).cast("interval second")
+    micros = (seconds.cast("decimal(18,6)") * 1_000_000).cast("double")
     long = df.select(F.lit(0).alias("pos"), micros.alias("value")).where(F.col("value").isNotNull())
     n = long.count()
     ranks = range(0, n, max(1, n // LINE_POINTS))
     found = values_at_ranks(long, {0: ranks}, {0: n}) if n else {}
     rows = [(point, int(found[0, rank])) for point, rank in enumerate(ranks)]
     table = small_table(df.sparkSession, rows, "point bigint, micros bigint")
-    return table.select("point", F.timestamp_add("MICROSECOND", F.col("micros"), epoch).alias("ts"))
+    passed = F.make_dt_interval(secs=(F.col("micros") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return table.select("point", (epoch + passed).alias("ts"))
 
 
 def category_counts(df: DataFrame, column: ColumnType) -> DataFrame:

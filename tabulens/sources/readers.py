@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import warnings
 from collections.abc import Sequence
@@ -63,12 +64,18 @@ def _broken_lines(spark: SparkSession, path: str) -> tuple[int, int]:
     quotes = F.length(line) - F.length(F.translate(line, '"', ""))
     row = (
         spark.read.text(path)
-        .agg(F.count_if(quotes % 2 == 1), F.count_if(F.contains(line, F.lit("\ufffd"))))
+        .agg(F.count_if(quotes % 2 == 1), F.count_if(~F.is_valid_utf8(line)))
         .first()
     )
     return row[0], row[1]
 
 
+def _charset(encoding: str) -> str:
+    """The name Spark knows an encoding by."""
+    name = codecs.lookup(encoding).name
+    return "ISO-8859-1" if name == "iso8859-1" else name
+
+
 def _undecodable(lines: int) -> ValueError:
     return ValueError(
         f"{lines} lines hold characters that are not UTF-8; pass encoding, such as 'latin-1'."
@@ -91,7 +98,8 @@ def read_csv(
     line breaks (an odd number of quotes in a line) and sets it where it finds any, with a warning.
     Text that is not UTF-8 raises an error where no other ``encoding`` is given.
     """
-    utf8 = encoding.lower().replace("-", "") == "utf8"
+    encoding = _charset(encoding)
+    utf8 = encoding == "utf-8"
     if multi_line is None or utf8:
         odd, undecodable = _broken_lines(spark, path)
         if utf8 and undecodable:
@@ -147,12 +155,13 @@ def read_json(
     The first filled line decides: with more lines behind it, a whole object is a record per line,
     and blank lines do not count. A line that is no record raises an error. Text that is not UTF-8 raises an error where no other ``encoding`` is given.
     """
+    encoding = _charset(encoding)
     reader = spark.read.option("encoding", encoding)
     lines = spark.read.text(path).where(F.trim(F.translate("value", "\ufeff\t\r", "")) != "")
     head = [row["value"].strip() for row in lines.limit(2).collect()]
     first = head[0].lstrip("\ufeff") if head else ""
-    if encoding.lower().replace("-", "") == "utf8":
-        undecodable = lines.where(F.contains("value", F.lit("\ufffd"))).count()
+    if encoding == "utf-8":
+        undecodable = lines.where(~F.is_valid_utf8("value")).count()
         if undecodable:
             raise _undecodable(undecodable)
     if len(head) == 2 and _is_record(first):

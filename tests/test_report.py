@@ -152,3 +152,68 @@ def test_date_features_of_text(spark):
     out = add_features(df, list(features(df).values())).orderBy("d").collect()
     assert [r["d_is_weekend"] for r in out] == [0, 0, 1, 1, 0]
     assert [r["d_year"] for r in out] == [None, 2024, 2024, 2024, 2024]
+
+
+def test_names_of_features_do_not_clash(spark):
+    rows = [(i, float(i % 13) ** 3 + 1, 0.5, "ab"[i % 2], "x") for i in range(60)]
+    df = spark.createDataFrame(
+        rows, "id int, price double, log1p_price double, grp string, _value string"
+    )
+    report = tabulens.full_report(df, order_by=["id"])
+    names = report.features.columns
+    assert len({n.lower() for n in names}) == len(names)
+    assert report.feature_values.count() == 60
+
+
+def test_frequencies_without_a_broadcast(spark, monkeypatch):
+    from tabulens.operators import frequency
+
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "_value string")
+    for most in (10, 0):
+        monkeypatch.setattr(frequency, "BROADCAST_VALUES", most)
+        got = frequency.frequency_encode(df, "_value", "n").collect()
+        assert sorted((r["_value"] or "", r["n"]) for r in got) == [("", None), ("a", 2), ("a", 2), ("b", 1)]
+
+
+def test_equal_points_are_drawn_as_often_as_they_occur(spark):
+    from tabulens.plans import charts
+    from tabulens.plans.types import detect_types
+
+    df = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, 7.5D, id + 0.25D) AS x", "IF(id % 3 = 0, 1.5D, id * 2.0D) AS y"
+    )
+    x, y = detect_types(df)
+    sample = charts.scatter_data(df, x, y)
+    assert sample.columns == ["x", "y"]
+    drawn = sample.where("x = 7.5").count()
+    assert sample.count() == 600 and 150 < drawn < 250
+
+
+def test_timeline_ignores_the_zone(spark):
+    from tabulens.plans import charts
+    from tabulens.plans.types import detect_types
+
+    df = spark.sql(
+        "SELECT CAST(t AS TIMESTAMP_NTZ) AS t FROM VALUES ('2024-03-10 01:30:00'),"
+        " ('2024-03-10 02:30:00'), ('2024-03-10 03:10:00') AS v(t)"
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = charts.timeline(df, detect_types(df)[0]).orderBy("point").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [str(r.ts)[11:16] for r in rows] == ["01:30", "02:30", "03:10"]
+
+
+def test_complete_rows_see_nan_as_a_gap(spark):
+    from tabulens.plans import charts
+    from tabulens.plans.types import detect_types
+
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [(1.0, nan, "a"), (nan, 2.0, "b"), (3.0, None, "c"), (4.0, 5.0, None)],
+        "x double, y double, c string",
+    )
+    x, y, c = detect_types(df)
+    assert charts._complete_rows(df, [(x, y), (x, c), (y, c)]) == [1, 2, 1]

@@ -122,3 +122,53 @@ def test_report_is_written_with_finite_numbers(spark, tmp_path):
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "profile")).collect()]
     assert [r["column"] for r in lines] == ["id", "v", "g"] and lines[2]["mean"] is None
     assert len(list((tmp_path / "out" / "chart_data").iterdir())) == len(report.charts)
+
+
+def test_blank_lines_are_no_records(spark, write):
+    records = "\n".join(json.dumps({"a": i, "b": "x"}) for i in range(50))
+    df = tabulens.read_json(spark, write("t.json", f"\n  \n{records}\n\n"))
+    assert df.count() == 50 and df.columns == ["a", "b"]
+    one = tabulens.read_json(spark, write("u.json", '\n{"a": 1}\n'))
+    assert values(one) == [(1,)]
+    with pytest.raises(ValueError):
+        tabulens.read_json(spark, write("v.json", '{"a": 1}\nnot json\n'))
+
+
+def test_quoted_breaks_belong_to_the_value(spark, write):
+    path = write("t.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    with pytest.warns(UserWarning, match="read as a whole"):
+        df = tabulens.read_csv(spark, path)
+    assert values(df) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_other_encodings_are_asked_for(spark, write):
+    path = write("t.csv", "name,v\ncafé,1\n", "latin-1")
+    with pytest.raises(ValueError, match="latin-1"):
+        tabulens.read_csv(spark, path)
+    assert values(tabulens.read_csv(spark, path, encoding="latin-1")) == [("café", "1")]
+    with pytest.raises(ValueError, match="UTF-8"):
+        tabulens.read_json(spark, write("t.json", '{"name": "café"}', "latin-1"))
+
+
+def test_names_that_look_like_an_index_stay(spark, write):
+    df = tabulens.read_csv(spark, write("t.csv", "unnamed7,Unnamed: 3,v\n1,2,3\n"))
+    assert df.columns == ["unnamed7", "v"]
+
+
+def test_dropped_columns_are_named(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    with pytest.warns(UserWarning, match="dropped: c"):
+        assert clean_table(df, max_columns=2).columns == ["a", "b"]
+    assert clean_table(df, max_columns=None).columns == ["a", "b", "c"]
+
+
+def test_large_frames_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from tabulens.sources import sinks
+
+    frame = spark.range(1000).orderBy("id")
+    sinks.write_frames({"one": frame}, str(tmp_path))
+    monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 100)
+    sinks.write_frames({"many": frame.repartitionByRange(4, "id")}, str(tmp_path))
+    parts = {n: len(list((tmp_path / n).glob("part-*"))) for n in ("one", "many")}
+    assert parts["one"] == 1 and parts["many"] > 1
+    assert [r.id for r in spark.read.json(str(tmp_path / "one")).collect()] == list(range(1000))
