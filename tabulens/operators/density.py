@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.session import small_table
 
@@ -22,9 +22,8 @@ def density(
     """(grp, point, x, density) with 60 points per group from its minimum to its maximum.
 
     ``groups`` lists (grp, min, max, sample std, n) of at most a dozen groups; ``values``
-    holds (grp, value). A row meets the 60 points inside the scan's pipeline and is summed
-    up at once, so each task sends 60 short rows per group. Groups with fewer than two rows
-    or no spread have no curve.
+    holds (grp, value). A row adds to the 60 sums of its group at once, and each task sends one
+    row per group. Groups with fewer than two rows or no spread have no curve.
     """
     usable = [
         (number, name, n, std * n ** (-1 / 5), grid(low, high))
@@ -36,13 +35,18 @@ def density(
         usable,
         "number int, grp string, size bigint, width double, grid array<double>",
     )
-    z = (F.col("value") - F.col("x")) / F.col("width")
-    kernels = (
+    # one sum per grid point, next to each other: rows are not multiplied
+    def kernel(point: int) -> Column:
+        z = (F.col("value") - F.col("grid")[point]) / F.col("width")
+        return F.sum(F.exp(F.lit(-0.5) * z * z))
+
+    sums = (
         values.join(F.broadcast(table), "grp")
-        .select("number", "value", "width", F.posexplode("grid").alias("point", "x"))
-        .groupBy("number", "point")
-        .agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("total"))
+        .groupBy("number")
+        .agg(*(kernel(i).alias(f"t{i}") for i in range(GRID_POINTS)))
     )
+    totals = F.array(*(f"t{i}" for i in range(GRID_POINTS)))
+    kernels = sums.select("number", F.posexplode(totals).alias("point", "total"))
     scale = F.col("size") * F.col("width") * F.lit(math.sqrt(2 * math.pi))
     return kernels.join(F.broadcast(table), "number").select(
         "grp",

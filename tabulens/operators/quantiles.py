@@ -118,7 +118,7 @@ def values_at_ranks(
     while any(b.inside > direct_rows for b in brackets):
         wide = [b for b in brackets if b.inside > direct_rows]
         done = [b for b in brackets if b.inside <= direct_rows]
-        brackets = done + _confirm(long, _propose(long, wide), sizes, found)
+        brackets = done + _confirm(long, _propose(long, wide), found)
     found.update(_read(long, brackets))
     return found
 
@@ -137,8 +137,10 @@ def _is_inside() -> Column:
     return (F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))
 
 
-def _propose(long: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
-    """Tighter brackets around the wanted ranks, from a sketch of each bracket."""
+def _propose(
+    long: DataFrame, brackets: Sequence[Bracket]
+) -> list[tuple[Bracket, Bracket]]:
+    """Tighter brackets around the wanted ranks, from a sketch of each bracket, with that bracket."""
     grid = [i / GRID for i in range(GRID + 1)]
     sketches = {
         row["bracket"]: row["points"]
@@ -157,25 +159,24 @@ def _propose(long: DataFrame, brackets: Sequence[Bracket]) -> list[Bracket]:
             low, high = points[max(0, cell - 1)], points[min(GRID, cell + 2)]
             cells.setdefault((low, high), []).append(rank)
         for (low, high), wanted in cells.items():
-            proposed.append(Bracket(parent.pos, low, high, 0, 0, tuple(wanted)))
+            proposed.append((Bracket(parent.pos, low, high, 0, 0, tuple(wanted)), parent))
     return proposed
 
 
 def _confirm(
     long: DataFrame,
-    proposed: Sequence[Bracket],
-    sizes: Mapping[int, int],
+    proposed: Sequence[tuple[Bracket, Bracket]],
     found: dict[tuple[int, int], float],
 ) -> list[Bracket]:
     """Count the rows around each proposed bracket and place the wanted ranks.
 
     Ranks that fall on an edge value are added to ``found``: an edge may be one value with
-    a third of all rows. A rank the sketch missed gets the bracket on its side instead.
+    a third of all rows. A rank the sketch missed gets the rest of the old bracket on its side.
     """
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     counts = {
         row["bracket"]: row
-        for row in _tagged(long, proposed)
+        for row in _tagged(long, [b for b, _ in proposed])
         .groupBy("bracket")
         .agg(
             F.count_if(value < low).alias("before_low"),
@@ -186,16 +187,16 @@ def _confirm(
         .collect()
     }
     out = []
-    for index, b in enumerate(proposed):
+    for index, (b, parent) in enumerate(proposed):
         row = counts[index]
         before_low, through_low = row["before_low"], row["through_low"]
         before_high, through_high = max(row["before_high"], through_low), row["through_high"]
         found.update({(b.pos, r): b.low for r in b.ranks if before_low <= r < through_low})
         found.update({(b.pos, r): b.high for r in b.ranks if before_high <= r < through_high})
         for start, end, left, right in (
-            (0, before_low, -INFINITY, b.low),
+            (parent.before, before_low, parent.low, b.low),
             (through_low, before_high, b.low, b.high),
-            (through_high, sizes[b.pos], b.high, INFINITY),
+            (through_high, parent.before + parent.inside, b.high, parent.high),
         ):
             wanted = tuple(r for r in b.ranks if start <= r < end)
             if wanted:
