@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-SLICE_CHARS = 4_000_000
-TABLE_WORDS = 400_000
+SLICE_CHARS = 1_000_000
+TABLE_WORDS = 200_000
 WIDTH = 5
 
 find_words: Callable[[str], list[str]] = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -37,6 +39,12 @@ def slices(lengths: Sequence[int], most: int = SLICE_CHARS) -> Iterator[tuple[in
         yield start, len(lengths)
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of texts of about SLICE_CHARS bytes: bounds and texts; only one run is in Python."""
+    for a, b in slices(pc.binary_length(column).to_pylist()):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 class WordHashes:
     """64-bit hashes of words; keeps those it has met, up to a bound."""
 
