@@ -44,7 +44,15 @@ from tabulens.session import pin
 
 from .clusters import across, block_groups, each_group, near_matrix, overlaps
 from .graph import Forest, components
-from .shingles import WIDTH, WordHashes, find_words, scramble, shingle_hashes, slices
+from .shingles import (
+    WIDTH,
+    WordHashes,
+    find_words,
+    scramble,
+    shingle_hashes,
+    slices,
+    text_slices,
+)
 from .texts import whole
 
 THRESHOLD = 0.8
@@ -113,9 +121,8 @@ def _describe(
     """Id, text digest, class digest, number of shingles and band keys of each text."""
     word_hashes = WordHashes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices([len(t) for t in texts]):
-            words = [find_words(t.lower()) for t in texts[a:b]]
+        for a, b, texts in text_slices(batch.column("text")):
+            words = [find_words(t.lower()) for t in texts]
             counts = np.fromiter(map(len, words), np.int64, b - a)
             digests = [xxhash.xxh128_digest(" ".join(w)) for w in words]
             flat = word_hashes([w for own in words for w in own])
