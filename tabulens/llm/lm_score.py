@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tabulens.session import pin
 
-from .shingles import slices
+from .shingles import text_slices
 from .texts import whole
 
 ORDER = 3
@@ -47,7 +47,7 @@ ADD = 0.1
 WORD_SHARE = 1e-6
 STATE_SHARE = 1e-5
 ARC_SHARE = 5e-7
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 # the end of a text is no word: it holds a blank
@@ -166,9 +166,8 @@ def _walk(a: Automaton, place: np.ndarray, counts: np.ndarray, upto: int):
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = Reader()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices([len(t) for t in texts]):
-            hashes, counts = np.unique(reader(texts[a:b])[0], return_counts=True)
+        for _, _, texts in text_slices(batch.column("text")):
+            hashes, counts = np.unique(reader(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes.view(np.int64)), pa.array(counts)], names=["h", "c"]
             )
@@ -180,9 +179,8 @@ def _count_arcs(
     """(key, c) of the n-grams one longer than the automaton has."""
     reader = Reader(automaton)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices([len(t) for t in texts]):
-            _, place, counts = reader(texts[a:b])
+        for _, _, texts in text_slices(batch.column("text")):
+            _, place, counts = reader(texts)
             number, _, _, state, ok, _ = _walk(automaton, place, counts, len(automaton.levels))
             keys, n = np.unique(state[ok] * automaton.width + number[ok], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "c"])
@@ -312,9 +310,8 @@ def _score(batches: Iterator[pa.RecordBatch], a: Automaton) -> Iterator[pa.Recor
     reader = Reader(a)
     base_logs = np.append(np.log10((a.counts + ADD) / a.total), 0.0)  # the last for others
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for low, high in slices([len(t) for t in texts]):
-            hashes, place, counts = reader(texts[low:high])
+        for low, high, texts in text_slices(batch.column("text")):
+            hashes, place, counts = reader(texts)
             number, first, before, _, _, arcs = _walk(a, place, counts, len(a.levels))
             base = base_logs[place]
             row = np.repeat(np.arange(len(counts)), counts)
