@@ -58,6 +58,8 @@ class ChunkTable:
     def __init__(self, processor):
         self.processor = processor
         self.split = re.compile(f"{MARKER}+[^{MARKER}]*").findall
+        # a marker that ends a text: an empty text has no ids, so it is read behind another one
+        self.lone = processor.encode("a ")[len(processor.encode("a")) :]
         self.clear()
 
     def clear(self) -> None:
@@ -70,6 +72,7 @@ class ChunkTable:
         segmented = self.processor.encode(
             [c[1:].replace(MARKER, " ") for c in chunks], num_threads=1
         )
+        segmented = [ids if c != MARKER else self.lone for c, ids in zip(chunks, segmented)]
         lengths = np.fromiter(map(len, segmented), np.int64, len(segmented))
         flat = np.fromiter((i for ids in segmented for i in ids), np.int32, int(lengths.sum()))
         self.places.update(zip(chunks, range(len(self.places), len(self.places) + len(chunks))))

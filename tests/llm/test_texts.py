@@ -48,6 +48,16 @@ def test_pieces_equal_the_library(text):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("text", ["a ", "a\n ", "a▁", "Hello world. ", " ", "▁", "  ", "a  ", "a b "])
+def test_pieces_keep_the_marker_at_the_end(text):
+    processor = load(piece_model())
+    ids, counts = ChunkTable(processor).encode([text, "a", text])
+    want = processor.encode(text)
+    assert ids.tolist() == want + processor.encode("a") + want
+    assert counts.tolist() == [len(want), len(processor.encode("a")), len(want)]
+    assert processor.decode(want) == text.replace("▁", " ")
+
+
 def test_pieces_table_is_emptied_and_model_is_checked(monkeypatch):
     import tabulens.llm.pieces as pieces
 
