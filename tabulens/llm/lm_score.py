@@ -1,23 +1,21 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by interpolated n-grams that are kept as a Spark table.
 
 Tokens are words with A-Z in lower case, then one end per text. The model is an interpolated n-gram
 model with discounts that depend on the count (modified Kneser-Ney discounts from the counts of
-counts); the lowest order is the add-0.1 unigram model. It is kept as an automaton: states are the
-root, frequent words, and frequent n-grams of them shorter than the order; an arc of a state reads
-a word with its smoothed log-probability; where a state has no arc for a word, its failure arc adds
-the state's backoff weight and leads to the state without the oldest word. One traversal from left
-to right carries the state through a text and adds up log10 probabilities.
-
-What is kept is bounded by shares of all tokens, not by ranks: a word is frequent from WORD_SHARE of
-all training tokens on (so there are at most 1 / WORD_SHARE of them), takes part in n-grams from
-STATE_SHARE on, and an n-gram has an arc from ARC_SHARE on, twice at least. So the automaton has a
-proven size bound and is broadcast, and the probability that arcs give up goes to the failure arcs:
-the model sums to 1. Counts are over all training texts: words are counted by a 64-bit hash,
-n-grams by exact numbers, both combined in the tasks first. n-grams of the next order are counted
-only where both shorter ones have an arc, as the others cannot reach the share.
-
-Words below WORD_SHARE are known by their exact counts too: each text lists them, the lists are
-joined with the table of counts, and their unigram terms are added to the text's score.
+counts); the lowest order is the add-0.1 unigram model. All words are kept with their counts, and
+all n-grams that the training texts hold LEAST times or more, at every size of the input. Where an
+n-gram is not kept, its context gives the probability that its discounts left to the order below:
+the model sums to 1.
+
+How it runs: texts are dealt into slices of bounded size. The distinct n-grams of each slice are
+counted together by a shuffle; the model is the table of what is kept, with the probability mass
+that each context gives to its own n-grams. To score, the distinct n-grams of each slice are joined
+with that table, and what is found goes back to the slice, which adds up log10 probabilities token
+by token. Nothing of the model is broadcast or collected but the counts of counts, so the model
+grows with the input, and a task holds one slice and the n-grams in it.
+
+Words and n-grams are known by 64-bit hashes; the hash of an n-gram is made of its context's (the
+n-gram without its last word) and of its last word's.
 
 Defined cases: null and empty texts are one token, the end; without training texts every token has
 probability 1; repeated rows are texts of their own, for training too; extra columns do not matter;
@@ -33,89 +31,44 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.session import pin
 
-from .shingles import text_slices
+from .shingles import scramble, text_slices
 from .texts import whole
 
 ORDER = 3
 ADD = 0.1
-WORD_SHARE = 1e-6
-STATE_SHARE = 1e-5
-ARC_SHARE = 5e-7
+# an n-gram of two words or more is kept from this count on
+LEAST = 2
+# bytes of text in a slice, and distinct words that a reader keeps
+SLICE_BYTES = 4_000_000
 TABLE_WORDS = 200_000
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
-# the end of a text is no word: it holds a blank
+# begin and end of a text are no words: they hold a blank
+_BEGIN = np.uint64(xxhash.xxh64_intdigest(b" begin"))
 _END = np.uint64(xxhash.xxh64_intdigest(b" end"))
-
-
-@dataclass
-class Level:
-    """Arcs of one order: sorted keys (state * width + word), probabilities, states they lead to."""
-
-    keys: np.ndarray
-    logs: np.ndarray
-    # log10 of the failure arc of the state that each arc leads to
-    backoff: np.ndarray
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Place of each key among the arcs, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(key), -1)
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, place, -1)
-
-
-@dataclass
-class Automaton:
-    """Frequent words (sorted by hash) with their counts and numbers, and the arcs above them."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    numbers: np.ndarray  # 0 for words that are no states
-    tokens: int
-    distinct: int
-    texts: int
-    width: int  # words that are states, and two more: root and begin
-    unigram_backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def total(self) -> float:
-        return self.tokens + ADD * (self.distinct + 1)
-
-    @property
-    def begin(self) -> int:
-        return self.width - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Reader:
-    """Turns texts into places of words in the automaton's tables, keeping those it has met."""
+    """Turns texts into hashes of words, keeping those it has met."""
 
-    def __init__(self, automaton: Automaton | None = None):
-        self.automaton = automaton
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.hashes = np.array([_END])
-        self._known = self._lookup(self.hashes)
-
-    def _lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash among the frequent words, -1 for others."""
-        a = self.automaton
-        if a is None or not len(a.hashes):
-            return np.full(len(hashes), -1)
-        place = np.minimum(np.searchsorted(a.hashes, hashes), len(a.hashes) - 1)
-        return np.where(a.hashes[place] == hashes, place, -1)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and place of every token of the texts one after the other; tokens of each."""
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every token of the texts one after the other; tokens of each."""
         if len(self.places) > TABLE_WORDS:
             self.clear()
         words = [_words(t.encode().lower()) for t in texts]
@@ -125,7 +78,6 @@ class Reader:
             self.places.update(zip(new, range(first, first + len(new)), strict=True))
             fresh = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
             self.hashes = np.concatenate([self.hashes, fresh])
-            self._known = np.concatenate([self._known, self._lookup(fresh)])
         counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
         index = np.zeros(int(counts.sum()), np.int64)  # 0 is the end
         inside = np.ones(len(index), bool)
@@ -134,56 +86,105 @@ class Reader:
         index[inside] = np.fromiter(
             (p for own in words for p in map(get, own)), np.int64, int(inside.sum())
         )
-        return self.hashes[index], self._known[index], counts
+        return self.hashes[index], counts
 
 
-def _walk(a: Automaton, place: np.ndarray, counts: np.ndarray, upto: int):
-    """Numbers of the tokens, and for each order the places of the arcs that end at each token.
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram of a context and a word."""
+    return scramble(scramble(context + _STEP) ^ word)
 
-    Arcs of an order are looked for where the state before is an arc of the order below and so is
-    the n-gram without its oldest word.
+
+def _grams(
+    hashes: np.ndarray, counts: np.ndarray, order: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2 on: places of the tokens that end an n-gram, its context, its hash.
+
+    An n-gram may start with the begin of its text.
     """
-    number = np.where(place >= 0, a.numbers[place], 0) if len(a.numbers) else place * 0
-    first = np.zeros(len(number), bool)
-    first[np.cumsum(counts) - counts] = True
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[first] = a.begin
-    arcs, state = [], before
-    ok = (state > 0) & (number > 0)
-    for level in a.levels[:upto]:
-        key = state * a.width + number
-        found = np.where(ok, level.find(key), -1)
-        arcs.append(found)
-        # the state of the next order is the arc that ended one token earlier
-        state = np.empty_like(found)
-        state[1:] = found[:-1]
-        state[first] = -1
-        ok = (state >= 0) & (found >= 0)
-    return number, first, before, state, ok, arcs
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader()
+    starts = np.cumsum(counts) - counts
+    context = np.empty_like(hashes)
+    context[1:] = hashes[:-1]
+    context[starts] = _BEGIN
+    place = np.arange(len(hashes))
+    first = np.zeros(len(hashes), bool)
+    first[starts] = True
+    out = []
+    for n in range(2, order + 1):
+        if n == 3:
+            before = np.empty_like(context)
+            before[1:] = out[0][2][:-1]
+            place = place[~first]
+            context = before[place]
+        out.append((place, context, _longer(context, hashes[place])))
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their slice."""
+    number, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for _, _, texts in text_slices(batch.column("text")):
-            hashes, counts = np.unique(reader(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(counts)], names=["h", "c"]
-            )
+        slices = np.empty(len(batch), np.int64)
+        for i, length in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+            if size and size + length > SLICE_BYTES:
+                number, size = number + 1, 0
+            slices[i] = number
+            size += length + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slices), *batch.columns], names=["slice", *batch.schema.names]
+        )
 
 
-def _count_arcs(
-    batches: Iterator[pa.RecordBatch], automaton: Automaton
-) -> Iterator[pa.RecordBatch]:
-    """(key, c) of the n-grams one longer than the automaton has."""
-    reader = Reader(automaton)
+def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(n, key, context, c) of the n-grams of some texts; n is 0 for the begin of a text."""
+    reader = Reader()
     for batch in batches:
         for _, _, texts in text_slices(batch.column("text")):
-            _, place, counts = reader(texts)
-            number, _, _, state, ok, _ = _walk(automaton, place, counts, len(automaton.levels))
-            keys, n = np.unique(state[ok] * automaton.width + number[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "c"])
+            hashes, counts = reader(texts)
+            levels = [(np.full(len(counts), _BEGIN),) * 2, (hashes, hashes)]
+            levels += [(context, key) for _, context, key in _grams(hashes, counts, order)]
+            for n, (context, key) in enumerate(levels):
+                keys, at, c = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(keys), n, np.int32)),
+                        pa.array(keys.view(np.int64)),
+                        pa.array(context[at].view(np.int64)),
+                        pa.array(c),
+                    ],
+                    names=["n", "key", "context", "c"],
+                )
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(slice, key) of the distinct words and n-grams of each slice."""
+    reader = Reader()
+    held: list[np.ndarray] = []
+    number = None
+
+    def distinct() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys), number, np.int64)), pa.array(keys.view(np.int64))],
+            names=["slice", "key"],
+        )
+
+    for batch in batches:
+        slices = batch.column("slice").to_numpy()
+        cuts = [0, *(np.nonzero(slices[1:] != slices[:-1])[0] + 1), len(slices)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if stop == start:
+                continue
+            if number is not None and number != slices[start]:
+                yield distinct()
+                held = []
+            number = slices[start]
+            for _, _, texts in text_slices(batch.column("text").slice(start, stop - start)):
+                hashes, counts = reader(texts)
+                held.append(np.unique(hashes))
+                held.extend(np.unique(key) for _, _, key in _grams(hashes, counts, order))
+            held.append(np.array([_BEGIN]))
+    if held:
+        yield distinct()
 
 
 def discounts(small: dict[int, int]) -> np.ndarray:
@@ -198,157 +199,127 @@ def discounts(small: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _next_level(a: Automaton, keys: np.ndarray, counts: np.ndarray, small: dict[int, int],
-                history: np.ndarray) -> tuple[Level, np.ndarray]:
-    """The arcs of the next order and the log10 backoff of the states they start from.
+@dataclass
+class Model:
+    """The table (n, key, context, c, given) of what is kept, and the sums over it.
 
-    ``history`` has the count of every state that arcs may start from.
+    ``given`` is the discounted count of all n-grams that a word or an n-gram is the context of.
     """
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    state, word = keys // a.width, keys % a.width
-    kept = counts - discounts(small)[np.minimum(counts, 3) - 1]
-    given = np.bincount(state, kept, minlength=len(history))
-    rest = np.where(history > 0, 1.0 - given / np.maximum(history, 1), 1.0)
-    rest = np.clip(rest, 1e-9, 1.0)
-    lower = _lower_logs(a, state, word)
-    logs = np.log10(kept / history[state] + rest[state] * 10.0**lower)
-    return Level(keys, logs, np.zeros(len(keys))), np.log10(rest)
-
-
-def _word_logs(a: Automaton) -> np.ndarray:
-    """log10 of the unigram probability by the number of a word (root and begin stay unused)."""
-    out = np.full(a.width, math.log10(ADD / a.total))
-    is_state = a.numbers > 0
-    out[a.numbers[is_state]] = np.log10((a.counts[is_state] + ADD) / a.total)
-    return out
 
+    table: DataFrame
+    order: int
+    tokens: int
+    distinct: int
+    texts: int
+    discounts: dict[int, np.ndarray]
 
-def _lower_logs(a: Automaton, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 probability of the word after the state without its oldest word."""
-    words = _word_logs(a)
-    if not a.levels:
-        return words[word]
-    # the state is an arc of the last level: (shorter state, its last word)
-    last = a.levels[-1].keys[state] % a.width
-    if len(a.levels) == 1:
-        found = a.levels[0].find(last * a.width + word)
-        return np.where(
-            found >= 0, a.levels[0].logs[found], a.unigram_backoff[last] + words[word]
-        )
-    raise ValueError("orders above 3 are not supported")
+    @property
+    def total(self) -> float:
+        return self.tokens + ADD * (self.distinct + 1)
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton of the ``text`` column, and the table (h, c) of all word counts."""
+def learn(texts: DataFrame, order: int = ORDER) -> Model:
+    """The model of the ``text`` column."""
     if order not in (1, 2, 3):
         raise ValueError("the order is 1, 2 or 3")
-    spark = texts.sparkSession
-    words = pin(
+    counted = (
         texts.select("text")
-        .mapInArrow(_count_words, "h long, c long")
-        .groupBy("h")
-        .agg(F.sum("c").alias("c"))
+        .mapInArrow(lambda b: _count(b, order), "n int, key long, context long, c long")
+        .groupBy("n", "key")
+        .agg(F.any_value("context").alias("context"), F.sum("c").alias("c"))
     )
-    end = int(_END.astype(np.int64))
-    facts = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)),
-        F.count("*"),
-        F.coalesce(F.max(F.when(F.col("h") == end, F.col("c"))), F.lit(0)),
-    ).first()
-    tokens, distinct, ends = facts
-    # at most 1 / WORD_SHARE rows
-    frequent = words.where(F.col("c") >= max(1.0, WORD_SHARE * tokens)).toArrow()
-    hashes = frequent["h"].to_numpy().view(np.uint64)
-    sorting = np.argsort(hashes)
-    counts = frequent["c"].to_numpy()[sorting]
-    states = counts >= max(2.0, STATE_SHARE * tokens)
-    numbers = np.where(states, np.cumsum(states), 0)
-    a = Automaton(
-        hashes[sorting], counts, numbers, tokens, distinct, ends, int(states.sum()) + 2
-    )
-    # counts of the states that arcs start from: root, words, begin
-    history = np.zeros(a.width)
-    history[numbers[states]] = counts[states]
-    history[a.begin] = ends
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(a)
-        least = max(2.0, ARC_SHARE * tokens)
-        counted = (
-            texts.select("text")
-            .mapInArrow(
-                lambda b, shared=shared: _count_arcs(b, shared.value), "key long, c long"
-            )
-            .groupBy("key")
-            .agg(F.sum("c").alias("c"))
-        )
-        # arcs as they are (at most 1 / ARC_SHARE), the others as numbers of their counts
-        place = F.when(F.col("c") >= least, F.col("key")).otherwise(-F.least("c", F.lit(5)))
-        table = (
-            counted.groupBy(place.alias("key"))
-            .agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-            .toArrow()
+    # what is not kept becomes one row for each order and count, without a key
+    dropped = (F.col("n") > 1) & (F.col("c") < LEAST)
+    kept = pin(
+        counted.groupBy(
+            "n",
+            F.when(~dropped, F.col("key")).alias("key"),
+            F.when(dropped, F.col("c")).alias("low"),
+        ).agg(
+            F.any_value("context").alias("context"),
+            F.sum("c").alias("c"),
+            F.count("*").alias("many"),
         )
-        keys, c = table["key"].to_numpy(), table["c"].to_numpy()
-        arcs = keys >= 0
-        small = {int(-k): int(v) for k, v in zip(keys[~arcs], table["n"].to_numpy()[~arcs])}
-        for k in range(1, 5):
-            small[k] = small.get(k, 0) + int((c[arcs] == k).sum())
-        level, rest = _next_level(a, keys[arcs], c[arcs], small, history)
-        if n == 2:
-            a.unigram_backoff = rest
-        else:
-            a.levels[-1].backoff = rest
-        by_key = np.argsort(keys[arcs])
-        history = c[arcs][by_key].astype(np.float64)
-        a.levels.append(level)
-    return a, words
+    )
+    facts = (
+        kept.groupBy("n", F.coalesce("low", F.least("c", F.lit(5))).alias("times"))
+        .agg(F.sum("c").alias("c"), F.sum("many").alias("many"))
+        .collect()
+    )
+    words = [r for r in facts if r.n == 1]
+    cuts = {
+        n: discounts({r.times: r.many for r in facts if r.n == n}) for n in range(2, order + 1)
+    }
+    kept = kept.where(F.col("key").isNotNull())
+    less = F.lit(0.0)
+    for n, own in cuts.items():
+        of = F.element_at(F.array(*map(F.lit, own.tolist())), F.least("c", F.lit(3)).cast("int"))
+        less = F.when(F.col("n") == n, of).otherwise(less)
+    given = (
+        kept.where(F.col("n") > 1)
+        .groupBy(F.col("context").alias("key"))
+        .agg(F.sum(F.col("c") - less).alias("given"))
+    )
+    table = kept.join(given, "key", "left").select(
+        "n", "key", "context", "c", F.coalesce("given", F.lit(0.0)).alias("given")
+    )
+    return Model(
+        table,
+        order,
+        sum(r.c for r in words),
+        sum(r.many for r in words),
+        sum(r.c for r in facts if r.n == 0),
+        cuts,
+    )
 
 
-def _score(batches: Iterator[pa.RecordBatch], a: Automaton) -> Iterator[pa.RecordBatch]:
-    """Per text: its tokens, the sums over frequent words, and the other words with their numbers."""
-    reader = Reader(a)
-    base_logs = np.append(np.log10((a.counts + ADD) / a.total), 0.0)  # the last for others
-    for batch in batches:
-        for low, high, texts in text_slices(batch.column("text")):
-            hashes, place, counts = reader(texts)
-            number, first, before, _, _, arcs = _walk(a, place, counts, len(a.levels))
-            base = base_logs[place]
-            row = np.repeat(np.arange(len(counts)), counts)
-            score = base
-            if arcs:
-                two = arcs[0]
-                # failure arc of the word before (or of the begin), then the root
-                score = base + np.where(two < 0, a.unigram_backoff[before], 0.0)
-                score = np.where(two >= 0, a.levels[0].logs[two], score)
-                if len(arcs) > 1:
-                    state = np.empty_like(two)
-                    state[1:] = two[:-1]
-                    state[first] = -1
-                    three = arcs[1]
-                    fail = np.where(state >= 0, a.levels[0].backoff[state], 0.0)
-                    score = np.where(three >= 0, a.levels[1].logs[three], fail + score)
-            rare = place < 0
-            # distinct rare words of each text
-            order = np.lexsort((hashes[rare], row[rare]))
-            r, h = row[rare][order], hashes[rare][order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-            at = np.nonzero(new)[0]
-            times = np.diff(np.append(at, len(r)))
-            bounds = np.searchsorted(r[at], np.arange(len(counts) + 1)).astype(np.int32)
-            own = batch.slice(low, high - low)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    own.column("id"), own.column("held_out"), pa.array(counts),
-                    pa.array(np.bincount(row, ~rare, len(counts)).astype(np.int64)),
-                    pa.array(np.bincount(row, base, len(counts))),
-                    pa.array(np.bincount(row, score, len(counts))),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[at].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int64))),
-                ],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
-            )
+def _rest(c: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Probability that contexts leave to the order below; 1 for contexts that are not kept."""
+    return np.where(c > 0, np.clip(1.0 - given / np.maximum(c, 1), 1e-9, 1.0), 1.0)
+
+
+def _share(c: np.ndarray, of: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Discounted share of n-grams among the occurrences of their contexts."""
+    less = np.append(0.0, cuts)[np.minimum(c, 3)]
+    return np.where(c > 0, (c - less) / np.maximum(of, 1), 0.0)
+
+
+def _score_slice(
+    rows: pa.Table, found: pa.Table, total: float, cuts: dict[int, np.ndarray]
+) -> pa.Table:
+    """Tokens and sums of every text of a slice, from the part of the model that it needs."""
+    keys = found["key"].to_numpy().view(np.uint64)
+    by_key = np.argsort(keys)
+    keys = keys[by_key]
+    # the last for what is not kept
+    known_c = np.append(found["c"].to_numpy()[by_key], 0).astype(np.int64)
+    known_given = np.append(found["given"].to_numpy()[by_key], 0.0).astype(np.float64)
+
+    def places(key: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(key), np.int64)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[place] == key, place, len(keys))
+
+    reader = Reader()
+    own = []
+    for _, _, texts in text_slices(rows["text"].combine_chunks()):
+        hashes, counts = reader(texts)
+        c = known_c[places(hashes)]
+        p = (c + ADD) / total
+        base = np.log10(p)
+        for n, (place, context, key) in enumerate(_grams(hashes, counts, 1 + len(cuts)), 2):
+            state = places(context)
+            share = _share(known_c[places(key)], known_c[state], cuts[n])
+            p[place] = share + _rest(known_c[state], known_given[state]) * p[place]
+        row = np.repeat(np.arange(len(counts)), counts)
+        sums = [np.bincount(row, x, len(counts)) for x in (c > 0, base, np.log10(p))]
+        own.append([counts, sums[0].astype(np.int64), *sums[1:]])
+    columns = [pa.array(np.concatenate(x)) for x in zip(*own, strict=True)]
+    return pa.Table.from_arrays(
+        [rows["id"], rows["held_out"], *columns],
+        names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+    )
 
 
 def score_texts(
@@ -368,33 +339,120 @@ def score_texts(
         whole(text_col).alias("text"),
     )
     kind = texts.schema["id"].dataType.simpleString()
-    automaton, words = train(texts.where(~F.col("held_out")), order)
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
-    parts = pin(
-        texts.mapInArrow(
-            lambda b: _score(b, shared.value),
-            f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, "
-            "rare array<long>, times array<long>",
-        )
-    ).withColumn("row", F.monotonically_increasing_id())  # of what is written, so it stays
-    c = F.coalesce("c", F.lit(0))
-    rare = (
-        parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-        .select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-        .join(words, "h", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10((c + ADD) / automaton.total)).alias("more"),
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    # written, so that a row stays in its slice
+    cut = pin(texts.mapInArrow(_cut, f"slice long, id {kind}, held_out boolean, text string"))
+    model = learn(cut.where(~F.col("held_out")), order)
+    total, cuts = model.total, model.discounts
+    found = (
+        cut.select("slice", "text")
+        .mapInArrow(lambda b: _wanted(b, order), "slice long, key long")
+        .join(model.table.select("key", "c", "given"), "key")
+    )
+    scored = (
+        cut.groupBy("slice")
+        .cogroup(found.groupBy("slice"))
+        .applyInArrow(
+            lambda rows, own: _score_slice(rows, own, total, cuts),
+            f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
+            "score double",
         )
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return parts.join(rare, "row", "left").select(
+    return scored.select(
         "id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(automaton.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )
+
+
+@dataclass
+class Level:
+    """Arcs of one order: sorted keys (state * width + word), probabilities, states they lead to."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+    # log10 of the failure arc of the state that each arc leads to
+    backoff: np.ndarray
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key among the arcs, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, place, -1)
+
+
+@dataclass
+class Automaton:
+    """Words (sorted by hash) with their counts and numbers, and the arcs above them."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    numbers: np.ndarray
+    total: float
+    texts: int
+    width: int  # words, and two more: root and begin
+    unigram_backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    levels: list[Level] = field(default_factory=list)
+
+    @property
+    def begin(self) -> int:
+        return self.width - 1
+
+
+def _unscramble(x: np.ndarray) -> np.ndarray:
+    """The number that ``scramble`` gives x for."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(0x319642B2D24D8EC3)
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(0x96DE1B173F119089)
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def train(texts: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
+    """The model of a few texts as an automaton in memory, and the table (h, c) of word counts.
+
+    For looking at a model arc by arc; ``score_texts`` does not collect its model.
+    """
+    model = learn(texts, order)
+    rows = model.table.orderBy("n").toArrow()
+    n, c, given = (rows[k].to_numpy() for k in ("n", "c", "given"))
+    key, context = (rows[k].to_numpy().view(np.uint64) for k in ("key", "context"))
+    by_hash = np.nonzero(n == 1)[0][np.argsort(key[n == 1])]
+    hashes = key[by_hash]
+    a = Automaton(
+        hashes, c[by_hash], np.arange(1, len(hashes) + 1), model.total, model.texts,
+        len(hashes) + 2,
+    )
+    # number of each word or n-gram among the states of its order, its count, its backoff
+    states = dict(zip(hashes.tolist(), a.numbers.tolist())) | {int(_BEGIN): a.begin}
+    history, rest = np.zeros(a.width), np.ones(a.width)
+    for i in np.nonzero(n < 2)[0]:
+        history[states[int(key[i])]] = c[i]
+        rest[states[int(key[i])]] = _rest(c[i], given[i])
+    a.unigram_backoff = np.log10(rest)
+    lower = {int(h): math.log10((k + ADD) / a.total) for h, k in zip(hashes, a.counts)}
+    for m in range(2, order + 1):
+        at = np.nonzero(n == m)[0]
+        state = np.array([states[int(x)] for x in context[at]], np.int64)
+        word = _unscramble(key[at]) ^ scramble(context[at] + _STEP)
+        arcs = state * a.width + a.numbers[np.searchsorted(hashes, word)]
+        if m == 2:
+            below = np.array([lower[int(w)] for w in word])
+        else:
+            # the context is an arc of the order below: its last word is the shorter context
+            last = a.levels[0].keys[state] % a.width
+            short = a.levels[0].find(last * a.width + a.numbers[np.searchsorted(hashes, word)])
+            below = a.levels[0].logs[short]
+        share = _share(c[at], history[state], model.discounts[m])
+        logs = np.log10(share + rest[state] * 10.0**below)
+        order_of = np.argsort(arcs)
+        at = at[order_of]
+        history, rest = c[at].astype(np.float64), _rest(c[at], given[at])
+        a.levels.append(Level(arcs[order_of], logs[order_of], np.log10(rest)))
+        states = {int(k): i for i, k in enumerate(key[at])}
+    words = model.table.where("n = 1").select(F.col("key").alias("h"), "c")
+    return a, words

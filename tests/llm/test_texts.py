@@ -200,6 +200,20 @@ def test_the_model_sums_to_one(spark):
     assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_n_grams_are_kept_from_a_fixed_count_on(spark):
+    # "p q r" stands twice among so many tokens that a share of them would be far above 2
+    other = " ".join(f"w{i % 50}" for i in range(5_000))
+    texts = ["p q r", "p q r"] + [other] * 1_200
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    probe = [(10_000, "p q r"), (10_001, "r q p")]
+    probe = spark.createDataFrame(probe, frame.schema)
+    scored = score_texts(frame.union(probe).repartition(4), F.col("doc_id") >= 10_000)
+    got = {r.id: r for r in scored.where("id >= 10000").collect()}
+    assert got[10_000].train_tokens > 6_000_000
+    assert got[10_000].score > got[10_000].base_score + 5
+    assert got[10_001].score < got[10_001].base_score + 5
+
+
 def _next(a, before, word):
     """log10 probability of a word (None: the end) after others, arc by arc."""
     import numpy as np
