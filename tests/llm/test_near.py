@@ -99,6 +99,27 @@ def test_near_vectors(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_near_vectors_in_a_crowded_direction(spark):
+    # half of the rows have a cosine of about 0.8 with each other, below the threshold
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((1000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:500] = np.sqrt(0.2) * x[:500] + np.sqrt(0.8) * np.eye(32)[0]
+    near = x[:150] + 0.06 * draw.standard_normal((150, 32))
+    x = np.concatenate([x, near])
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"
+    )
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in near_vectors(frame, window=8).collect()}
+    assert sum(got.values()) >= 0.98 * linked.sum()
+    alone = (linked.sum(axis=1) == 1).nonzero()[0]
+    assert len(alone) > 50
+    assert np.mean([got[int(i)] == 1 for i in alone]) >= 0.97
+
+
 def test_passes_grow_with_the_rows():
     counts = [passes_for(n, 0.9, 48, 0.02) for n in (10, 10**4, 10**6, 10**9)]
     assert counts == sorted(counts) and counts[0] < counts[-1]
