@@ -24,8 +24,75 @@ from .texts import bind, whole
 
 MIN_DICE = 0.8
 
-# Notices and opening passages of public licences.
+_GNU_HEADER = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the"
+    " GNU {name} as published by the Free Software Foundation, either version {version} of the"
+    " License, or (at your option) any later version."
+)
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are"
+    " permitted provided that the following conditions are met:"
+)
+_BSD_COPIES = (
+    " 1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer. 2. Redistributions in binary form must reproduce"
+    " the above copyright notice, this list of conditions and the following disclaimer in the"
+    " documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to"
+    " endorse or promote products derived from this software without specific prior written"
+    " permission."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR"
+    " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"
+    " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER"
+    " OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+    " CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY"
+    " THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR"
+    " OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE"
+    " POSSIBILITY OF SUCH DAMAGE."
+)
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_GNU = {
+    "GPL-2.0": ("General Public License", "2"),
+    "LGPL-2.1": ("Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("Lesser General Public License", "3"),
+    "AGPL-3.0": ("Affero General Public License", "3"),
+}
+
+# Notices and passages of public licences. The opening that all BSD licences share
+# does not tell which one it is.
 TEMPLATES = {
+    **{f"CC-{k}-4.0 short": f"Licensed under CC {k} 4.0." for k in _CC},
+    **{
+        f"CC-{k}-4.0": f"This work is licensed under the Creative Commons {v} 4.0 International License."
+        for k, v in _CC.items()
+    },
+    **{
+        k: f"This work is licensed under the GNU {name}, version {version}."
+        for k, (name, version) in _GNU.items()
+    },
+    **{
+        f"{k} header": _GNU_HEADER.format(
+            what="library" if k.startswith("LGPL") else "program", name=name, version=version
+        )
+        for k, (name, version) in _GNU.items()
+    },
+    "BSD-2-Clause": _BSD_OPENING + _BSD_COPIES + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD_OPENING + _BSD_COPIES + _BSD_NAMES + _BSD_DISCLAIMER,
+    "BSD-3-Clause names": _BSD_NAMES,
+    "BSD-family": _BSD_OPENING,
+    "MIT notice": "Licensed under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file"
@@ -36,13 +103,6 @@ TEMPLATES = {
         " License for the specific language governing permissions and limitations under the"
         " License."
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are"
-        " permitted provided that the following conditions are met:"
-    ),
-    "CC-BY-4.0": (
-        "This work is licensed under the Creative Commons Attribution 4.0 International License."
-    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 header": (
         "This program is free software: you can redistribute it and/or modify it under the terms"

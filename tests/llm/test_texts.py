@@ -141,6 +141,23 @@ def test_licenses(spark):
     assert [got[i].license for i in (3, 4, 5, 6)] == [None] * 4
 
 
+def test_licences_of_the_documents_and_other_common_ones(spark):
+    want = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 short",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    found = {r.line for r in lines.where("lower(line) rlike 'licen[sc]e'").distinct().collect()}
+    assert found == set(want)
+    texts = list(want.items()) + [(text, name) for name, text in TEMPLATES.items()]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for _, name in texts]
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, make_text(i, 20 + i % 90), "abc"[i % 7 % 3]) for i in range(700)]
     rows += [(1000, make_text(1000, 5000), "a"), (1001, None, None), (1002, "one two", "z")]
