@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .merkle import FAN, UPPER, prove
 from .registry import query, table
+from .whitening import whiten
 
 # levels that the SQL climbs: sources of up to FAN ** 6 documents, up to FAN ** 4 sources
 TREE_LEVELS, UPPER_LEVELS = 6, 4
@@ -81,3 +82,9 @@ def _manifest_sql() -> str:
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document, and whether it still folds to the root after the trial change."""
     return prove(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the eight largest principal components of all of them, whitened."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
