@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .main_text import main_texts
 from .merkle import FAN, UPPER, prove
 from .registry import query, table
 from .whitening import whiten
@@ -88,3 +89,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector along the eight largest principal components of all of them, whitened."""
     return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_html_extraction")
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the paths that the pages of its host agree on."""
+    return main_texts(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
