@@ -9,8 +9,7 @@ siblings left and right of the node. ``climb`` is a recursive query of Spark SQL
 goes up from every leaf: each step joins the node that a row stands at, folds its digests with the
 siblings, appends these to the proof and moves on to the parent, until the root. The leaves of one
 run (up to FAN neighbours) share all of their way up, so a row of the recursion is a run that
-holds the folded digest of each of its leaves; a row per leaf would shuffle the same siblings FAN
-times.
+holds the folded digests of its leaves; a row per leaf would shuffle the same siblings FAN times.
 
 What is shuffled: digests and ids, never texts. Positions inside a source come from one range
 shuffle that also splits a hot source. Many runs stand below the same node near the root; such a
@@ -25,18 +24,17 @@ text is a text of 0 bytes; extra columns do not matter; an empty table gives an
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.operators.ordinal import with_ordinal
-from tabulens.session import ensure_checkpoint_dir, pin
+from tabulens.session import pin
 
 from .lookup import look_up
+from .store import Store, setting
 
 FAN = 16
 COPIES = 256
@@ -45,16 +43,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 CLIMB = """
-WITH RECURSIVE climb(tree, run, salt, leaves, at, copy, folds, siblings, subroot) AS (
-    SELECT tree, run, salt, leaves, at, copy, folds, siblings, subroot FROM {runs}
+WITH RECURSIVE climb(tree, run, salt, at, copy, folds, siblings, subroot) AS (
+    SELECT tree, run, salt, at, copy, folds, siblings, subroot FROM {runs}
     UNION ALL
-    SELECT c.tree, c.run, c.salt, c.leaves, n.parent, pmod(c.salt, n.parent_copies),
-        transform(c.folds, f -> sha2(concat(n.before, f, n.after), 256)),
+    SELECT c.tree, c.run, c.salt, n.parent, pmod(c.salt, n.parent_copies),
+        transform(c.folds, f -> unhex(sha2(lower(hex(concat(n.before, f, n.after))), 256))),
         concat(c.siblings, n.before, n.after),
         coalesce(c.subroot, n.subroot)
     FROM climb c JOIN {nodes} n ON c.at = n.id AND c.copy = n.copy
 )
-SELECT tree, run, leaves, folds, siblings, subroot FROM climb WHERE at = {root}
+SELECT tree, run, folds, siblings, subroot FROM climb WHERE at = {root}
 """
 
 
@@ -133,8 +131,8 @@ def _links(above: DataFrame, number: int, total: int) -> DataFrame:
         _node(F.col("tree"), number, F.col("kid.pos")).alias("id"),
         _node(F.col("tree"), number + 1, F.col("up")).alias("parent"),
         _copies(F.col("up_weight"), total).alias("parent_copies"),
-        F.concat_ws("", F.slice("hashes", F.lit(1), F.col("place"))).alias("before"),
-        F.concat_ws("", F.slice("hashes", F.col("place") + 2, F.lit(FAN))).alias("after"),
+        F.unhex(F.concat_ws("", F.slice("hashes", F.lit(1), F.col("place")))).alias("before"),
+        F.unhex(F.concat_ws("", F.slice("hashes", F.col("place") + 2, F.lit(FAN)))).alias("after"),
         F.col("kid.subroot").alias("subroot"),
         F.explode(
             F.sequence(F.lit(0).cast("long"), _copies(F.col("kid.weight"), total) - 1)
@@ -143,19 +141,6 @@ def _links(above: DataFrame, number: int, total: int) -> DataFrame:
     return rows
 
 
-class _Store:
-    """Tables of one manifest, written to the shared folder."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{ensure_checkpoint_dir(spark)}/merkle-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def build(
     df: DataFrame,
     fields: Sequence[str] = FIELDS,
@@ -169,7 +154,7 @@ def build(
     ``altered`` says so.
     """
     spark = df.sparkSession
-    store = _Store(spark)
+    store = Store(spark, "merkle")
     lowered = F.translate(_name(text_col), UPPER, UPPER.lower())
     changed = [lowered if f == text_col else _name(f) for f in fields]
     # texts are read once: what goes on are digests
@@ -267,46 +252,32 @@ def build(
     return Manifest(runs, store.keep(rows, "nodes"), root_id, root_hash)
 
 
-@contextmanager
-def _any_rows(spark: SparkSession) -> Iterator[None]:
-    """Recursive queries without a limit of rows."""
-    before = spark.conf.get(ROW_LIMIT, None)
-    spark.conf.set(ROW_LIMIT, "-1")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(ROW_LIMIT)
-        else:
-            spark.conf.set(ROW_LIMIT, before)
-
-
 def climb(manifest: Manifest) -> DataFrame:
-    """(tree, run, leaves, folds, siblings, subroot) of every run, as it arrives at the root.
+    """(tree, run, folds, siblings, subroot) of every run, as it arrives at the root.
 
-    ``folds`` are the roots that the leaves of the run fold to, each changed leaf with its digest
-    after the change; ``siblings`` the digests beside the way from the run to the root.
+    ``folds`` are the roots that the leaves of the run fold to: first that of all its unchanged
+    leaves, which is one, then those of the changed leaves in their order. ``siblings`` are the
+    digests beside the way from the run to the root. Digests travel as bytes, half of their text.
     """
     spark = manifest.runs.sparkSession
-    fold = """transform(leaves, (x, i) -> CASE WHEN leaves_in = 1 THEN coalesce(x.changed, x.leaf)
-        ELSE sha2(concat(concat_ws('', slice(leaves.leaf, 1, i)), coalesce(x.changed, x.leaf),
-            concat_ws('', slice(leaves.leaf, i + 2, 16))), 256) END)""".replace("16", str(FAN))
+    first = """transform(
+        filter(transform(leaves, (x, i) -> struct(x.changed AS own, i AS i)), x -> x.own IS NOT NULL),
+        x -> CASE WHEN leaves_in = 1 THEN unhex(x.own) ELSE unhex(sha2(concat(
+            concat_ws('', slice(leaves.leaf, 1, x.i)), x.own,
+            concat_ws('', slice(leaves.leaf, x.i + 2, size(leaves)))), 256)) END)"""
     start = manifest.runs.select(
         "tree",
         "run",
         F.abs(F.xxhash64("tree", "run") % (COPIES * 1000)).alias("salt"),
-        "leaves",
         _node(F.col("tree"), 1, F.col("run")).alias("at"),
         # a first node stands above one run, so it has one copy
         F.lit(0).cast("long").alias("copy"),
-        F.expr(fold).alias("folds"),
-        F.lit("").alias("siblings"),
+        F.concat(F.array(F.unhex("hash")), F.expr(first)).alias("folds"),
+        F.unhex(F.lit("")).alias("siblings"),
         F.lit(None).cast("string").alias("subroot"),
     )
-    with _any_rows(spark):
-        return pin(
-            spark.sql(CLIMB, runs=start, nodes=manifest.nodes, root=manifest.root_id)
-        )
+    with setting(spark, ROW_LIMIT, "-1"):  # as many rows as there are runs
+        return pin(spark.sql(CLIMB, runs=start, nodes=manifest.nodes, root=manifest.root_id))
 
 
 def prove(df: DataFrame, **names) -> DataFrame:
@@ -320,19 +291,28 @@ def prove(df: DataFrame, **names) -> DataFrame:
             "folded_root string, verified boolean"
         )
         return df.sparkSession.createDataFrame([], schema)
-    rows = climb(manifest).select(
-        F.posexplode("leaves").alias("place", "own"),
-        "folds",
-        "siblings",
-        F.coalesce("subroot", F.lit(manifest.root)).alias("subroot"),
-        F.col("leaves.leaf").alias("run_leaves"),
+    rows = (
+        climb(manifest)
+        .join(manifest.runs.select("tree", "run", "leaves"), ["tree", "run"])
+        .select(
+            F.posexplode("leaves").alias("place", "own"),
+            "folds",
+            F.lower(F.hex("siblings")).alias("above"),
+            F.coalesce("subroot", F.lit(manifest.root)).alias("subroot"),
+            F.col("leaves.leaf").alias("hashes"),
+            F.col("leaves.changed").alias("changes"),
+        )
     )
     beside = F.concat(
-        F.concat_ws("", F.slice("run_leaves", F.lit(1), F.col("place"))),
-        F.concat_ws("", F.slice("run_leaves", F.col("place") + 2, F.lit(FAN))),
-        "siblings",
+        F.concat_ws("", F.slice("hashes", F.lit(1), F.col("place"))),
+        F.concat_ws("", F.slice("hashes", F.col("place") + 2, F.lit(FAN))),
+        "above",
+    )
+    changed_up_to = F.size(
+        F.filter(F.slice("changes", F.lit(1), F.col("place") + 1), lambda c: c.isNotNull())
     )
-    folded = F.get("folds", F.col("place"))
+    which = F.when(F.col("own.changed").isNull(), 0).otherwise(changed_up_to)
+    folded = F.lower(F.hex(F.get("folds", which)))
     return rows.select(
         F.col("own.id").alias("id"),
         F.col("own.leaf").alias("leaf"),
