@@ -1,33 +1,48 @@
-"""Language-model scoring by interpolated n-grams that are kept as a Spark table.
+"""Language-model scoring by a weighted backoff automaton over smoothed n-grams.
 
-Tokens are words with A-Z in lower case, then one end per text. The model is an interpolated n-gram
-model with discounts that depend on the count (modified Kneser-Ney discounts from the counts of
-counts); the lowest order is the add-0.1 unigram model. All words are kept with their counts, and
-all n-grams that the training texts hold LEAST times or more, at every size of the input. Where an
-n-gram is not kept, its context gives the probability that its discounts left to the order below:
-the model sums to 1.
+Tokens are words with A-Z in lower case, then one end per text. All n-grams of up to ORDER tokens of
+the training texts are counted, single ones too; a text begins in a context of its own. With c(h)
+the number of tokens after a context h, and h' the context without its first word,
 
-How it runs: texts are dealt into slices of bounded size. The distinct n-grams of each slice are
-counted together by a shuffle; the model is the table of what is kept, with the probability mass
-that each context gives to its own n-grams. To score, the distinct n-grams of each slice are joined
-with that table, and what is found goes back to the slice, which adds up log10 probabilities token
-by token. Nothing of the model is broadcast or collected but the counts of counts, so the model
-grows with the input, and a task holds one slice and the n-grams in it.
+    p(w | h) = (c(h w) + SMOOTH * p(w | h')) / (c(h) + SMOOTH)          (Dirichlet smoothing)
 
-Words and n-grams are known by 64-bit hashes; the hash of an n-gram is made of its context's (the
-n-gram without its last word) and of its last word's.
+and p(w) = (c(w) + ADD) / (N + ADD * (V + 1)) below all contexts. A pair of words is a context from
+MIN occurrences on; below that its second word alone is the context. So every context sums to 1.
+
+As an automaton: a state is a context, an arc a counted n-gram with its log10 probability, leading
+to the longest context at its end; a failure arc leads to the shorter context with the log10 of
+what the state leaves to it, SMOOTH / (c(h) + SMOOTH). A token follows its arc, over as many
+failure arcs as there are on the way; the root has an arc for every token. ``Automaton.walk`` goes
+through all texts of a slice together from left to right, a state each; a long text is cut, and each
+piece first walks the ORDER - 1 tokens before it, which is all that a state remembers.
+
+How it runs:
+
+1. Texts are read once and become slices of SLICE_BYTES: the 64-bit hashes of their distinct words
+   and the texts as numbers of these, packed. They are dealt to tasks by slice and stay there
+   (checkpointed), so later steps do not move them again.
+2. Each slice asks for the totals of its distinct words and pairs: it sends the keys, sorted and
+   packed (about six bytes a key, a row for each range of keys), with its own training counts. A task
+   per range adds up what all slices sent and answers each with the totals of its keys alone, in
+   their order. So one exchange both counts the corpus and looks up what a slice needs.
+3. With these answers each slice asks for the triples after its frequent pairs, in the same way.
+4. Each slice builds the automaton of its own n-grams and walks its texts.
+
+Nothing is collected but the numbers of tokens, words and texts, and nothing is broadcast. A task
+holds a slice and its n-grams, or a range of RANGE_KEYS keys. A frequent n-gram is one key of a
+slice, so no key is hot.
 
 Defined cases: null and empty texts are one token, the end; without training texts every token has
-probability 1; repeated rows are texts of their own, for training too; extra columns do not matter;
-an empty table gives an empty table.
+probability 1; repeated rows are texts of their own, for training too; a text longer than a slice
+is a slice; extra columns do not matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +52,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.session import pin
-
 from .shingles import scramble, text_slices
+from .store import Store, pin_dealt
 from .texts import whole
 
 ORDER = 3
 ADD = 0.1
-# an n-gram of two words or more is kept from this count on
-LEAST = 2
-# bytes of text in a slice, and distinct words that a reader keeps
-SLICE_BYTES = 4_000_000
+# weight of the shorter context, for contexts of one word and of two
+SMOOTH = (0.0, 20.0, 5.0)
+# occurrences from which on a pair of words is a context
+MIN = 3
+# bytes of text in a slice, distinct words that a reader keeps, keys in a range
+SLICE_BYTES = 8_000_000
 TABLE_WORDS = 200_000
+RANGE_KEYS = 2_000_000
+# tokens that one walker goes through
+WALK = 256
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 # begin and end of a text are no words: they hold a blank
@@ -94,265 +113,389 @@ def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return scramble(scramble(context + _STEP) ^ word)
 
 
-def _grams(
-    hashes: np.ndarray, counts: np.ndarray, order: int
-) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2 on: places of the tokens that end an n-gram, its context, its hash.
+def pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte of their value: small ones take little."""
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return struct.pack("<q", len(numbers)) + pa.compress(
+        planes.tobytes(), codec="zstd", asbytes=True
+    )
 
-    An n-gram may start with the begin of its text.
-    """
-    starts = np.cumsum(counts) - counts
-    context = np.empty_like(hashes)
-    context[1:] = hashes[:-1]
-    context[starts] = _BEGIN
-    place = np.arange(len(hashes))
-    first = np.zeros(len(hashes), bool)
-    first[starts] = True
-    out = []
-    for n in range(2, order + 1):
-        if n == 3:
-            before = np.empty_like(context)
-            before[1:] = out[0][2][:-1]
-            place = place[~first]
-            context = before[place]
-        out.append((place, context, _longer(context, hashes[place])))
-    return out
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the number of their slice."""
-    number, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        slices = np.empty(len(batch), np.int64)
-        for i, length in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
-            if size and size + length > SLICE_BYTES:
-                number, size = number + 1, 0
-            slices[i] = number
-            size += length + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slices), *batch.columns], names=["slice", *batch.schema.names]
-        )
 
+def unpack(blob: bytes) -> np.ndarray:
+    count = struct.unpack_from("<q", blob)[0]
+    raw = pa.decompress(blob[8:], decompressed_size=8 * count, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(8, count)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(n, key, context, c) of the n-grams of some texts; n is 0 for the begin of a text."""
-    reader = Reader()
-    for batch in batches:
-        for _, _, texts in text_slices(batch.column("text")):
-            hashes, counts = reader(texts)
-            levels = [(np.full(len(counts), _BEGIN),) * 2, (hashes, hashes)]
-            levels += [(context, key) for _, context, key in _grams(hashes, counts, order)]
-            for n, (context, key) in enumerate(levels):
-                keys, at, c = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(keys), n, np.int32)),
-                        pa.array(keys.view(np.int64)),
-                        pa.array(context[at].view(np.int64)),
-                        pa.array(c),
-                    ],
-                    names=["n", "key", "context", "c"],
-                )
-
-
-def _wanted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(slice, key) of the distinct words and n-grams of each slice."""
+
+@dataclass
+class Slice:
+    """Some texts as numbers of their distinct words."""
+
+    vocab: np.ndarray  # hashes
+    words: np.ndarray  # number of the word of every token, texts one after the other
+    counts: np.ndarray  # tokens of each text
+    held: np.ndarray  # whether the text is held out
+
+    @classmethod
+    def of(cls, row: pa.Table) -> Slice:
+        return cls(
+            unpack(row["vocab"][0].as_py()),
+            unpack(row["words"][0].as_py()).astype(np.int64),
+            row["counts"][0].values.to_numpy(zero_copy_only=False).astype(np.int64),
+            row["held"][0].values.to_numpy(zero_copy_only=False).astype(bool),
+        )
+
+    def __post_init__(self):
+        starts = np.cumsum(self.counts) - self.counts
+        self.first = np.zeros(len(self.words), bool)
+        self.first[starts] = True
+        self.training = np.repeat(~self.held, self.counts)
+        hashes = self.vocab[self.words]
+        before = np.empty_like(hashes)
+        before[1:] = hashes[:-1]
+        before[starts] = _BEGIN
+        self.pairs = _longer(before, hashes)
+        self.hashes = hashes
+
+    def triples(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that end a triple after a frequent pair, and the triples' hashes.
+
+        ``totals`` has the total of the pair that ends at each place.
+        """
+        place = np.nonzero(~self.first)[0]
+        place = place[totals[place - 1] >= MIN]
+        return place, _longer(self.pairs[place - 1], self.hashes[place])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """A row for each slice: the ids of its texts, and the texts packed."""
     reader = Reader()
-    held: list[np.ndarray] = []
-    number = None
-
-    def distinct() -> pa.RecordBatch:
-        keys = np.unique(np.concatenate(held))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), number, np.int64)), pa.array(keys.view(np.int64))],
-            names=["slice", "key"],
+    number = TaskContext.get().partitionId() << 32
+    ids: list[pa.Array] = []
+    held: list[pa.Array] = []
+    counts: list[np.ndarray] = []
+    hashes: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal number, size
+        tokens = np.concatenate(hashes)
+        vocab, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        # frequent words get small numbers
+        rank = np.argsort(-times, kind="stable")
+        place = np.empty_like(rank)
+        place[rank] = np.arange(len(rank))
+        own = np.concatenate(counts)
+        out = pa.concat_arrays(held)
+        train = ~out.to_numpy(zero_copy_only=False).astype(bool)
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays(ids)),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), out),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own)),
+                pa.array([int(own[train].sum())], pa.int64()),
+                pa.array([int(train.sum())], pa.int64()),
+                pa.array([len(tokens)], pa.int64()),
+                pa.array([pack(vocab[rank])], pa.binary()),
+                pa.array([pack(place[inverse])], pa.binary()),
+            ],
+            names=["slice", "ids", "held", "counts", "train", "texts", "tokens", "vocab", "words"],
         )
+        for kept in (ids, held, counts, hashes):
+            kept.clear()
+        number, size = number + 1, 0
+        return batch
 
     for batch in batches:
-        slices = batch.column("slice").to_numpy()
-        cuts = [0, *(np.nonzero(slices[1:] != slices[:-1])[0] + 1), len(slices)]
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            if stop == start:
-                continue
-            if number is not None and number != slices[start]:
-                yield distinct()
-                held = []
-            number = slices[start]
-            for _, _, texts in text_slices(batch.column("text").slice(start, stop - start)):
-                hashes, counts = reader(texts)
-                held.append(np.unique(hashes))
-                held.extend(np.unique(key) for _, _, key in _grams(hashes, counts, order))
-            held.append(np.array([_BEGIN]))
-    if held:
-        yield distinct()
-
-
-def discounts(small: dict[int, int]) -> np.ndarray:
-    """Discounts of counts 1, 2 and 3 or more from the numbers of n-grams counted 1 to 4 times."""
-    n = [max(small.get(k, 0), 0) for k in range(5)]
-    out = np.array([0.5, 1.0, 1.5])
-    if n[1] and n[2]:
-        y = n[1] / (n[1] + 2 * n[2])
-        for k in (1, 2, 3):
-            if n[k]:
-                out[k - 1] = min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.01)
-    return out
-
-
-@dataclass
-class Model:
-    """The table (n, key, context, c, given) of what is kept, and the sums over it.
+        lengths = pc.binary_length(batch.column("text")).to_pylist()
+        start = 0
+        for i, length in enumerate(lengths):
+            full = size and size + length > SLICE_BYTES
+            last = i + 1 == len(lengths)
+            for stop in ([i] if full else []) + ([i + 1] if last else []):
+                if stop > start:
+                    part = batch.slice(start, stop - start)
+                    ids.append(part.column("id").cast(id_type))
+                    held.append(part.column("held_out"))
+                    for _, _, texts in text_slices(part.column("text")):
+                        found, own = reader(texts)
+                        hashes.append(found)
+                        counts.append(own)
+                start = stop
+                if stop == i and full and counts:
+                    yield flush()
+            size += length + 1
+    if counts:
+        yield flush()
+
+
+ASK = "n int, range long, slice long, keys binary, own binary"
+ANSWER = "n int, range long, slice long, totals binary, distinct long"
+
+
+def _ask(n: int, number: int, keys: np.ndarray, training: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The distinct keys with their training counts, a row for each range of keys."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    own = np.bincount(inverse, training, len(distinct)).astype(np.int64)
+    ranges = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.nonzero(np.diff(ranges, prepend=-1))[0]
+    stops = np.append(starts[1:], len(distinct))
+    steps = [np.diff(distinct[a:b], prepend=np.uint64(0)) for a, b in zip(starts, stops)]
+    many = len(starts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(many, n, np.int32)),
+            pa.array(ranges[starts]),
+            pa.array(np.full(many, number, np.int64)),
+            pa.array([pack(s) for s in steps], pa.binary()),
+            pa.array([pack(own[a:b]) for a, b in zip(starts, stops)], pa.binary()),
+        ],
+        names=["n", "range", "slice", "keys", "own"],
+    )
 
-    ``given`` is the discounted count of all n-grams that a word or an n-gram is the context of.
-    """
 
-    table: DataFrame
-    order: int
-    tokens: int
-    distinct: int
-    texts: int
-    discounts: dict[int, np.ndarray]
-
-    @property
-    def total(self) -> float:
-        return self.tokens + ADD * (self.distinct + 1)
-
-
-def learn(texts: DataFrame, order: int = ORDER) -> Model:
-    """The model of the ``text`` column."""
-    if order not in (1, 2, 3):
-        raise ValueError("the order is 1, 2 or 3")
-    counted = (
-        texts.select("text")
-        .mapInArrow(lambda b: _count(b, order), "n int, key long, context long, c long")
-        .groupBy("n", "key")
-        .agg(F.any_value("context").alias("context"), F.sum("c").alias("c"))
-    )
-    # what is not kept becomes one row for each order and count, without a key
-    dropped = (F.col("n") > 1) & (F.col("c") < LEAST)
-    kept = pin(
-        counted.groupBy(
-            "n",
-            F.when(~dropped, F.col("key")).alias("key"),
-            F.when(dropped, F.col("c")).alias("low"),
-        ).agg(
-            F.any_value("context").alias("context"),
-            F.sum("c").alias("c"),
-            F.count("*").alias("many"),
-        )
-    )
-    facts = (
-        kept.groupBy("n", F.coalesce("low", F.least("c", F.lit(5))).alias("times"))
-        .agg(F.sum("c").alias("c"), F.sum("many").alias("many"))
-        .collect()
-    )
-    words = [r for r in facts if r.n == 1]
-    cuts = {
-        n: discounts({r.times: r.many for r in facts if r.n == n}) for n in range(2, order + 1)
-    }
-    kept = kept.where(F.col("key").isNotNull())
-    less = F.lit(0.0)
-    for n, own in cuts.items():
-        of = F.element_at(F.array(*map(F.lit, own.tolist())), F.least("c", F.lit(3)).cast("int"))
-        less = F.when(F.col("n") == n, of).otherwise(less)
-    given = (
-        kept.where(F.col("n") > 1)
-        .groupBy(F.col("context").alias("key"))
-        .agg(F.sum(F.col("c") - less).alias("given"))
-    )
-    table = kept.join(given, "key", "left").select(
-        "n", "key", "context", "c", F.coalesce("given", F.lit(0.0)).alias("given")
-    )
-    return Model(
-        table,
-        order,
-        sum(r.c for r in words),
-        sum(r.many for r in words),
-        sum(r.c for r in facts if r.n == 0),
-        cuts,
+def _answer(asked: pa.Table) -> pa.Table:
+    """Adds up a range: to each slice the totals of the keys it asked for."""
+    keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in asked["keys"].to_pylist()]
+    own = [unpack(k) for k in asked["own"].to_pylist()]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(inverse, np.concatenate(own)).astype(np.int64)
+    cuts = np.cumsum([0, *map(len, keys)])
+    parts = [pack(totals[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    # the number of trained keys goes with one of the answers
+    distinct = np.zeros(len(asked), np.int64)
+    distinct[0] = np.count_nonzero(totals)
+    return pa.Table.from_arrays(
+        [asked["n"], asked["range"], asked["slice"], pa.array(parts, pa.binary()), pa.array(distinct)],
+        names=["n", "range", "slice", "totals", "distinct"],
     )
 
 
-def _rest(c: np.ndarray, given: np.ndarray) -> np.ndarray:
-    """Probability that contexts leave to the order below; 1 for contexts that are not kept."""
-    return np.where(c > 0, np.clip(1.0 - given / np.maximum(c, 1), 1e-9, 1.0), 1.0)
+def _totals(answers: pa.Table, n: int, keys: np.ndarray) -> np.ndarray:
+    """The total of each of the keys that were asked for, from the answers of all ranges."""
+    own = answers.filter(pc.equal(answers["n"], n)).sort_by("range")
+    if not len(own):
+        return np.zeros(len(keys), np.int64)
+    distinct = np.concatenate([unpack(t) for t in own["totals"].to_pylist()]).astype(np.int64)
+    return distinct[np.unique(keys, return_inverse=True)[1]]
 
 
-def _share(c: np.ndarray, of: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Discounted share of n-grams among the occurrences of their contexts."""
-    less = np.append(0.0, cuts)[np.minimum(c, 3)]
-    return np.where(c > 0, (c - less) / np.maximum(of, 1), 0.0)
+@dataclass
+class Automaton:
+    """States, arcs and failure arcs of the n-grams of a slice.
 
+    States: 0 the root, then one for each word, one for the begin of a text, one for each frequent
+    pair. ``keys`` are the arcs, state * width + word, sorted.
+    """
 
-def _score_slice(
-    rows: pa.Table, found: pa.Table, total: float, cuts: dict[int, np.ndarray]
-) -> pa.Table:
-    """Tokens and sums of every text of a slice, from the part of the model that it needs."""
-    keys = found["key"].to_numpy().view(np.uint64)
-    by_key = np.argsort(keys)
-    keys = keys[by_key]
-    # the last for what is not kept
-    known_c = np.append(found["c"].to_numpy()[by_key], 0).astype(np.int64)
-    known_given = np.append(found["given"].to_numpy()[by_key], 0.0).astype(np.float64)
+    width: int
+    begin: int
+    keys: np.ndarray
+    logs: np.ndarray
+    targets: np.ndarray
+    # failure arcs
+    lower: np.ndarray
+    backoff: np.ndarray
+    # arcs of the root
+    root_logs: np.ndarray
+    root_targets: np.ndarray
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more token each, and the log10 probabilities of the tokens."""
+        logs = np.zeros(len(words))
+        after = np.empty_like(states)
+        left = np.arange(len(words))
+        now = states.copy()
+        while len(left):
+            at_root = now == 0
+            ended = left[at_root]
+            logs[ended] += self.root_logs[words[ended]]
+            after[ended] = self.root_targets[words[ended]]
+            left, now = left[~at_root], now[~at_root]
+            if not len(left) or not len(self.keys):
+                logs[left] += self.backoff[now]
+                now = self.lower[now]
+                continue
+            key = now * self.width + words[left]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
+            logs[left[found]] += self.logs[arc[found]]
+            after[left[found]] = self.targets[arc[found]]
+            left, now = left[~found], now[~found]
+            logs[left] += self.backoff[now]
+            now = self.lower[now]
+        return after, logs
+
+    def walk(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log10 probability of every text, all of them from left to right together."""
+        starts = np.cumsum(counts) - counts
+        pieces = -(-counts // WALK)
+        text = np.repeat(np.arange(len(counts)), pieces)
+        inside = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WALK
+        start = starts[text] + inside
+        length = np.minimum(counts[text] - inside, WALK)
+        states = np.where(inside == 0, self.begin, 0)
+        later = np.nonzero(inside)[0]
+        for back in range(ORDER - 1, 0, -1):
+            states[later], _ = self.step(states[later], words[start[later] - back])
+        scores = np.zeros(len(text))
+        # the longest pieces first, so that those still walking are the first ones
+        order = np.argsort(-length, kind="stable")
+        start, states, ends = start[order], states[order], -length[order]
+        for k in range(int(length.max(initial=0))):
+            going = int(np.searchsorted(ends, -k, side="left"))
+            states[:going], logs = self.step(states[:going], words[start[:going] + k])
+            scores[order[:going]] += logs
+        return np.bincount(text, scores, len(counts))
+
+
+def build(own: Slice, answers: pa.Table, total: float, texts: int) -> tuple[Automaton, np.ndarray]:
+    """The automaton of a slice, and the total of every token's word."""
+    c1 = _totals(answers, 1, own.vocab)  # by number of the word
+    pair, at, which = np.unique(own.pairs, return_index=True, return_inverse=True)
+    c2_token = _totals(answers, 2, own.pairs)
+    c2 = c2_token[at]
+    width = len(own.vocab)
+    begin = width + 1
+    end = own.vocab == _END
+    p1 = (c1 + ADD) / total
+
+    # contexts: the root, words, the begin, frequent pairs
+    frequent = np.nonzero((c2 >= MIN) & ~end[own.words[at]])[0]
+    pair_state = np.zeros(len(pair), np.int64)
+    pair_state[frequent] = begin + 1 + np.arange(len(frequent))
+    known = (c1 > 0) & ~end
+    size = np.concatenate([[0], np.where(known, c1, 0), [texts], c2[frequent]]).astype(float)
+    level = np.concatenate([[0], np.ones(width + 1, int), np.full(len(frequent), 2)])
+    lower = np.zeros(len(size), np.int64)
+    word_state = np.where(known, np.arange(1, width + 1), 0)
+    lower[begin + 1 :] = word_state[own.words[at[frequent]]]
+    smooth = np.array(SMOOTH)[level]
+    leave = np.where(size > 0, smooth / np.maximum(size + smooth, 1e-300), 1.0)
+    leave[0] = 1.0
+
+    # arcs of words and the begin: pairs
+    word = own.words[at]
+    before = np.where(own.first[at], begin, word_state[own.words[np.maximum(at - 1, 0)]])
+    trained = (c2 > 0) & (before > 0)
+    p2 = np.zeros(len(pair))
+    k = SMOOTH[1]
+    p2[trained] = (c2[trained] + k * p1[word[trained]]) / (size[before[trained]] + k)
+    target = np.where(pair_state > 0, pair_state, word_state[word])
+    keys, logs, targets = [before[trained] * width + word[trained]], [p2[trained]], [target[trained]]
+
+    # arcs of frequent pairs: triples
+    place, triples = own.triples(c2_token)
+    if len(place):
+        c3 = _totals(answers, 3, triples)
+        _, once = np.unique(triples, return_index=True)
+        once = once[c3[once] > 0]
+        place, c3 = place[once], c3[once]
+        state = pair_state[which[place - 1]]
+        last = which[place]
+        k = SMOOTH[2]
+        keys.append(state * width + own.words[place])
+        logs.append((c3 + k * p2[last]) / (size[state] + k))
+        targets.append(target[last])
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    with np.errstate(divide="ignore"):
+        automaton = Automaton(
+            width,
+            begin,
+            every[order],
+            np.log10(np.concatenate(logs))[order],
+            np.concatenate(targets)[order],
+            lower,
+            np.log10(leave),
+            np.log10(p1),
+            word_state,
+        )
+    return automaton, c1[own.words]
 
-    def places(key: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(key), np.int64)
-        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[place] == key, place, len(keys))
 
-    reader = Reader()
-    own = []
-    for _, _, texts in text_slices(rows["text"].combine_chunks()):
-        hashes, counts = reader(texts)
-        c = known_c[places(hashes)]
-        p = (c + ADD) / total
-        base = np.log10(p)
-        for n, (place, context, key) in enumerate(_grams(hashes, counts, 1 + len(cuts)), 2):
-            state = places(context)
-            share = _share(known_c[places(key)], known_c[state], cuts[n])
-            p[place] = share + _rest(known_c[state], known_given[state]) * p[place]
-        row = np.repeat(np.arange(len(counts)), counts)
-        sums = [np.bincount(row, x, len(counts)) for x in (c > 0, base, np.log10(p))]
-        own.append([counts, sums[0].astype(np.int64), *sums[1:]])
-    columns = [pa.array(np.concatenate(x)) for x in zip(*own, strict=True)]
+def _score(rows: pa.Table, answers: pa.Table, total: float, texts: int) -> pa.Table:
+    """Tokens and sums of every text of a slice."""
+    own = Slice.of(rows)
+    automaton, c1 = build(own, answers, total, texts)
+    text = np.repeat(np.arange(len(own.counts)), own.counts)
+    known = np.bincount(text, c1 > 0, len(own.counts)).astype(np.int64)
+    base = np.bincount(text, np.log10((c1 + ADD) / total), len(own.counts))
     return pa.Table.from_arrays(
-        [rows["id"], rows["held_out"], *columns],
+        [
+            rows["ids"].combine_chunks().flatten(),
+            pa.array(own.held),
+            pa.array(own.counts),
+            pa.array(known),
+            pa.array(base),
+            pa.array(automaton.walk(own.words, own.counts)),
+        ],
         names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
     )
 
 
+def _ask_triples(rows: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+    own = Slice.of(rows)
+    place, triples = own.triples(_totals(answers, 2, own.pairs))
+    number = rows["slice"][0].as_py()
+    return pa.Table.from_batches([_ask(3, number, triples, own.training[place], bits)])
+
+
 def score_texts(
-    df: DataFrame,
-    held_out: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    order: int = ORDER,
+    df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows where ``held_out`` is false.
     """
+    spark = df.sparkSession
+    store = Store(spark, "lm")
     texts = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         whole(text_col).alias("text"),
     )
     kind = texts.schema["id"].dataType.simpleString()
-    # written, so that a row stays in its slice
-    cut = pin(texts.mapInArrow(_cut, f"slice long, id {kind}, held_out boolean, text string"))
-    model = learn(cut.where(~F.col("held_out")), order)
-    total, cuts = model.total, model.discounts
-    found = (
-        cut.select("slice", "text")
-        .mapInArrow(lambda b: _wanted(b, order), "slice long, key long")
-        .join(model.table.select("key", "c", "given"), "key")
+    id_type = texts.select("id").limit(0).toArrow().schema.field("id").type
+    schema = (
+        f"slice long, ids array<{kind}>, held array<boolean>, counts array<long>, train long, "
+        "texts long, tokens long, vocab binary, words binary"
     )
+    # dealt by slice before they are written: grouping by slice moves them no more
+    slices = pin_dealt(texts.mapInArrow(lambda b: _slices(b, id_type), schema), "slice")
+    facts = slices.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "texts", "tokens"))
+    ).first()
+    bits = max((facts.tokens // RANGE_KEYS).bit_length(), 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                own, number = Slice.of(row), row["slice"][0].as_py()
+                yield _ask(1, number, own.hashes, own.training, bits)
+                yield _ask(2, number, own.pairs, own.training, bits)
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("n", "range").applyInArrow(_answer, ANSWER)
+
+    first = store.keep(answered(slices.mapInArrow(ask, ASK)), "words-and-pairs")
+    distinct = first.where("n = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first().v
+    total = facts.train + ADD * (distinct + 1)
+    of_pairs = first.where("n = 2")
+    triples = answered(
+        slices.groupBy("slice")
+        .cogroup(of_pairs.groupBy("slice"))
+        .applyInArrow(lambda rows, got: _ask_triples(rows, got, bits), ASK)
+    )
+    texts_trained = facts.texts
     scored = (
-        cut.groupBy("slice")
-        .cogroup(found.groupBy("slice"))
+        slices.groupBy("slice")
+        .cogroup(first.unionByName(triples).groupBy("slice"))
         .applyInArrow(
-            lambda rows, own: _score_slice(rows, own, total, cuts),
+            lambda rows, got: _score(rows, got, total, texts_trained),
             f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
             "score double",
         )
@@ -362,97 +505,7 @@ def score_texts(
         "held_out",
         "n_tokens",
         "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(facts.train).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )
-
-
-@dataclass
-class Level:
-    """Arcs of one order: sorted keys (state * width + word), probabilities, states they lead to."""
-
-    keys: np.ndarray
-    logs: np.ndarray
-    # log10 of the failure arc of the state that each arc leads to
-    backoff: np.ndarray
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Place of each key among the arcs, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(key), -1)
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, place, -1)
-
-
-@dataclass
-class Automaton:
-    """Words (sorted by hash) with their counts and numbers, and the arcs above them."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    numbers: np.ndarray
-    total: float
-    texts: int
-    width: int  # words, and two more: root and begin
-    unigram_backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def begin(self) -> int:
-        return self.width - 1
-
-
-def _unscramble(x: np.ndarray) -> np.ndarray:
-    """The number that ``scramble`` gives x for."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(0x319642B2D24D8EC3)
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(0x96DE1B173F119089)
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
-def train(texts: DataFrame, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The model of a few texts as an automaton in memory, and the table (h, c) of word counts.
-
-    For looking at a model arc by arc; ``score_texts`` does not collect its model.
-    """
-    model = learn(texts, order)
-    rows = model.table.orderBy("n").toArrow()
-    n, c, given = (rows[k].to_numpy() for k in ("n", "c", "given"))
-    key, context = (rows[k].to_numpy().view(np.uint64) for k in ("key", "context"))
-    by_hash = np.nonzero(n == 1)[0][np.argsort(key[n == 1])]
-    hashes = key[by_hash]
-    a = Automaton(
-        hashes, c[by_hash], np.arange(1, len(hashes) + 1), model.total, model.texts,
-        len(hashes) + 2,
-    )
-    # number of each word or n-gram among the states of its order, its count, its backoff
-    states = dict(zip(hashes.tolist(), a.numbers.tolist())) | {int(_BEGIN): a.begin}
-    history, rest = np.zeros(a.width), np.ones(a.width)
-    for i in np.nonzero(n < 2)[0]:
-        history[states[int(key[i])]] = c[i]
-        rest[states[int(key[i])]] = _rest(c[i], given[i])
-    a.unigram_backoff = np.log10(rest)
-    lower = {int(h): math.log10((k + ADD) / a.total) for h, k in zip(hashes, a.counts)}
-    for m in range(2, order + 1):
-        at = np.nonzero(n == m)[0]
-        state = np.array([states[int(x)] for x in context[at]], np.int64)
-        word = _unscramble(key[at]) ^ scramble(context[at] + _STEP)
-        arcs = state * a.width + a.numbers[np.searchsorted(hashes, word)]
-        if m == 2:
-            below = np.array([lower[int(w)] for w in word])
-        else:
-            # the context is an arc of the order below: its last word is the shorter context
-            last = a.levels[0].keys[state] % a.width
-            short = a.levels[0].find(last * a.width + a.numbers[np.searchsorted(hashes, word)])
-            below = a.levels[0].logs[short]
-        share = _share(c[at], history[state], model.discounts[m])
-        logs = np.log10(share + rest[state] * 10.0**below)
-        order_of = np.argsort(arcs)
-        at = at[order_of]
-        history, rest = c[at].astype(np.float64), _rest(c[at], given[at])
-        a.levels.append(Level(arcs[order_of], logs[order_of], np.log10(rest)))
-        states = {int(k): i for i, k in enumerate(key[at])}
-    words = model.table.where("n = 1").select(F.col("key").alias("h"), "c")
-    return a, words
