@@ -66,7 +66,7 @@ MIN = 3
 SLICE_BYTES = 8_000_000
 TABLE_WORDS = 200_000
 RANGE_KEYS = 2_000_000
-# tokens that one walker goes through
+# tokens that one walker goes through, ORDER - 1 at least
 WALK = 256
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall

@@ -6,6 +6,9 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -13,12 +16,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulens.llm import rule_queries
+from tabulens.llm import lm_score, rule_queries
 from tabulens.llm.chat import escape, escape_role, format_chats, read_back, unescape, unescape_role
 from tabulens.llm.classifier import classify, train
 from tabulens.llm.license_scan import TEMPLATES, scan_licenses
-from tabulens.llm.lm_score import ADD, score_texts
-from tabulens.llm.lm_score import train as train_lm
+from tabulens.llm.lm_score import ADD, MIN, SMOOTH, score_texts
 from tabulens.llm.mixing import mix
 from tabulens.llm.pieces import ChunkTable, chunks_are_safe, load
 from tabulens.llm.quality_rules import judge
@@ -180,41 +182,124 @@ def test_mixing_by_weight_of_documents(spark):
     assert light + heavy == 10_000 and 1.8 < heavy / light < 2.2
 
 
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def plain_scores(texts, held, order=3):
+    """(tokens, known, base, score) of each text by a plain backoff scorer; N."""
+    tokens = [["<s>", *brute.words((t or "").translate(LOWER)), None] for t in texts]
+    counts = [Counter() for _ in range(order + 1)]
+    follow = Counter()
+    for own, out in zip(tokens, held):
+        if not out:
+            for n in range(1, order + 1):
+                for k in range(max(n - 1, 1), len(own)):
+                    gram = tuple(own[k - n + 1 : k + 1])
+                    counts[n][gram] += 1
+                    follow[gram[:-1]] += 1
+    total = sum(counts[1].values())
+    base = total + ADD * (len(counts[1]) + 1)
+
+    def chance(history, word):
+        if not history:
+            return (counts[1][(word,)] + ADD) / base
+        below = chance(history[1:], word)
+        seen = follow[history]
+        if not seen or (len(history) == 2 and counts[2][history] < MIN):
+            return below
+        k = SMOOTH[len(history)]
+        return (counts[len(history) + 1][(*history, word)] + k * below) / (seen + k)
+
+    out = []
+    for own in tokens:
+        known = sum(counts[1][(w,)] > 0 for w in own[1:])
+        plain = sum(math.log10(chance((), w)) for w in own[1:])
+        logs = [
+            math.log10(chance(tuple(own[max(k - order + 1, 0) : k]), own[k]))
+            for k in range(1, len(own))
+        ]
+        out.append((len(own) - 1, known, plain, sum(logs)))
+    return out, total, chance
+
+
+def check_scores(got, ids, texts, held):
+    want, total, _ = plain_scores(texts, held)
+    by_id = dict(zip(ids, want))
+    for r in got:
+        n, known, base, score = by_id[r.id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score == pytest.approx(score, rel=1e-9, abs=1e-9)
+
+
 def test_scores_of_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    tokens, counts = {}, Counter()
-    lower = {i: i + 32 for i in range(65, 91)}
-    for r in docs.collect():
-        tokens[r.doc_id] = [*brute.words(r.text.translate(lower)), None]
-        if zlib.crc32(str(r.doc_id).encode()) % 10:
-            counts.update(tokens[r.doc_id])
-    total = sum(counts.values())
-    base = total + ADD * (len(counts) + 1)
-    for r in score_texts(docs, held).collect():
-        own = tokens[r.id]
-        assert (r.n_tokens, r.train_tokens) == (len(own), total)
-        assert r.n_known == sum(counts[w] > 0 for w in own)
-        want = sum(math.log10((counts[w] + ADD) / base) for w in own)
-        assert r.base_score == pytest.approx(want, rel=1e-9)
-        assert r.score <= 0
-
-
-def test_the_model_sums_to_one(spark):
-    texts = ["a b c a b", "a b d", "b c a b c", "a b c d"] * 4
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    automaton, _ = train_lm(frame)
-    assert len(automaton.levels) == 2 and all(len(x.keys) for x in automaton.levels)
-    probe = spark.createDataFrame([(100, "a b c")], frame.schema)
-    scored = score_texts(frame.union(probe), F.col("doc_id") >= 100).where("id = 100").first()
-    path = [("begin", "a"), ("begin", "a", "b"), ("a", "b", "c"), ("b", "c", None)]
-    assert scored.score == pytest.approx(
-        sum(_next(automaton, list(p[:-1]), p[-1]) for p in path), abs=1e-9
+    rows = docs.collect()
+    held = [zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
+    got = score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0).collect()
+    assert len(got) == len(rows)
+    check_scores(got, [r.doc_id for r in rows], [r.text for r in rows], held)
+
+
+def test_scores_from_many_small_slices(spark, monkeypatch):
+    """Slices, ranges of keys and walkers of a few tokens give what whole ones give."""
+    texts = [make_text(i, 90) for i in range(12)] + [make_text(3, 90), make_text(1, 3000), "", None]
+    texts += ["A b a B a b", "a b a b"] * 3
+    held = [i % 4 == 0 for i in range(len(texts))]
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "id long, t string, h boolean")
+    monkeypatch.setattr(lm_score, "RANGE_KEYS", 50)
+
+    def small(batches, id_type, own=lm_score._slices):
+        lm_score.SLICE_BYTES, lm_score.WALK = 700, 5
+        return own(batches, id_type)
+
+    monkeypatch.setattr(lm_score, "_slices", small)
+    got = score_texts(frame.repartition(3), F.col("h"), "id", "t").collect()
+    assert len(got) == len(texts)
+    check_scores(got, range(len(texts)), texts, held)
+
+
+def test_walkers_of_any_length(spark):
+    """The automaton of a slice, walked in pieces of different lengths."""
+    texts = [make_text(i, 40) for i in range(30)] * 2
+    hashes, counts = lm_score.Reader()(texts)
+    vocab, words = np.unique(hashes, return_inverse=True)
+    own = lm_score.Slice(vocab, words, counts, np.zeros(len(texts), bool))
+
+    def answers(n, keys, training):
+        batch = lm_score._ask(n, 0, keys, training, 3)
+        asked = pa.Table.from_batches([batch])
+        parts = [
+            lm_score._answer(asked.filter(pc.equal(asked["range"], r)))
+            for r in sorted(set(asked["range"].to_pylist()))
+        ]
+        return pa.concat_tables(parts)
+
+    got = pa.concat_tables(
+        [answers(1, own.hashes, own.training), answers(2, own.pairs, own.training)]
     )
-    total = sum(10.0 ** _next(automaton, ["a", "b"], w) for w in ("a", "b", "c", "d", None, "u"))
-    assert total == pytest.approx(1.0, abs=1e-9)
-    total = sum(10.0 ** _next(automaton, ["a"], w) for w in ("a", "b", "c", "d", None, "u"))
-    assert total == pytest.approx(1.0, abs=1e-9)
+    place, triples = own.triples(lm_score._totals(got, 2, own.pairs))
+    got = pa.concat_tables([got, answers(3, triples, own.training[place])])
+    distinct = pc.sum(got.filter(pc.equal(got["n"], 1))["distinct"]).as_py()
+    total = len(words) + ADD * (distinct + 1)
+    automaton, _ = lm_score.build(own, got, total, len(texts))
+    whole_texts = automaton.walk(own.words, own.counts)
+    want = [w[3] for w in plain_scores(texts, [False] * len(texts))[0]]
+    assert whole_texts == pytest.approx(want, rel=1e-9)
+    for piece in (2, 3, 7):
+        lm_score.WALK, before = piece, lm_score.WALK
+        try:
+            assert automaton.walk(own.words, own.counts) == pytest.approx(want, rel=1e-9)
+        finally:
+            lm_score.WALK = before
+
+
+def test_contexts_sum_to_one():
+    texts = ["a b c a b", "a b d", "b c a b c", "a b c d"] * 4
+    _, _, chance = plain_scores(texts, [False] * len(texts))
+    for history in ((), ("a",), ("a", "b"), ("<s>", "a"), ("<s>",), ("c", "d")):
+        total = sum(chance(history, w) for w in ("a", "b", "c", "d", None, "unseen"))
+        assert total == pytest.approx(1.0, abs=1e-12)
 
 
 def test_n_grams_are_kept_from_a_fixed_count_on(spark):
@@ -231,34 +316,10 @@ def test_n_grams_are_kept_from_a_fixed_count_on(spark):
     assert got[10_001].score < got[10_001].base_score + 5
 
 
-def _next(a, before, word):
-    """log10 probability of a word (None: the end) after others, arc by arc."""
-    import numpy as np
-    import xxhash
-
-    from tabulens.llm.lm_score import _END
-
-    def number(w):
-        if w == "begin":
-            return a.begin, a.texts
-        key = _END if w is None else np.uint64(xxhash.xxh64_intdigest(w.encode()))
-        place = np.searchsorted(a.hashes, key)
-        if place < len(a.hashes) and a.hashes[place] == key:
-            return int(a.numbers[place]), int(a.counts[place])
-        return 0, 0
-
-    own, count = number(word)
-    out = math.log10((count + ADD) / a.total)
-    last = number(before[-1])[0]
-    two = a.levels[0].find(np.array([last * a.width + own]))[0] if own else -1
-    out = a.levels[0].logs[two] if two >= 0 else a.unigram_backoff[last] + out
-    if len(before) > 1:
-        first = number(before[-2])[0]
-        state = a.levels[0].find(np.array([first * a.width + last]))[0]
-        if state >= 0:
-            three = a.levels[1].find(np.array([state * a.width + own]))[0] if two >= 0 else -1
-            out = a.levels[1].logs[three] if three >= 0 else a.levels[0].backoff[state] + out
-    return out
+def test_packed_numbers():
+    numbers = np.random.default_rng(4).integers(0, 2**64, 1000, np.uint64)
+    for own in (numbers, numbers[:0], numbers >> np.uint64(50)):
+        assert (lm_score.unpack(lm_score.pack(own)) == own).all()
 
 
 def test_classifier_separates_held_out_documents(spark):
