@@ -94,6 +94,69 @@ def test_json_forms(spark, write, text):
     assert sorted(values(df)) == [(1, "x", None), (2, None, 5)]
 
 
+NESTED = [{"a": i, "s": 'q"],{[ \\', "n": {"k": [[i], []], "m": [{"z": "}"}]}} for i in range(40)]
+
+
+@pytest.mark.parametrize("split", [None, 64, 200])
+@pytest.mark.parametrize(
+    "form",
+    ["lines", "array", "array of lines", "pretty array", "pretty objects", "one line", "arrays",
+     "wrapper", "pretty wrapper", "late wrapper"],
+)
+def test_all_records_are_read(spark, write, form, split):
+    """Whatever the layout and wherever files are cut into splits."""
+    own = [json.dumps(r) for r in NESTED]
+    text = {
+        "lines": lambda: "\n".join(own),
+        "array": lambda: json.dumps(NESTED),
+        "array of lines": lambda: "[\n" + ",\n".join(own) + "\n]\n",
+        "pretty array": lambda: json.dumps(NESTED, indent=1),
+        "pretty objects": lambda: "\n".join(json.dumps(r, indent=2) for r in NESTED),
+        "one line": lambda: " ".join(own[:39]) + "\n" + own[39],
+        "arrays": lambda: "\n".join(json.dumps(NESTED[i : i + 8]) for i in range(0, 40, 8)),
+        "wrapper": lambda: '{"n": [1], "records": [\n' + ",\n".join(own) + '], "rows": 1}',
+        "pretty wrapper": lambda: json.dumps({"x": {"data": [1]}, "items": NESTED}, indent=1),
+        "late wrapper": lambda: json.dumps({"rows": [{"a": 0}], "data": NESTED}, indent=1),
+    }[form]()
+    path = write("t.json", text)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        if split:
+            spark.conf.set(key, str(split))
+        df = tabulens.read_json(spark, path, clean=False)
+        got = [json.loads(r[0]) for r in df.selectExpr("to_json(struct(*))").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert df.columns == ["a", "s", "n"]
+    assert sorted(got, key=lambda r: r["a"]) == NESTED
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "utf-8-sig", "latin-1", "cp1252"])
+def test_records_in_other_encodings(spark, write, encoding):
+    own = [{"a": i, "s": "Köln"} for i in range(20)]
+    for text in ("\n".join(json.dumps(r, ensure_ascii=False) for r in own), json.dumps(own)):
+        df = tabulens.read_json(spark, write("t.json", text, encoding), encoding)
+        assert sorted(values(df)) == [(i, "Köln") for i in range(20)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", " \n", "[1, 2", '{"a": 1}, {"a": 2}', '{"a": 1} 5', '{"a": 1}\n[{"a": 2}]', '{"a": 1}\n"x"',
+     '[{"a": 1}]]', '{"a": [1}', '[{"a": 1}, [2]]', '{"a": "x\ny"}', "nan", '[{"a" 1}]',
+     '{"a": 1}\n{"a": }'],
+)
+def test_text_that_is_not_json(spark, write, text):
+    with pytest.raises(ValueError):
+        tabulens.read_json(spark, write("t.json", text))
+
+
+def test_scalars_in_an_array(spark, write):
+    assert sorted(values(tabulens.read_json(spark, write("t.json", "[3, 1,\n2]")))) == [(1,), (2,), (3,)]
+    df = tabulens.read_json(spark, write("u.json", '{"data": ["x", "y, z"]}'))
+    assert df.columns == ["0"] and sorted(values(df)) == [("x",), ("y, z",)]
+
+
 def test_flat_json_is_one_row(spark, write):
     assert values(tabulens.read_table(spark, write("t.json", '{"z": 1, "a": "q"}'))) == [(1, "q")]
 
@@ -141,6 +204,13 @@ def test_quoted_breaks_belong_to_the_value(spark, write):
     assert values(df) == [("1", "x\ny"), ("2", "z")]
 
 
+def test_a_quote_inside_a_field_is_text(spark, write, recwarn):
+    path = write("t.csv", 'a,b\n5" pipe,x\n"6"" rod, long","y"\nz,"q"\n')
+    df = tabulens.read_csv(spark, path)
+    assert values(df) == [('5" pipe', "x"), ('6" rod, long', "y"), ("z", "q")]
+    assert not [w for w in recwarn if "as a whole" in str(w.message)]
+
+
 def test_other_encodings_are_asked_for(spark, write):
     path = write("t.csv", "name,v\ncafé,1\n", "latin-1")
     with pytest.raises(ValueError, match="latin-1"):

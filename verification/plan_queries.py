@@ -317,11 +317,23 @@ def json_lines_blank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(read_json(spark, path))
 
 
-def _one_document(spark: SparkSession, sf_dir: str, name: str, document: Column) -> DataFrame:
-    """The customers written as one JSON document (one row by its nature) and read back."""
+# ranges of keys that are written to files of their own
+FILES = 8
+
+
+def _read_files(spark: SparkSession, name: str, texts: DataFrame) -> DataFrame:
+    """Customers written as JSON, a file for each row of ``texts``, and read back from the folder."""
     path = _scratch(spark, name)
-    table(spark, sf_dir, "customer").agg(document.alias("value")).write.text(path)
-    return _typed(read_json(spark, path))
+    folders = texts.withColumn("part", F.xxhash64("value"))
+    folders.write.partitionBy("part").text(path)
+    return _typed(read_json(spark, f"{path}/*"))
+
+
+def _ranges(spark: SparkSession, sf_dir: str, document: Column) -> DataFrame:
+    """``document`` of each range of the customers."""
+    customers = table(spark, sf_dir, "customer")
+    part = F.col("c_custkey") % FILES
+    return customers.groupBy(part.alias("part")).agg(document.alias("value")).select("value")
 
 
 def _records() -> Column:
@@ -330,21 +342,56 @@ def _records() -> Column:
 
 @query("json_array", CUSTOMERS)
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    document = F.concat(F.lit("["), _records(), F.lit("]"))
-    return _one_document(spark, sf_dir, "customer-array", document)
+    """Files of arrays, a record on each line."""
+    document = F.concat(F.lit("[\n"), _records(), F.lit("\n]"))
+    return _read_files(spark, "customer-array", _ranges(spark, sf_dir, document))
 
 
 @query("json_wrapper", CUSTOMERS)
 def json_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one object each, whose records stand under a wrapping key."""
     document = F.concat(F.lit('{"source": "shop", "records": ['), _records(), F.lit("]}"))
-    return _one_document(spark, sf_dir, "customer-wrapper", document)
+    return _read_files(spark, "customer-wrapper", _ranges(spark, sf_dir, document))
 
 
 @query("json_columns", CUSTOMERS)
 def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one object of columns each."""
     names = table(spark, sf_dir, "customer").columns
     document = F.to_json(F.struct(*(F.collect_list(n).alias(n) for n in names)))
-    return _one_document(spark, sf_dir, "customer-columns", document)
+    return _read_files(spark, "customer-columns", _ranges(spark, sf_dir, document))
+
+
+@query("json_arrays", CUSTOMERS)
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array on each line."""
+    customers = table(spark, sf_dir, "customer")
+    block = F.floor(F.col("c_custkey") / 50)
+    arrays = customers.groupBy(block.alias("block")).agg(
+        F.to_json(F.collect_list(F.struct(*customers.columns))).alias("value")
+    )
+    path = _scratch(spark, "customer-arrays")
+    arrays.select("value").write.text(path)
+    return _typed(read_json(spark, path))
+
+
+@query("json_concatenated", CUSTOMERS)
+def json_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records one after another: some over many lines, some several on a line."""
+    record = F.to_json(F.struct("*"), {"pretty": "true"})
+    short = F.to_json(F.struct("*"))
+    odd = F.col("c_custkey") % 2 == 1
+    text = F.array_join(F.collect_list(F.when(odd, record).otherwise(short)), " ")
+    return _read_files(spark, "customer-concatenated", _ranges(spark, sf_dir, text))
+
+
+@query("json_utf16", CUSTOMERS)
+def json_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record on each line, in UTF-16."""
+    path = _scratch(spark, "customer-utf16")
+    wide = {"encoding": "UTF-16LE", "lineSep": "\n"}
+    table(spark, sf_dir, "customer").write.options(**wide).json(path)
+    return _typed(read_json(spark, path, encoding="utf-16-le"))
 
 
 @query(
