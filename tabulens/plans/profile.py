@@ -32,6 +32,7 @@ from tabulens.operators.quantiles import (
     quantile_array,
     running_counts,
 )
+from tabulens.plans.sketches import sketch, sketched_profile
 from tabulens.plans.types import ColumnType, detect_types
 from tabulens.session import small_table
 
@@ -59,8 +60,13 @@ RAW_SCHEMA = (
 )
 
 
-def profile(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
-    """Profile of every column; ``order_by`` gives the rows their order."""
+def profile(df: DataFrame, order_by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """Profile of every column; ``order_by`` gives the rows their order.
+
+    With ``exact=False`` it is estimated from mergeable sketches, in one scan (see sketches.py).
+    """
+    if not exact:
+        return sketched_profile(sketch(df, order_by))
     return profile_frame(df.sparkSession, column_metrics(df, order_by))
 
 
