@@ -1,18 +1,20 @@
 """Exact quantiles (linear interpolation) that never gather a whole column in one task.
 
 Groups up to ``DIRECT_ROWS`` rows are counted per value, and a running count gives the
-ranks. Larger ones are narrowed first: a sketch proposes a bracket around each wanted rank,
-exact counts confirm how many rows lie below and inside it, and this repeats until the
-bracket is small enough to be sorted. Only sketches and counts are shuffled then; the
-column itself is not.
+ranks. Larger ones are narrowed first: a sketch proposes edges around the wanted ranks, each row
+finds its place between the sorted edges by one binary search, the counts between the edges say
+where the ranks are, and this repeats until such a gap is small enough to be sorted. Only sketches
+and counts are shuffled then; the column itself is not, and no row is copied for a rank.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulens.operators.frequency import value_counts
@@ -23,6 +25,7 @@ GRID = 1024
 INFINITY = float("inf")
 SKETCH_ACCURACY = 10_000
 
+
 @dataclass(frozen=True)
 class Bracket:
     """The ``inside`` rows strictly between ``low`` and ``high``; ``before`` rows come first."""
@@ -118,89 +121,132 @@ def values_at_ranks(
     while any(b.inside > direct_rows for b in brackets):
         wide = [b for b in brackets if b.inside > direct_rows]
         done = [b for b in brackets if b.inside <= direct_rows]
-        brackets = done + _confirm(long, _propose(long, wide), found)
+        brackets = done + _confirm(long, _propose(long, wide), wide, found)
     found.update(_read(long, brackets))
     return found
 
 
-def _tagged(long: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
-    """Every row next to each bracket of its position (there are a few per position)."""
-    table = small_table(
-        long.sparkSession,
-        [(i, b.pos, b.low, b.high) for i, b in enumerate(brackets)],
-        "bracket int, pos int, low double, high double",
-    )
-    return long.join(F.broadcast(table), "pos")
+def _by_position(brackets: Sequence[Bracket]) -> dict[int, list[tuple[float, float, int]]]:
+    """(low, high, number) of the brackets of each position, in order; they do not overlap."""
+    out: dict[int, list[tuple[float, float, int]]] = {}
+    for number, b in enumerate(brackets):
+        out.setdefault(b.pos, []).append((b.low, b.high, number))
+    return {pos: sorted(own) for pos, own in out.items()}
+
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "value"))
 
-def _is_inside() -> Column:
-    return (F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))
 
+def _inside(long: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
+    """(bracket, value) of the rows inside a bracket, each found by one binary search."""
+    if all(math.isinf(b.low) and math.isinf(b.high) for b in brackets):
+        numbers = small_table(
+            long.sparkSession, [(b.pos, i) for i, b in enumerate(brackets)], "pos int, bracket int"
+        )
+        whole = long.join(F.broadcast(numbers), "pos")
+        return whole.select("bracket", F.col("value").cast("double"))
+    own = {
+        pos: tuple(np.array(x) for x in zip(*sorted_own, strict=True))
+        for pos, sorted_own in _by_position(brackets).items()
+    }
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, values = _columns(batch)
+            for pos, (lows, highs, numbers) in own.items():
+                v = values[where == pos]
+                at = np.searchsorted(lows, v, side="left") - 1
+                kept = (at >= 0) & (v < highs[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers[at[kept]].astype(np.int32)), pa.array(v[kept])],
+                    names=["bracket", "value"],
+                )
 
-def _propose(
-    long: DataFrame, brackets: Sequence[Bracket]
-) -> list[tuple[Bracket, Bracket]]:
-    """Tighter brackets around the wanted ranks, from a sketch of each bracket, with that bracket."""
+    rows = long.where(F.col("pos").isin(list(own))).select("pos", F.col("value").cast("double"))
+    return rows.mapInArrow(tag, "bracket int, value double")
+
+
+def _propose(long: DataFrame, brackets: Sequence[Bracket]) -> dict[int, np.ndarray]:
+    """Edges around the wanted ranks of each position, from a sketch of each bracket."""
     grid = [i / GRID for i in range(GRID + 1)]
     sketches = {
         row["bracket"]: row["points"]
-        for row in _tagged(long, brackets)
-        .where(_is_inside())
+        for row in _inside(long, brackets)
         .groupBy("bracket")
         .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("points"))
         .collect()
     }
-    proposed = []
+    edges: dict[int, set[float]] = {}
     for index, parent in enumerate(brackets):
         points = sketches[index]
-        cells: dict[tuple[float, float], list[int]] = {}
+        own = edges.setdefault(parent.pos, set())
         for rank in parent.ranks:
             cell = (rank - parent.before) * GRID // max(1, parent.inside - 1)
-            low, high = points[max(0, cell - 1)], points[min(GRID, cell + 2)]
-            cells.setdefault((low, high), []).append(rank)
-        for (low, high), wanted in cells.items():
-            proposed.append((Bracket(parent.pos, low, high, 0, 0, tuple(wanted)), parent))
-    return proposed
+            own |= {points[max(0, cell - 1)], points[min(GRID, cell + 2)]}
+        own |= {e for e in (parent.low, parent.high) if math.isfinite(e)}
+    return {pos: np.array(sorted(own)) for pos, own in edges.items()}
+
+
+def _slot_counts(long: DataFrame, edges: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Rows of each position below, on and between its edges: slot 2 i + 1 is edge i itself."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {pos: np.zeros(2 * len(e) + 1, np.int64) for pos, e in edges.items()}
+        for batch in batches:
+            where, values = _columns(batch)
+            for pos, e in edges.items():
+                v = values[where == pos]
+                slot = np.searchsorted(e, v, side="left") + np.searchsorted(e, v, side="right")
+                totals[pos] += np.bincount(slot, minlength=2 * len(e) + 1)
+        for pos, total in totals.items():
+            slots = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(slots), pos, np.int32)),
+                    pa.array(slots.astype(np.int32)),
+                    pa.array(total[slots]),
+                ],
+                names=["pos", "slot", "n"],
+            )
+
+    rows = long.where(F.col("pos").isin(list(edges))).select("pos", F.col("value").cast("double"))
+    summed = rows.mapInArrow(count, "pos int, slot int, n long").groupBy("pos", "slot").agg(
+        F.sum("n").alias("n")
+    )
+    out = {pos: np.zeros(2 * len(e) + 1, np.int64) for pos, e in edges.items()}
+    for row in summed.collect():
+        out[row["pos"]][row["slot"]] = row["n"]
+    return out
 
 
 def _confirm(
     long: DataFrame,
-    proposed: Sequence[tuple[Bracket, Bracket]],
+    edges: Mapping[int, np.ndarray],
+    parents: Sequence[Bracket],
     found: dict[tuple[int, int], float],
 ) -> list[Bracket]:
-    """Count the rows around each proposed bracket and place the wanted ranks.
+    """Count the rows between the edges and place the wanted ranks.
 
-    Ranks that fall on an edge value are added to ``found``: an edge may be one value with
-    a third of all rows. A rank the sketch missed gets the rest of the old bracket on its side.
+    Ranks that fall on an edge are added to ``found``: an edge may be one value with a third of all
+    rows. The others get the gap between two edges that they are in.
     """
-    value, low, high = F.col("value"), F.col("low"), F.col("high")
-    counts = {
-        row["bracket"]: row
-        for row in _tagged(long, [b for b, _ in proposed])
-        .groupBy("bracket")
-        .agg(
-            F.count_if(value < low).alias("before_low"),
-            F.count_if(value <= low).alias("through_low"),
-            F.count_if(value < high).alias("before_high"),
-            F.count_if(value <= high).alias("through_high"),
-        )
-        .collect()
-    }
+    counts = _slot_counts(long, edges)
+    wanted: dict[tuple[int, int], list[int]] = {}
+    for parent in parents:
+        ends = np.cumsum(counts[parent.pos])
+        for rank in parent.ranks:
+            slot = int(np.searchsorted(ends, rank, side="right"))
+            if slot % 2:
+                found[parent.pos, rank] = float(edges[parent.pos][slot // 2])
+            else:
+                wanted.setdefault((parent.pos, slot), []).append(rank)
     out = []
-    for index, (b, parent) in enumerate(proposed):
-        row = counts[index]
-        before_low, through_low = row["before_low"], row["through_low"]
-        before_high, through_high = max(row["before_high"], through_low), row["through_high"]
-        found.update({(b.pos, r): b.low for r in b.ranks if before_low <= r < through_low})
-        found.update({(b.pos, r): b.high for r in b.ranks if before_high <= r < through_high})
-        for start, end, left, right in (
-            (parent.before, before_low, parent.low, b.low),
-            (through_low, before_high, b.low, b.high),
-            (through_high, parent.before + parent.inside, b.high, parent.high),
-        ):
-            wanted = tuple(r for r in b.ranks if start <= r < end)
-            if wanted:
-                out.append(Bracket(b.pos, left, right, start, end - start, wanted))
+    for (pos, slot), ranks in sorted(wanted.items()):
+        e, n = edges[pos], counts[pos]
+        low = float(e[slot // 2 - 1]) if slot else -INFINITY
+        high = float(e[slot // 2]) if slot // 2 < len(e) else INFINITY
+        out.append(Bracket(pos, low, high, int(n[:slot].sum()), int(n[slot]), tuple(ranks)))
     return out
 
 
@@ -208,19 +254,38 @@ def _read(long: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple[int, int],
     """Sort the rows left in each bracket and read the values at the wanted ranks."""
     if not brackets:
         return {}
-    counted = value_counts(_tagged(long, brackets).where(_is_inside()), "bracket", "value")
+    rows = _inside(long, brackets)
     order = Window.partitionBy("bracket").orderBy("value")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    places = small_table(
-        long.sparkSession,
-        [(i, rank, rank - b.before) for i, b in enumerate(brackets) for rank in b.ranks],
-        "bracket int, rank bigint, place bigint",
-    )
-    rows = (
-        counted.withColumn("end", F.sum("n").over(upto))
-        .join(F.broadcast(places), "bracket")
-        .where(F.col("place").between(F.col("end") - F.col("n"), F.col("end") - 1))
-        .select("bracket", "rank", "value")
-        .collect()
+    places = {
+        i: (np.array(sorted(b.ranks)) - b.before, sorted(b.ranks)) for i, b in enumerate(brackets)
+    }
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bracket, value, n, end = (
+                batch.column(c).to_numpy(zero_copy_only=False)
+                for c in ("bracket", "value", "n", "end")
+            )
+            picked: list[tuple[int, int, float]] = []
+            for i in np.unique(bracket).tolist():
+                own = np.nonzero(bracket == i)[0]
+                at, ranks = places[i]
+                first = np.searchsorted(at, (end - n)[own], side="left")
+                last = np.searchsorted(at, end[own], side="left")
+                for k in np.nonzero(last > first)[0].tolist():
+                    v = float(value[own[k]])
+                    picked += [(i, ranks[j], v) for j in range(first[k], last[k])]
+            columns = list(zip(*picked, strict=True)) or [(), (), ()]
+            kinds = (pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["bracket", "rank", "value"]
+            )
+
+    counted = value_counts(rows, "bracket", "value").withColumn("end", F.sum("n").over(upto))
+    picked = counted.select("bracket", "value", "n", "end").mapInArrow(
+        pick, "bracket int, rank long, value double"
     )
-    return {(brackets[row["bracket"]].pos, row["rank"]): row["value"] for row in rows}
+    return {
+        (brackets[row["bracket"]].pos, row["rank"]): row["value"] for row in picked.collect()
+    }
