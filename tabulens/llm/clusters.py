@@ -130,6 +130,35 @@ def each_group(
         yield compare(pa.Table.from_batches(held))
 
 
+def several_groups(
+    batches: Iterator[pa.RecordBatch],
+    compare: Callable[[pa.Table, list[int]], pa.RecordBatch],
+    rows: int,
+) -> Iterator[pa.RecordBatch]:
+    """``compare`` of whole runs of rows with the same cluster, i and j, about ``rows`` rows at once.
+
+    The second argument has the places where runs start, and the end. Small runs share the cost of a
+    call; a run larger than ``rows`` comes alone or last.
+    """
+    held: list[pa.Table] = []
+    starts: list[int] = []
+    size = 0
+
+    def keep(run: pa.Table) -> pa.Table:
+        nonlocal size
+        held.append(run)
+        starts.append(size)
+        size += len(run)
+        return run
+
+    for _ in each_group(batches, keep):
+        if size >= rows:
+            yield compare(pa.concat_tables(held), [*starts, size])
+            held, starts, size = [], [], 0
+    if held:
+        yield compare(pa.concat_tables(held), [*starts, size])
+
+
 def across(rows: pa.Table) -> np.ndarray | None:
     """The parts of a group that compares two blocks, None for a block with itself."""
     if rows["i"][0].as_py() == rows["j"][0].as_py():
