@@ -51,7 +51,7 @@ def test_bags_count_repeats():
 def test_line_dedup(spark, monkeypatch, block, run, small):
     monkeypatch.setattr(clusters, "BLOCK", block)
     monkeypatch.setattr(line_dedup, "RUN", run)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", small)
     lines = [make_text(i, 40).replace("\n", " ") for i in range(30)]
     texts = {}
     for i in range(40):
