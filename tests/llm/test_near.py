@@ -5,9 +5,10 @@ import pytest
 
 from tabulens.llm import clusters, line_dedup
 from tabulens.llm.bag_minhash import bags, dedup, near_classes, signatures
+from tabulens.llm.crowds import crowd_links, plan
 from tabulens.llm.graph import components
 from tabulens.llm.line_dedup import dedup_lines
-from tabulens.llm.near_vectors import near_vectors, passes_for
+from tabulens.llm.near_vectors import near_vectors, passes_around, passes_for
 from tabulens.llm.shingles import scramble
 
 from . import brute
@@ -136,3 +137,46 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_no_row_functions_and_no_products(copies):
     plan = dedup_lines(copies)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+def test_near_vectors_that_share_an_id(spark):
+    near = [[1.0, 0.0], [0.99, 0.01], [0.98, 0.05]]
+    rows = [(7, near[0]), (7, [0.0, -1.0]), (8, near[1]), (9, near[2]), (10, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(frame).collect())
+    assert got == [(7, 0, 7), (7, 2, 7), (8, 2, 7), (9, 2, 7), (10, 0, 10)]
+
+
+@pytest.mark.parametrize("block", [4096, 100])
+def test_crowds_are_compared_exactly_where_that_is_cheaper(spark, block):
+    draw = np.random.default_rng(12)
+    x = draw.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1500] = np.sqrt(0.15) * x[:1500] + np.sqrt(0.85) * np.eye(64)[0]
+    x[2900:] = x[:100] + 0.03 * draw.standard_normal((100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    needed = passes_around(x, 10**5, np.zeros(64), 0.9, 48, 0.02)
+    least = passes_for(10**5, 0.9, 48, 0.02)
+    assert needed[:1500].min() > 10 * least
+    _, passes, balls = plan(x, needed, 10**5, least, 0.9)
+    assert passes < needed[:1500].min() / 10 and len(balls) == 1
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>"
+    ).repartition(5)
+    links = crowd_links(frame, balls, 0.9, block).collect()
+    near = np.triu(x @ x.T >= 0.9, 1)
+    core = np.arccos(x @ balls[0].pivot) <= balls[0].angle
+    want = [(int(i), int(j)) for i, j in zip(*near.nonzero()) if core[i] or core[j]]
+    assert len(want) >= 100
+    assert all(near[min(r), max(r)] for r in links)
+    ids = list(range(3000))
+    assert brute.components(ids, [(r.a, r.b) for r in links]) == brute.components(ids, want)
+
+
+def test_passes_stay_where_a_crowd_costs_more():
+    draw = np.random.default_rng(13)
+    x = draw.standard_normal((600, 32))
+    x[:300] = 0.4 * x[:300] + 5 * np.eye(32)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    needed = np.where(np.arange(600) < 300, 40.0, 20.0)
+    assert plan(x, needed, 10**9, 30, 0.9)[1:] == (40, [])
