@@ -81,14 +81,36 @@ def is_row_number(numbered: DataFrame, value: Column, name: str = "_rid") -> Dat
     return numbered.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("is_row_number"))
 
 
-_RUN_SCHEMA = "part int, pos int, first double, last double, rising boolean, falling boolean"
+_RUN_SCHEMA = "part int, pos int, first long, last long, rising boolean, falling boolean"
+_RUN_ARROW = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("pos", pa.int32()),
+        ("first", pa.int64()),
+        ("last", pa.int64()),
+        ("rising", pa.bool_()),
+        ("falling", pa.bool_()),
+    ]
+)
+# partitions that one step of the reduction joins
+RUNS = 1024
+
+
+def order_words(column: pa.Array) -> np.ndarray:
+    """Longs in the order of the non-null values: numbers as doubles, timestamps in their own unit."""
+    seen = column.drop_null()
+    if pa.types.is_timestamp(seen.type):
+        return seen.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    # the bits of a double are ordered but for the sign; 0.0 is added so that -0.0 equals 0.0
+    bits = (seen.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
 
 
 def monotonic_runs(ordered: DataFrame, values: Mapping[int, Column]) -> DataFrame:
     """One row per partition and column: end values and whether it rises or falls throughout.
 
     A partition is read once, in batches, and only the last value is carried along; the
-    table is not shuffled again after it has been sorted.
+    table is not shuffled again after it has been sorted. End values are order words.
     """
     wide = ordered.select(*[expr.alias(str(pos)) for pos, expr in values.items()])
     positions = list(values)
@@ -97,22 +119,22 @@ def monotonic_runs(ordered: DataFrame, values: Mapping[int, Column]) -> DataFram
         runs: dict[int, list] = {}
         for batch in batches:
             for index, pos in enumerate(positions):
-                seen = batch.column(index).drop_null().to_numpy(zero_copy_only=False)
-                if not len(seen):
+                words = order_words(batch.column(index))
+                if not len(words):
                     continue
-                run = runs.setdefault(pos, [seen[0], seen[0], True, True])
-                steps = np.diff(seen, prepend=run[1])
-                run[1] = seen[-1]
-                run[2] = run[2] and bool((steps >= 0).all())
-                run[3] = run[3] and bool((steps <= 0).all())
+                run = runs.setdefault(pos, [words[0], words[0], True, True])
+                before = np.concatenate([[run[1]], words[:-1]])
+                run[1] = words[-1]
+                run[2] = run[2] and bool((words >= before).all())
+                run[3] = run[3] and bool((words <= before).all())
         if runs:
             part = TaskContext.get().partitionId()
             rows = [
                 {
                     "part": part,
                     "pos": pos,
-                    "first": float(first),
-                    "last": float(last),
+                    "first": int(first),
+                    "last": int(last),
                     "rising": rising,
                     "falling": falling,
                 }
@@ -123,16 +145,30 @@ def monotonic_runs(ordered: DataFrame, values: Mapping[int, Column]) -> DataFram
     return wide.mapInArrow(scan, _RUN_SCHEMA)
 
 
-_RUN_ARROW = pa.schema(
-    [
-        ("part", pa.int32()),
-        ("pos", pa.int32()),
-        ("first", pa.float64()),
-        ("last", pa.float64()),
-        ("rising", pa.bool_()),
-        ("falling", pa.bool_()),
-    ]
-)
+def join_runs(runs: DataFrame, size: int = RUNS) -> DataFrame:
+    """Runs of ``size`` neighbouring partitions as one run each, numbered by their place.
+
+    Joining two runs is associative: the ends are the outer ones, and the whole rises if both
+    parts do and the second starts no lower than the first ended.
+    """
+    run = F.struct("part", "first", "last", "rising", "falling")
+
+    def joined(left: Column, right: Column) -> Column:
+        return F.struct(
+            right["part"].alias("part"),
+            left["first"].alias("first"),
+            right["last"].alias("last"),
+            (left["rising"] & right["rising"] & (left["last"] <= right["first"])).alias("rising"),
+            (left["falling"] & right["falling"] & (left["last"] >= right["first"])).alias("falling"),
+        )
+
+    gathered = runs.groupBy("pos", F.floor(F.col("part") / size).cast("int").alias("place")).agg(
+        F.array_sort(F.collect_list(run)).alias("runs")
+    )
+    whole = F.aggregate(F.slice("runs", 2, size), F.element_at("runs", 1), joined)
+    return gathered.select("pos", "place", whole.alias("run")).select(
+        F.col("place").alias("part"), "pos", "run.first", "run.last", "run.rising", "run.falling"
+    )
 
 
 def monotonic_flags(
@@ -140,18 +176,10 @@ def monotonic_flags(
 ) -> dict[int, tuple[bool, bool]]:
     """Whether each column's non-null values never fall, and never rise, in row order.
 
-    The driver joins one short row per partition and column.
+    Values are numbers or timestamps. The runs of the partitions are joined in two steps on the
+    executors, at most ``RUNS`` by one task at a time for up to ``RUNS`` squared partitions; the
+    driver sees one row per column.
     """
-    rows = monotonic_runs(in_order(df, order_by), values).collect()
-    flags: dict[int, tuple[bool, bool]] = {}
-    ends: dict[int, float] = {}
-    for row in sorted(rows, key=lambda r: r["part"]):
-        pos = row["pos"]
-        rising, falling = flags.get(pos, (True, True))
-        before = ends.get(pos, row["first"])
-        flags[pos] = (
-            rising and row["rising"] and row["first"] >= before,
-            falling and row["falling"] and row["first"] <= before,
-        )
-        ends[pos] = row["last"]
-    return flags
+    runs = monotonic_runs(in_order(df, order_by), values)
+    whole = join_runs(join_runs(runs), 1 << 30)
+    return {row["pos"]: (row["rising"], row["falling"]) for row in whole.collect()}

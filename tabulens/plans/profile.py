@@ -54,6 +54,7 @@ RAW_SCHEMA = (
     " balance_score double, gini_impurity double, top_values array<string>,"
     " top_counts array<bigint>, top_pcts array<double>,"
     " first timestamp_ntz, last timestamp_ntz, range_days bigint, unique_dates bigint,"
+    " input_is_sorted boolean,"
     " median_gap_days double, regularity_pct double,"
     " avg_length double, median_length double, max_length bigint, min_length bigint,"
     " blank_count bigint"
@@ -94,9 +95,7 @@ def column_metrics(
             kinds.setdefault(c.kind, []).append(c)
     measured = [c for c in kinds.get("numeric", []) if c.is_measured]
     for batch in batches(measured):
-        found = numeric_metrics(df, batch, direct_rows)
-        _merge(out, found)
-        _merge(out, order_metrics(df, batch, found, order_by))
+        _merge(out, numeric_metrics(df, batch, direct_rows))
     for kind, compute in (
         ("categorical", categorical_metrics),
         ("date", date_metrics),
@@ -104,6 +103,10 @@ def column_metrics(
     ):
         for batch in batches(kinds.get(kind, [])):
             _merge(out, compute(df, batch))
+    # numbers and dates share one sort of the rows
+    ordered = [c for c in measured if "mean" in out[c.pos]] + kinds.get("date", [])
+    for batch in batches(ordered):
+        _merge(out, order_metrics(df, batch, order_by))
     return [out[c.pos] for c in types]
 
 
@@ -150,18 +153,18 @@ def numeric_metrics(
 
 
 def order_metrics(
-    df: DataFrame,
-    columns: Sequence[ColumnType],
-    measured: dict[int, Metrics],
-    order_by: Sequence[str] = (),
+    df: DataFrame, columns: Sequence[ColumnType], order_by: Sequence[str] = ()
 ) -> dict[int, Metrics]:
-    """Whether the measured columns rise or fall in row order."""
-    values = {c.pos: c.number for c in columns if c.pos in measured}
-    if not values:
+    """Whether numbers rise or fall, and whether dates are sorted, in row order."""
+    if not columns:
         return {}
+    dates = {c.pos for c in columns if c.kind == "date"}
+    values = {c.pos: c.timestamp if c.pos in dates else c.number for c in columns}
     flags = monotonic_flags(df, values, order_by)
     return {
-        pos: {"monotonic_inc": rising, "monotonic_dec": falling}
+        pos: {"input_is_sorted": rising}
+        if pos in dates
+        else {"monotonic_inc": rising, "monotonic_dec": falling}
         for pos, (rising, falling) in flags.items()
     }
 
@@ -293,6 +296,7 @@ def _profile_columns() -> list[Column]:
         c("range_days"),
         c("unique_dates"),
         F.when(c("unique_dates").isNotNull(), True).alias("is_sorted"),
+        c("input_is_sorted"),
         r("median_gap_days"),
         cadence(c("median_gap_days")).alias("inferred_freq"),
         r("regularity_pct", 1),

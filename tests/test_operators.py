@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -22,7 +23,16 @@ from tabulens.operators.frequency import (
 )
 from tabulens.operators.gaps import date_spans, gap_metrics
 from tabulens.operators.moments import moments
-from tabulens.operators.ordinal import every_nth, in_order, is_row_number, monotonic_flags, with_ordinal
+from tabulens.operators.ordinal import (
+    every_nth,
+    in_order,
+    is_row_number,
+    join_runs,
+    monotonic_flags,
+    monotonic_runs,
+    order_words,
+    with_ordinal,
+)
 from tabulens.operators.quantiles import exact_quantiles
 from tabulens.operators.sampling import sample_rows, scatter_outliers
 
@@ -233,6 +243,44 @@ def test_monotonic_break_between_partitions(spark):
     assert monotonic_flags(df, {0: dropped}) == {0: (False, False)}
 
 
+def test_order_words_keep_the_order_of_doubles_and_timestamps():
+    values = [-math.inf, -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.5, 1e300, math.inf]
+    words = order_words(pa.array(values)).tolist()
+    assert words == sorted(set(words))
+    assert order_words(pa.array([0.0, None, -0.0])).tolist() == [0, 0]
+    days = pa.array([0, None, -5, 7], pa.timestamp("us"))
+    assert order_words(days).tolist() == [0, -5, 7]
+
+
+@pytest.mark.parametrize("size", [2, 3, 1024])
+def test_runs_join_to_the_same_whole_in_any_steps(spark, size):
+    rng = random.Random(4)
+    columns = {
+        0: sorted(rng.random() for _ in range(200)),
+        1: sorted((rng.random() for _ in range(200)), reverse=True),
+        2: [1.0] * 200,
+        3: [float(i) if i != 137 else 5.0 for i in range(200)],
+        4: [None if i < 150 else float(i) for i in range(200)],
+    }
+    rows = list(zip(range(200), *columns.values()))
+    df = spark.createDataFrame(rows, "k int, c0 double, c1 double, c2 double, c3 double, c4 double")
+    ordered = df.repartitionByRange(11, "k").sortWithinPartitions("k")
+    runs = monotonic_runs(ordered, {i: F.col(f"c{i}") for i in columns})
+    while runs.groupBy("pos").count().where("count > 1").count():
+        runs = join_runs(runs, size)
+    got = {r["pos"]: (r["rising"], r["falling"]) for r in runs.collect()}
+    assert got == {0: (True, False), 1: (False, True), 2: (True, True), 3: (False, False), 4: (True, False)}
+
+
+def test_dates_fall_by_a_microsecond_between_partitions(spark):
+    late = dt.datetime(2300, 1, 1, 2, 30, 0, 7)
+    rows = [(i, late + dt.timedelta(microseconds=i - 2 * (i >= 50))) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz").repartition(6)
+    flags = monotonic_flags(df.where("k < 50"), {0: F.col("t")}, ["k"])
+    assert flags == {0: (True, False)}
+    assert monotonic_flags(df, {0: F.col("t")}, ["k"]) == {0: (False, False)}
+
+
 @pytest.mark.parametrize("most_sums", [1000, 0])
 def test_correlations_are_pairwise_complete(spark, most_sums):
     rng = random.Random(7)

@@ -86,6 +86,14 @@ def test_dates(rows):
         "daily", 100, 100, True,
     )
     assert rows["weekly"]["inferred_freq"] == "weekly"
+    assert rows["weekly"]["input_is_sorted"] and rows["iso"]["input_is_sorted"]
+    assert rows["rid"]["input_is_sorted"] is None
+
+
+def test_dates_that_are_not_in_the_order_of_the_rows(table):
+    backwards = table.withColumn("k", -F.col("rid"))
+    found = {r["column"]: r for r in tabulens.profile(backwards.select("k", "weekly"), ["k"]).collect()}
+    assert (found["weekly"]["is_sorted"], found["weekly"]["input_is_sorted"]) == (True, False)
 
 
 def test_categories_and_texts(rows):

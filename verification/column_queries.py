@@ -229,6 +229,35 @@ def monotonic_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_table(spark, rows, "column string, rising int, falling int")
 
 
+# table, order and date column: as given, and in the order of the dates themselves
+DATE_ORDERS = [
+    ("orders", "o_orderkey", "o_orderdate"),
+    ("orders", "o_orderdate", "o_orderdate"),
+    ("events", "event_id", "ts"),
+    ("events", "ts", "ts"),
+]
+
+
+@query(
+    "date_order",
+    " UNION ALL ".join(
+        f"""SELECT '{name} by {key}' AS "case", CAST(coalesce(bool_and(v >= earlier), true) AS INT)
+ AS input_is_sorted, CAST(coalesce(bool_and(v <= earlier), true) AS INT) AS falling FROM
+ (SELECT {value} AS v, lag({value}) OVER (ORDER BY {key}) AS earlier
+  FROM {name} WHERE {value} IS NOT NULL)"""
+        for name, key, value in DATE_ORDERS
+    ),
+)
+def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for name, key, value in DATE_ORDERS:
+        df = table(spark, sf_dir, name)
+        c = ColumnType(value, 0, df.schema[value].dataType, "date")
+        rising, falling = monotonic_flags(df, {0: c.timestamp}, [key])[0]
+        rows.append((f"{name} by {key}", int(rising), int(falling)))
+    return small_table(spark, rows, "case string, input_is_sorted int, falling int")
+
+
 def histogram_sql(relation: str, column: str, bins: str) -> str:
     """Equal-width histogram with edges; ``bins`` is an expression over n, lo, hi, q1, q3."""
     return f"""
