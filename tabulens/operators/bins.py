@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulens.session import small_table
-
 # Fixed values of the histogram rules.
 ENTROPY_BINS = 20
 FEWEST_BINS, MOST_BINS, MOST_STURGES_BINS = 5, 60, 50
@@ -83,40 +84,60 @@ def histogram(values: DataFrame, low: float, high: float, k: int) -> DataFrame:
     )
 
 
-def spread_metrics(long: DataFrame, params: Mapping[int, Mapping[str, float]]) -> DataFrame:
-    """Outlier counts and binned entropy per position, in one pass over (pos, value).
+@dataclass(frozen=True)
+class Scale:
+    """The bins of one column and where its outliers begin."""
 
-    ``params`` holds min, max, mean, std, q1, q3 and n_valid of each position. It has one
-    row per column (at most 300), which bounds the broadcast; the shuffle carries at most
-    20 rows per column and task.
-    """
-    rows = []
-    for pos, m in params.items():
+    edges: np.ndarray
+    fences: tuple[float, float]
+    mean: float
+    std: float
+
+    @classmethod
+    def of(cls, m: Mapping[str, float]) -> Scale:
         low, high = bin_range(m["min"], m["max"])
         reach = 1.5 * (m["q3"] - m["q1"])
         k = min(ENTROPY_BINS, m["n_valid"])
-        rows.append(
-            (pos, low, high, k, m["q1"] - reach, m["q3"] + reach, float(m["mean"]), m["std"])
-        )
-    table = small_table(
-        long.sparkSession,
-        rows,
-        "pos int, low double, high double, k int, fence_low double, fence_high double,"
-        " mean double, std double",
-    )
-    value = F.col("value")
-    outside = (value < F.col("fence_low")) | (value > F.col("fence_high"))
-    # a spread of zero leaves no z-score, hence no outlier
-    far = F.abs(value - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)) > 3
-    per_bin = (
-        long.join(F.broadcast(table), "pos")
-        .groupBy("pos", bin_index(value, F.col("low"), F.col("high"), F.col("k")).alias("bin"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(outside).alias("outside"),
-            F.count_if(far).alias("far"),
-        )
-    )
+        inner = low + np.arange(1, k) * ((high - low) / k)
+        return cls(inner, (m["q1"] - reach, m["q3"] + reach), float(m["mean"]), m["std"])
+
+    def count(self, v: np.ndarray) -> np.ndarray:
+        """(bin, 3): rows, rows beyond the fences, rows beyond three deviations."""
+        place = np.searchsorted(self.edges, v, side="right")
+        outside = (v < self.fences[0]) | (v > self.fences[1])
+        # a spread of zero leaves no z-score, hence no outlier
+        far = np.abs(v - self.mean) / self.std > 3 if self.std else np.zeros(len(v), bool)
+        bins = len(self.edges) + 1
+        kinds = (np.bincount(place[kept], minlength=bins) for kept in (slice(None), outside, far))
+        return np.stack(list(kinds), axis=1)
+
+
+def _spread(
+    rows: DataFrame,
+    cells: Callable[[pa.RecordBatch], Iterable[tuple[int, np.ndarray]]],
+    params: Mapping[int, Mapping[str, float]],
+) -> DataFrame:
+    """Outlier counts and binned entropy from the (position, values) that batches hold.
+
+    A task counts at most 20 bins per column and sends only these.
+    """
+    scales = {pos: Scale.of(m) for pos, m in params.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {pos: np.zeros((len(s.edges) + 1, 3), np.int64) for pos, s in scales.items()}
+        for batch in batches:
+            for pos, values in cells(batch):
+                totals[pos] += scales[pos].count(values)
+        for pos, total in totals.items():
+            bins = np.nonzero(total[:, 0])[0]
+            where = [np.full(len(bins), pos, np.int32), bins.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (*where, *total[bins].T)],
+                names=["pos", "bin", "n", "outside", "far"],
+            )
+
+    counted = rows.mapInArrow(count, "pos int, bin int, n long, outside long, far long")
+    per_bin = counted.groupBy("pos", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "outside", "far")])
     # sum(n log2 n) gives the entropy without a second look at the total
     n = F.col("n").cast("double")
     total = F.sum(n)
@@ -127,6 +148,36 @@ def spread_metrics(long: DataFrame, params: Mapping[int, Mapping[str, float]]) -
     )
 
 
+def column_spread(
+    df: DataFrame, values: Mapping[int, Column], params: Mapping[int, Mapping[str, float]]
+) -> DataFrame:
+    """Outlier counts and binned entropy of columns side by side, in one pass.
+
+    ``params`` holds min, max, mean, std, q1, q3 and n_valid of each position.
+    """
+    wide = df.select(*[expr.cast("double").alias(str(pos)) for pos, expr in values.items()])
+    positions = list(values)
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for i, pos in enumerate(positions):
+            yield pos, batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+
+    return _spread(wide, cells, params)
+
+
+def spread_metrics(long: DataFrame, params: Mapping[int, Mapping[str, float]]) -> DataFrame:
+    """The same from rows (pos, value)."""
+    rows = long.where(F.col("value").isNotNull()).select("pos", F.col("value").cast("double"))
+    known = set(params)
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        where, values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for pos in known.intersection(np.unique(where).tolist()):
+            yield pos, values[where == pos]
+
+    return _spread(rows, cells, params)
+
+
 def discrete_histogram(values: DataFrame) -> DataFrame:
     """(label, n) with one row per value; used for at most 30 integers."""
     return values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(

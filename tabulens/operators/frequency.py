@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulens.functions.text import named
@@ -32,6 +34,56 @@ def value_counts(df: DataFrame, *keys: str, weight: str | None = None) -> DataFr
     return df.groupBy(*keys).agg(counted.alias("n"))
 
 
+# values that a task gathers per column before it merges equal ones
+GATHERED = 1 << 16
+
+
+def number_counts(df: DataFrame, values: Mapping[int, Column]) -> DataFrame:
+    """(pos, value, n) of the numbers of many columns, cells never lined up one by one.
+
+    Tasks sort what they gather and merge equal numbers; a column that keeps many different
+    ones is sent on in pieces, so that a task holds at most twice ``GATHERED`` per column.
+    """
+    wide = df.select(*[expr.cast("double").alias(str(pos)) for pos, expr in values.items()])
+    positions = list(values)
+
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        seen, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        weights = np.concatenate([n for _, n in parts])
+        # counts stay far below 2 ** 53, where sums of doubles are exact
+        return seen, np.bincount(place, weights, len(seen)).astype(np.int64)
+
+    def rows(pos: int, counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        seen, n = counted
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(seen), pos, np.int32)), pa.array(seen), pa.array(n)],
+            names=["pos", "value", "n"],
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {pos: [] for pos in positions}
+        size = dict.fromkeys(positions, 0)
+        for batch in batches:
+            for i, pos in enumerate(positions):
+                # 0.0 is added so that -0.0 equals 0.0
+                own = batch.column(i).drop_null().to_numpy(zero_copy_only=False) + 0.0
+                held[pos].append((own, np.ones(len(own), np.int64)))
+                size[pos] += len(own)
+                if size[pos] < GATHERED:
+                    continue
+                held[pos] = [merge(held[pos])]
+                size[pos] = len(held[pos][0][0])
+                if size[pos] > GATHERED // 2:
+                    yield rows(pos, held[pos][0])
+                    held[pos], size[pos] = [], 0
+        for pos in positions:
+            if size[pos]:
+                yield rows(pos, merge(held[pos]))
+
+    parts = wide.mapInArrow(count, "pos int, value double, n long")
+    return value_counts(parts, "pos", "value", weight="n")
+
+
 def text_key(text: Column, longest: int) -> Column:
     """What identifies a text: itself while short, else its digest."""
     return F.unhex(F.md5(text)) if longest > DIGEST_OVER else text.cast("binary")

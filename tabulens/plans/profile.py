@@ -15,16 +15,17 @@ from tabulens.batching import batches
 from tabulens.functions.dates import cadence
 from tabulens.functions.numbers import rounded
 from tabulens.functions.text import is_blank
-from tabulens.operators.bins import spread_metrics
+from tabulens.operators.accumulate import column_facts
+from tabulens.operators.bins import column_spread
 from tabulens.operators.frequency import (
     category_metrics,
-    distinct_counts,
     mode_metrics,
+    number_counts,
     to_long,
     value_counts,
 )
-from tabulens.operators.gaps import date_spans, gap_metrics
-from tabulens.operators.moments import moments, text_lengths
+from tabulens.operators.gaps import date_summary
+from tabulens.operators.moments import text_lengths
 from tabulens.operators.ordinal import monotonic_flags
 from tabulens.operators.quantiles import (
     DIRECT_ROWS,
@@ -125,17 +126,23 @@ def numeric_metrics(
     columns: Sequence[ColumnType],
     direct_rows: int = DIRECT_ROWS,
 ) -> dict[int, Metrics]:
-    """Passes over the numeric columns: moments; value counts; spread."""
+    """Passes over the numeric columns: value counts; spread.
+
+    The moments come from the scan that found the types; columns without it are scanned here.
+    """
     if not columns:
         return {}
-    long = to_long(df, {c.pos: c.number for c in columns})
-    found = {p: m for p, m in _by_position(moments(long)).items() if m["n_valid"] >= 2}
+    found = {c.pos: c.facts.moments() for c in columns if c.facts}
+    unseen = {c.pos: {"number": c.number} for c in columns if not c.facts}
+    if unseen:
+        found |= {pos: facts.moments() for pos, facts in column_facts(df, unseen).items()}
+    found = {p: m for p, m in found.items() if m["n_valid"] >= 2}
     if not found:
         return {}
-    kept = [c for c in columns if c.pos in found]
-    long = to_long(df, {c.pos: c.number for c in kept})
+    numbers = {c.pos: c.number for c in columns if c.pos in found}
+    long = to_long(df, numbers)
     sizes = {pos: m["n_valid"] for pos, m in found.items()}
-    counts = value_counts(long, "pos", "value")
+    counts = number_counts(df, numbers)
     if max(sizes.values()) <= direct_rows:
         # one sort of the value counts gives quantiles, mode and distinct values
         per_column = running_counts(counts, sizes).groupBy("pos")
@@ -148,7 +155,7 @@ def numeric_metrics(
     for pos, metrics in counted.items():
         found[pos].update(zip(QUANTILE_NAMES, metrics.pop("q")))
         found[pos].update(metrics)
-    _merge(found, _by_position(spread_metrics(long, found)))
+    _merge(found, _by_position(column_spread(df, numbers, found)))
     return found
 
 
@@ -170,21 +177,24 @@ def order_metrics(
 
 
 def categorical_metrics(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Metrics]:
-    if not columns:
-        return {}
-    counts = value_counts(to_long(df, {c.pos: c.text for c in columns}), "pos", "value")
-    return _by_position(category_metrics(counts))
+    """From the values that the type scan listed; other columns are counted here."""
+    listed = {c.pos: c.facts.texts() if c.facts else None for c in columns}
+    unlisted = {c.pos: c.text for c in columns if listed[c.pos] is None}
+    rows = [(pos, text, n) for pos, texts in listed.items() for text, n in (texts or {}).items()]
+    found = {}
+    if rows:
+        counts = small_table(df.sparkSession, rows, "pos int, value string, n bigint")
+        found |= _by_position(category_metrics(counts))
+    if unlisted:
+        counts = value_counts(to_long(df, unlisted), "pos", "value")
+        found |= _by_position(category_metrics(counts))
+    return found
 
 
 def date_metrics(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Metrics]:
     if not columns:
         return {}
-    long = to_long(df, {c.pos: c.timestamp for c in columns})
-    found = _by_position(date_spans(long))
-    _merge(found, _by_position(gap_metrics(long)))
-    unique = distinct_counts(long).withColumnRenamed("n_unique", "unique_dates")
-    _merge(found, _by_position(unique))
-    return found
+    return _by_position(date_summary(to_long(df, {c.pos: c.timestamp for c in columns})))
 
 
 def text_metrics(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Metrics]:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulens.batching import batches
 from tabulens.functions.dates import DATE_FORMATS, DATE_TYPES, as_timestamp, parse_date, pick_format
 from tabulens.functions.numbers import NUMERIC_TYPES, as_number, is_number_text
 from tabulens.functions.text import named
+from tabulens.operators.accumulate import SHORT, Facts, column_facts
 from tabulens.operators.frequency import distinct_counts, text_key, to_long
 from tabulens.session import small_table
 
@@ -37,6 +38,7 @@ class ColumnType:
     present: int = 0
     longest: int = 0
     n_unique: int | None = None
+    facts: Facts | None = field(default=None, compare=False, repr=False)
 
     @property
     def column(self) -> Column:
@@ -79,8 +81,9 @@ def _family(dtype: T.DataType) -> str:
 def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType]:
     """The semantic type of every column.
 
-    One scan counts values, numbers and date-like texts per column; only undecided text
-    columns are looked at again. ``order_by`` says which rows come first; without it the
+    One scan counts values, numbers and date-like texts per column, and lists the values of
+    columns with few; only text columns with many, and those that may be dates, are looked at
+    again. What the scan found stays with the types, for the profile. ``order_by`` says which rows come first; without it the
     order of reading does.
     """
     columns = [ColumnType(f.name, i, f.dataType) for i, f in enumerate(df.schema.fields)]
@@ -89,9 +92,9 @@ def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType
     facts = {}
     for batch in batches(columns):
         facts.update(_scan(df, batch))
-    columns = [_with_facts(c, facts[c.pos]) for c in columns]
+    columns = [_with_facts(c, facts.get(c.pos, Facts())) for c in columns]
     undecided = [c for c in columns if c.kind == "undecided"]
-    dates = _date_formats(df, [c for c in undecided if facts[c.pos]["dates"]], order_by)
+    dates = _date_formats(df, [c for c in undecided if c.facts.dated], order_by)
     columns = [
         replace(c, kind="date", date_format=dates[c.pos]) if c.pos in dates else c for c in columns
     ]
@@ -99,52 +102,44 @@ def detect_types(df: DataFrame, order_by: Sequence[str] = ()) -> list[ColumnType
     return _categories(df, columns, undecided)
 
 
-def _scan(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Row]:
-    """Counts per column position: rows, values, numbers, date-like texts, longest text.
-
-    Cells are lined up as (pos, ...) rows and summed at once inside each task, which keeps
-    the plan small for any number of columns.
-    """
-    cells = []
+def _scan(df: DataFrame, columns: Sequence[ColumnType]) -> dict[int, Facts]:
+    """What one scan tells about each column position."""
+    cells = {}
     for c in columns:
         family = _family(c.dtype)
-        present = c.number if family == "float" else c.column
-        if family == "string":
-            looks = (
-                F.coalesce(is_number_text(c.column), F.lit(False)),
-                F.coalesce(c.column.rlike(DATE_START), F.lit(False)),
-                F.length(c.column),
-            )
+        if family in ("float", "number"):
+            cells[c.pos] = {"number": c.number}
+        elif family == "string":
+            short = F.length(c.column) <= SHORT
+            cells[c.pos] = {
+                "number": c.number,
+                "word": F.when(short, c.column).cast("binary"),
+                "written": F.coalesce(is_number_text(c.column), F.lit(False)),
+                "dated": F.coalesce(c.column.rlike(DATE_START), F.lit(False)),
+                "length": F.length(c.column),
+            }
+        elif family == "bool":
+            cells[c.pos] = {"word": c.text.cast("binary")}
         else:
-            looks = (F.lit(False), F.lit(False), F.lit(None).cast("int"))
-        cells += [F.lit(c.pos), present.isNotNull(), *looks]
-    names = ("pos", "present", "number", "date", "length")
-    long = df.select(F.stack(F.lit(len(columns)), *cells).alias(*names))
-    rows = long.groupBy("pos").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("present").alias("present"),
-        F.count_if("number").alias("numbers"),
-        F.count_if("date").alias("dates"),
-        F.coalesce(F.max("length"), F.lit(0)).alias("longest"),
-    )
-    found = {row["pos"]: row for row in rows.collect()}
-    nothing = Row(total=0, present=0, numbers=0, dates=0, longest=0)
-    return {c.pos: found.get(c.pos, nothing) for c in columns}
+            cells[c.pos] = {"present": c.column.isNotNull()}
+    return column_facts(df, cells)
 
 
-def _with_facts(column: ColumnType, facts: Row) -> ColumnType:
-    total, present = facts["total"], facts["present"]
+def _with_facts(column: ColumnType, facts: Facts) -> ColumnType:
+    total, present = facts.total, facts.present
     family = _family(column.dtype)
     kind = {"float": "numeric", "number": "numeric", "date": "date", "nested": "nested"}.get(family)
     if family == "bool":
         # with gaps a boolean column is a column of texts
         kind = "numeric" if present == total else "undecided"
     if family == "string":
-        is_number = present and facts["numbers"] / present >= NUMERIC_SHARE
+        is_number = present and facts.written / present >= NUMERIC_SHARE
         kind = "numeric" if is_number else "undecided"
     if present == 0 and family != "nested":
         kind = "text"
-    return replace(column, kind=kind, total=total, present=present, longest=facts["longest"])
+    return replace(
+        column, kind=kind, total=total, present=present, longest=facts.longest, facts=facts
+    )
 
 
 def _date_formats(
@@ -178,8 +173,9 @@ def _categories(
 ) -> list[ColumnType]:
     if not undecided:
         return list(columns)
-    distinct = {}
-    for batch in batches(undecided):
+    listed = {c.pos: c.facts.texts() for c in undecided}
+    distinct = {pos: len(texts) for pos, texts in listed.items() if texts is not None}
+    for batch in batches([c for c in undecided if c.pos not in distinct]):
         long = to_long(df, {c.pos: text_key(c.text, c.longest) for c in batch})
         distinct.update({row["pos"]: row["n_unique"] for row in distinct_counts(long).collect()})
     out = []
