@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from tabulens.session import small_table
 
 GRID_POINTS = 60
+_SUMS = pa.schema(
+    [("number", pa.int32()), ("point", pa.int32()), ("x", pa.float64()), ("total", pa.float64())]
+)
 
 
 def grid(low: float, high: float) -> list[float]:
@@ -22,8 +27,9 @@ def density(
     """(grp, point, x, density) with 60 points per group from its minimum to its maximum.
 
     ``groups`` lists (grp, min, max, sample std, n) of at most a dozen groups; ``values``
-    holds (grp, value). A row adds to the 60 sums of its group at once, and each task sends one
-    row per group. Groups with fewer than two rows or no spread have no curve.
+    holds (grp, value). A task adds the different numbers of a batch to the 60 sums of their group
+    as one matrix, and sends 60 short rows per group. Groups with fewer than two rows or no spread
+    have no curve.
     """
     usable = [
         (number, name, n, std * n ** (-1 / 5), grid(low, high))
@@ -32,25 +38,37 @@ def density(
     ]
     table = small_table(
         values.sparkSession,
-        usable,
-        "number int, grp string, size bigint, width double, grid array<double>",
+        [row[:4] for row in usable],
+        "number int, grp string, size bigint, width double",
     )
-    # one sum per grid point, next to each other: rows are not multiplied
-    def kernel(point: int) -> Column:
-        z = (F.col("value") - F.col("grid")[point]) / F.col("width")
-        return F.sum(F.exp(F.lit(-0.5) * z * z))
-
-    sums = (
-        values.join(F.broadcast(table), "grp")
-        .groupBy("number")
-        .agg(*(kernel(i).alias(f"t{i}") for i in range(GRID_POINTS)))
+    curves = {number: (width, np.array(points)) for number, _, _, width, points in usable}
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            where, cells = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for number in np.unique(where).tolist():
+                width, points = curves[number]
+                # equal numbers of a batch have the same bumps
+                seen, n = np.unique(cells[where == number], return_counts=True)
+                z = (points - seen[:, None]) / width
+                total = totals.setdefault(number, np.zeros(GRID_POINTS))
+                total += n @ np.exp(-0.5 * z * z)
+        rows = [
+            {"number": number, "point": i, "x": float(curves[number][1][i]), "total": float(t)}
+            for number, total in totals.items()
+            for i, t in enumerate(total)
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema=_SUMS)
+
+    numbered = values.where(F.col("value").isNotNull()).join(F.broadcast(table), "grp")
+    kernels = (
+        numbered.select("number", F.col("value").cast("double"))
+        .mapInArrow(add_up, "number int, point int, x double, total double")
+        .groupBy("number", "point", "x")
+        .agg(F.sum("total").alias("total"))
     )
-    totals = F.array(*(f"t{i}" for i in range(GRID_POINTS)))
-    kernels = sums.select("number", F.posexplode(totals).alias("point", "total"))
     scale = F.col("size") * F.col("width") * F.lit(math.sqrt(2 * math.pi))
     return kernels.join(F.broadcast(table), "number").select(
-        "grp",
-        "point",
-        F.element_at("grid", F.col("point") + 1).alias("x"),
-        (F.col("total") / scale).alias("density"),
+        "grp", "point", "x", (F.col("total") / scale).alias("density")
     )
