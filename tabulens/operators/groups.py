@@ -9,28 +9,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabulens.functions.numbers import rounded
+from tabulens.functions.text import named
 from tabulens.operators.density import density
-from tabulens.operators.frequency import top_k, value_counts
+from tabulens.operators.frequency import BROADCAST_VALUES, text_key, top_k, value_counts
 from tabulens.operators.quantiles import DIRECT_ROWS, exact_quantiles
 from tabulens.session import pin, small_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+# a value with more than this share of the rows is joined by a broadcast
+HOT_SHARE = 0.001
+
+
 def drop_small_groups(
     df: DataFrame, column: str, min_rows: int = 5, min_groups: int = 2
 ) -> DataFrame:
-    """Rows whose category occurs at least ``min_rows`` times.
+    """Rows whose category occurs at least ``min_rows`` times; rows without one go.
 
     Nothing is left if fewer than ``min_groups`` categories qualify. Categories are counted
-    once; they may be many, so how to join them is left to the optimizer.
+    once, under keys of bounded length.
+    """
+    key = "_group"
+    while key in df.columns:
+        key += "_"
+    value = named(column)
+    if isinstance(df.select(value).schema[0].dataType, T.StringType):
+        longest = df.agg(F.max(F.length(value))).first()[0] or 0
+        value = text_key(value, longest)
+    keyed = df.withColumn(key, value)
+    counts = value_counts(keyed.where(F.col(key).isNotNull()).select(key), key)
+    kept = pin(counts.where(F.col("n") >= min_rows))
+    found, rows = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if found < min_groups:
+        return df.limit(0)
+    return members(keyed, kept, key, found, rows).select(*[named(name) for name in df.columns])
+
+
+def members(
+    df: DataFrame, kept: DataFrame, key: str, found: int, rows: int, most: int = BROADCAST_VALUES
+) -> DataFrame:
+    """Rows of ``df`` whose key is in ``kept`` (key, n), which has ``found`` keys of ``rows`` rows.
+
+    Few keys are broadcast. Of many, those with more than a thousandth of the rows are, fewer than
+    a thousand; the rows of the others are joined by a shuffle, in which no key is hot any more.
     """
-    kept = pin(value_counts(df, column).where(F.col("n") >= min_rows).select(column))
-    enough = kept.limit(min_groups).count() >= min_groups
-    return (df if enough else df.limit(0)).join(kept, column, "left_semi").select(*df.columns)
+    if found <= most:
+        return df.join(F.broadcast(kept.select(key)), key, "left_semi")
+    is_hot = F.col("n") > rows * HOT_SHARE
+    hot = F.broadcast(kept.where(is_hot).select(key))
+    tail = kept.where(~is_hot).select(key)
+    return df.join(hot, key, "left_semi").unionByName(
+        df.join(hot, key, "left_anti").join(tail.hint("merge"), key, "left_semi")
+    )
 
 
 def top_groups(values: DataFrame, k: int, min_rows: int = 1, column: str = "grp") -> DataFrame:

@@ -79,6 +79,35 @@ def test_box_of_a_hot_group(skewed):
     assert plain == narrowed and plain["hot"]["median"] == 14998.5
 
 
+def test_members_of_many_groups(skewed):
+    """The hot group is not shuffled, and the rows are those of a plain join."""
+    keyed = skewed.withColumn("k", F.when(F.col("g") == "hot", "hot").otherwise((F.col("id") % 7000).cast("string")))
+    kept = value_counts(keyed, "k").where("n >= 3")
+    found, rows = kept.count(), kept.agg(F.sum("n")).first()[0]
+    plain = sorted(keyed.join(kept, "k", "left_semi").select("id").collect())
+    few = groups.members(keyed, kept, "k", found, rows)
+    many = groups.members(keyed, kept, "k", found, rows, most=100)
+    assert sorted(few.select("id").collect()) == plain
+    assert sorted(many.select("id").collect()) == plain and 10_000 < len(plain) < 30_000
+    text = plan(many)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+    # of the table, only what is left of the tail is shuffled
+    by_key = many.where("k <> 'hot'").groupBy("k").count()
+    assert by_key.agg(F.max("count")).first()[0] <= 30_000 * groups.HOT_SHARE
+
+
+@pytest.mark.parametrize("length", [3, 60])
+def test_small_groups_of_long_names(spark, length):
+    rows = [("a" * length, 1)] * 5 + [("b" * length, 2)] * 6 + [("c" * length, 3)] * 4 + [(None, 4)] * 9
+    df = spark.createDataFrame(rows, "`_group` string, `a.b` int")
+    got = groups.drop_small_groups(df, "_group")
+    assert got.columns == df.columns
+    assert sorted(r["a.b"] for r in got.collect()) == [1] * 5 + [2] * 6
+    assert groups.drop_small_groups(df, "_group", min_groups=3).count() == 0
+    assert groups.drop_small_groups(df, "a.b").count() == 20
+    assert groups.drop_small_groups(df.where("false"), "_group").count() == 0
+
+
 def test_row_order_does_not_depend_on_the_split(skewed):
     one = {r["id"]: r["_rid"] for r in with_ordinal(skewed.coalesce(1), ["v", "id"]).collect()}
     many = {r["id"]: r["_rid"] for r in with_ordinal(skewed.repartition(13), ["v", "id"]).collect()}
