@@ -17,8 +17,22 @@ def sample_rows(df: DataFrame, key: Sequence[str], rows: int = SAMPLE_ROWS) -> D
     Every task keeps only its own ``rows`` best, so nothing but the sample is moved. The
     same rows are drawn however the data is split.
     """
-    text = F.concat_ws("|", F.lit(str(SEED)), *[F.col(k).cast("string") for k in key])
-    return df.orderBy(F.md5(text), *key).limit(rows)
+    return df.orderBy(digest([F.col(k) for k in key]), *key).limit(rows)
+
+
+def digest(key: Sequence[Column]) -> Column:
+    """The keyed digest of a row, 32 hexadecimal digits; the smallest make the sample."""
+    return F.md5(F.concat_ws("|", F.lit(str(SEED)), *[k.cast("string") for k in key]))
+
+
+def smallest_share(df: DataFrame, key: Sequence[Column], share: float) -> DataFrame:
+    """The rows whose digest is in the lowest ``share`` of all digests.
+
+    They hold every sample of fewer rows than there are of them.
+    """
+    if share >= 1:
+        return df
+    return df.where(digest(key) < F.lit(f"{int(share * 16**8):08x}"))
 
 
 def scatter_outliers(points: DataFrame, key: Sequence[str], limit: int = OUTLIER_POINTS) -> DataFrame:

@@ -32,7 +32,7 @@ from tabulens.operators.groups import (
 )
 from tabulens.operators.ordinal import every_nth, key_names, order_keys, with_ordinal
 from tabulens.operators.quantiles import values_at_ranks
-from tabulens.operators.sampling import SAMPLE_ROWS, sample_rows, scatter_outliers
+from tabulens.operators.sampling import SAMPLE_ROWS, sample_rows, scatter_outliers, smallest_share
 from tabulens.plans.choose import ALTERNATIVES, choose_charts, choose_pair_charts
 from tabulens.plans.profile import Metrics, profile_frame
 from tabulens.plans.types import ColumnType
@@ -226,8 +226,64 @@ def scatter_data(
     """
     if order_by:
         return sample_rows(points(df, x, y, order_by), key_names(order_by), SAMPLE_ROWS)
-    placed = points(df, x, y).withColumn("_place", F.monotonically_increasing_id())
-    return sample_rows(placed, ["_place"], SAMPLE_ROWS).select("x", "y")
+    drawn = points(_placed(df), x, y, [PLACE])
+    return sample_rows(drawn, key_names([PLACE]), SAMPLE_ROWS).select("x", "y")
+
+
+PLACE = "_place_in_reading"
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    if PLACE in df.columns:
+        return df
+    return df.withColumn(PLACE, F.monotonically_increasing_id())
+
+
+# rows that the shared sample should hold of each pair, and the least share of complete rows that
+# a pair needs to take part: the sample has 100 times as many rows at most
+SHARED_ROWS, SHARED_COMPLETE = 3200, 0.01
+
+
+class SharedSample:
+    """The rows that the samples of all scatter charts come from, drawn in one scan.
+
+    A row has one digest whatever the pair. The rows with the lowest digests are therefore written
+    once, enough of them for each pair, and a chart picks its 600 smallest among them: the same
+    rows as from the whole table. Pairs for which they do not suffice, as few rows have both
+    values or many share an order key, are drawn from the table.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame,
+        pairs: Mapping[tuple[str, str], tuple[ColumnType, ColumnType, int]],
+        order_by: Sequence[str] = (),
+    ) -> None:
+        """``pairs`` maps the names of two columns to them and their number of complete rows."""
+        self.df, self.order_by = df, tuple(order_by)
+        enough = {k: p for k, p in pairs.items() if p[2] >= SHARED_COMPLETE * p[0].total}
+        # alone, a pair is drawn just as well from the table
+        self.pairs = enough if len(enough) > 1 else {}
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        names = [c.name for x, y, _ in self.pairs.values() for c in (x, y)]
+        df = self.df if self.order_by else _placed(self.df)
+        key = list(self.order_by) or [PLACE]
+        share = SHARED_ROWS / max(1, min(n for _, _, n in self.pairs.values()))
+        drawn = smallest_share(df, [named(k) for k in key], share)
+        return pin(drawn.select(*[named(n) for n in dict.fromkeys([*names, *key])]))
+
+    @cached_property
+    def held(self) -> set[tuple[str, str]]:
+        """The pairs whose whole sample is among the rows."""
+        sampled = [(x, y) for x, y, _ in self.pairs.values()]
+        found = zip(self.pairs.items(), _complete_rows(self.rows, sampled, self.rows.count()))
+        return {key for (key, (_, _, n)), got in found if got >= min(n, SAMPLE_ROWS)}
+
+    def source(self, x: ColumnType, y: ColumnType) -> DataFrame:
+        key = (x.name, y.name)
+        return self.rows if key in self.pairs and key in self.held else self.df
 
 
 def scatter_outlier_data(
@@ -400,11 +456,17 @@ def report_charts(
     chosen = choose_pair_charts(prof, pairs).where(F.col("keep") & F.col("built").isNotNull())
     rows = chosen.orderBy("x_position", "y_position").collect()
     complete = _complete_rows(df, [(by_name[r["col_x"]], by_name[r["col_y"]]) for r in rows])
+    scatters = {
+        (row["col_x"], row["col_y"]): (by_name[row["col_x"]], by_name[row["col_y"]], n)
+        for row, n in zip(rows, complete)
+        if row["roles"] == "numbers" and row["built"] != "line" and n >= PAIR_ROWS
+    }
+    sample = SharedSample(df, scatters, order_by)
     for row, n in zip(rows, complete):
         x, y = by_name[row["col_x"]], by_name[row["col_y"]]
         least = DATE_PAIR_ROWS if "date" in (x.kind, y.kind) else PAIR_ROWS
         if n >= least:
-            chart = _pair_chart(df, x, y, row, order_by)
+            chart = _pair_chart(df, x, y, row, order_by, sample)
             charts[chart.key] = chart
     numeric = [c for c in types if c.kind == "numeric"]
     if len(numeric) > 1:
@@ -422,10 +484,12 @@ def report_charts(
 
 
 def _complete_rows(
-    df: DataFrame, pairs: Sequence[tuple[ColumnType, ColumnType]]
+    df: DataFrame, pairs: Sequence[tuple[ColumnType, ColumnType]], total: int | None = None
 ) -> list[int]:
     """Rows with both values, per pair, as the charts see them: NaN and unread text are gaps.
 
+    ``total`` are the rows of ``df`` where it is only a part of the table.
+
     Only columns with gaps are looked at together: each task multiplies its 0/1 matrix of present
     values with itself, and the rows of the products are added up.
     """
@@ -450,8 +514,11 @@ def _complete_rows(
                 row = both.get(place[x.name])
                 counts[x.name, y.name] = row[f"n{place[y.name]}"] if row else 0
             else:
-                counts[x.name, y.name] = alone.get(x.name, alone.get(y.name, x.total))
-    return [counts.get((x.name, y.name), x.total) for x, y in pairs]
+                rows = x.total if total is None else total
+                counts[x.name, y.name] = alone.get(x.name, alone.get(y.name, rows))
+    return [
+        counts.get((x.name, y.name), x.total if total is None else total) for x, y in pairs
+    ]
 
 
 def _family_has_nan(column: ColumnType) -> bool:
@@ -540,12 +607,17 @@ def _column_chart(
 
 
 def _pair_chart(
-    df: DataFrame, x: ColumnType, y: ColumnType, row, order_by: Sequence[str]
+    df: DataFrame,
+    x: ColumnType,
+    y: ColumnType,
+    row,
+    order_by: Sequence[str],
+    sample: SharedSample,
 ) -> Chart:
     roles, built = row["roles"], row["built"]
     category, number = (y, x) if roles == "number_category" else (x, y)
     kind = roles if roles in ("date", "numbers", "categories") else "grouped"
-    chart = _build_pair(df, x, y, category, number, kind, built, order_by, GROUP_ROWS)
+    chart = _build_pair(df, x, y, category, number, kind, built, order_by, GROUP_ROWS, sample)
     chart.key = f"{row['chart']}_{x.name}__{y.name}"
     chart.chosen = row["chart"]
     chart.alternatives = tuple(row["alternatives"])
@@ -564,6 +636,7 @@ def _build_pair(
     built: str,
     order_by: Sequence[str],
     min_rows: int,
+    sample: SharedSample | None = None,
 ) -> Chart:
     parts: dict[str, Callable[[], DataFrame]] = {}
     first, second = x.name, y.name
@@ -584,11 +657,14 @@ def _build_pair(
     elif kind == "numbers":
         title = f"{x.name} vs {y.name}"
 
+        def source() -> DataFrame:
+            return sample.source(x, y) if sample else df
+
         def build() -> DataFrame:
-            return scatter_data(df, x, y, order_by).select("x", "y")
+            return scatter_data(source(), x, y, order_by).select("x", "y")
 
-        parts["trendline"] = lambda: line_fit(scatter_data(df, x, y, order_by))
-        parts["outliers"] = lambda: scatter_outlier_data(df, x, y, order_by)
+        parts["trendline"] = lambda: line_fit(scatter_data(source(), x, y, order_by))
+        parts["outliers"] = lambda: scatter_outlier_data(source(), x, y, order_by)
     elif kind == "categories":
         if built == "heatmap":
             title += " — Heatmap"

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 import tabulens
 from tabulens.operators.sampling import SAMPLE_ROWS
@@ -217,3 +218,56 @@ def test_complete_rows_see_nan_as_a_gap(spark):
     )
     x, y, c = detect_types(df)
     assert charts._complete_rows(df, [(x, y), (x, c), (y, c)]) == [1, 2, 1]
+
+
+@pytest.fixture(scope="module")
+def many_numbers(spark):
+    u = [F.rand(seed) for seed in range(4)]
+    return spark.range(0, 20_000, 1, 6).select(
+        "id", (u[0] * 9).alias("a"), (F.sqrt(u[1]) + F.col("id") / 9000).alias("b.c"),
+        F.when(u[2] < 0.3, u[2] * 50 + F.col("id") / 700).alias("gaps"),
+        F.when(F.col("id") % 1009 == 0, u[3]).alias("rare"), F.lit("same").alias("tied"),
+    )
+
+
+@pytest.mark.parametrize("order_by", [["id"], ["tied"], ["tied", "id"], []])
+def test_scatters_share_one_sample(many_numbers, order_by):
+    """Charts draw from the shared rows what they would draw from the table, or from the table."""
+    from tabulens.plans import charts
+
+    by_name = {c.name: c for c in detect_types(many_numbers, order_by)}
+    names = [("a", "b.c"), ("a", "gaps"), ("gaps", "b.c"), ("a", "rare")]
+    pairs = [(by_name[x], by_name[y]) for x, y in names]
+    complete = charts._complete_rows(many_numbers, pairs)
+    assert complete[0] == 20_000 and 5500 < complete[1] < 6500 and complete[3] == 20
+    sample = charts.SharedSample(
+        many_numbers, {k: (*p, n) for k, p, n in zip(names, pairs, complete)}, order_by
+    )
+    for key, (x, y) in zip(names, pairs):
+        got = charts.scatter_data(sample.source(x, y), x, y, order_by).select("x", "y").collect()
+        assert len(got) == min(600, complete[names.index(key)])
+        if order_by != ["tied"]:  # ties leave open which rows are drawn
+            want = charts.scatter_data(many_numbers, x, y, order_by).select("x", "y").collect()
+            assert sorted(got) == sorted(want)
+    if order_by != ["tied"]:
+        assert sample.rows.count() < 16_000 and sample.held == set(names[:3])
+    assert sample.source(*pairs[3]) is many_numbers
+
+
+def test_a_report_draws_once(spark, monkeypatch):
+    from tabulens.operators import sampling
+    from tabulens.plans import charts
+
+    alike = [(F.rand(i) + F.col("id") / 20_000).alias(f"v{i}") for i in range(3)]
+    df = spark.range(0, 20_000, 1, 6).select("id", *alike)
+    report = tabulens.full_report(df, order_by=["id"])
+    scatters = {k: c for k, c in report.charts.items() if c.built == "scatter"}
+    drawn = []
+    plain = sampling.smallest_share
+    monkeypatch.setattr(charts, "smallest_share", lambda *a: (drawn.append(a), plain(*a))[1])
+    scanned = [c.frame._jdf.queryExecution().optimizedPlan().toString() for c in scatters.values()]
+    assert len(scatters) > 1 and len(drawn) == 1
+    assert all("Range" not in plan for plan in scanned)
+    chart = next(iter(scatters.values()))
+    assert chart.part("outliers").count() >= 0 and chart.part("trendline").count() == 1
+    assert len(drawn) == 1
