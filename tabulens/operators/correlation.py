@@ -18,7 +18,14 @@ MOST_SUMS = 120
 # A spread this small next to the values' distance from the centre is rounding noise.
 NOISE = 1e-12
 
+# Below this, the distance eats up digits of the spread, and the pair gets a centre of its own.
+NEAR = 1e-6
+
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+PAIR_SUMS = ("pos_a", "pos_b", *SUMS)
+PAIR_SCHEMA = (
+    "pos_a int, pos_b int, n bigint, sx double, sy double, sxx double, syy double, sxy double"
+)
 
 
 def correlation_pairs(
@@ -30,7 +37,8 @@ def correlation_pairs(
 
     ``r`` uses the rows where both values are present; it is NULL for fewer than two rows
     or a constant side. One scan finds the means, a second one the sums around them, and
-    each task sends one row per pair at most.
+    each task sends one row per pair at most. Where gaps leave a pair only rows far from the means
+    of its columns, a third scan sums these pairs around their own.
     """
     positions = sorted(values)
     if len(positions) < 2:
@@ -48,9 +56,25 @@ def correlation_pairs(
         sums = _sums_by_expression(centred, positions, complete)
     else:
         sums = _sums_by_block(centred, positions)
+    found = {(row["pos_a"], row["pos_b"]): tuple(row) for row in sums.select(*PAIR_SUMS).collect()}
+    means = {pos: facts[f"mean{pos}"] or 0.0 for pos in positions}
+    far = {
+        (a, b): (means[a] + sx / n, means[b] + sy / n)
+        for a, b, n, sx, sy, sxx, syy, _ in found.values()
+        if not {a, b} <= complete and n > 1 and (_is_far(n, sx, sxx) or _is_far(n, sy, syy))
+    }
+    if far:
+        again = _sums_around(df, values, far).select(*PAIR_SUMS)
+        found |= {(row["pos_a"], row["pos_b"]): tuple(row) for row in again.collect()}
+    sums = small_table(df.sparkSession, found.values(), PAIR_SCHEMA)
     return sums.select("pos_a", "pos_b", _pearson().alias("r"), "n")
 
 
+def _is_far(n: int, s: float, ss: float) -> bool:
+    """Whether the rows of a pair lie far from the centre they are summed around."""
+    return n * ss - s * s <= NEAR * n * ss and s != 0
+
+
 def _number_of_sums(columns: int, complete: int) -> int:
     pairs = columns * (columns - 1) // 2
     shared = complete * (complete - 1) // 2
@@ -128,8 +152,37 @@ def _sums_by_block(centred: DataFrame, positions: Sequence[int]) -> DataFrame:
             arrays[:2] = [place.astype("int32") for place in arrays[:2]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
-    schema = "pos_a int, pos_b int, n long, sx double, sy double, sxx double, syy double, sxy double"
-    partial = centred.mapInArrow(multiply, schema)
+    partial = centred.mapInArrow(multiply, PAIR_SCHEMA)
+    return partial.groupBy("pos_a", "pos_b").agg(*[F.sum(name).alias(name) for name in SUMS])
+
+
+def _sums_around(
+    df: DataFrame,
+    values: Mapping[int, Column],
+    centres: Mapping[tuple[int, int], tuple[float, float]],
+) -> DataFrame:
+    """The same sums for some pairs, each around centres of its own."""
+    positions = sorted({pos for pair in centres for pos in pair})
+    wide = df.select(*[values[pos].cast("double").alias(str(pos)) for pos in positions])
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {pair: np.zeros(6) for pair in centres}
+        for batch in batches:
+            cells = {
+                pos: batch.column(i).to_numpy(zero_copy_only=False)
+                for i, pos in enumerate(positions)
+            }
+            for (a, b), (x0, y0) in centres.items():
+                x, y = cells[a] - x0, cells[b] - y0
+                both = ~(np.isnan(x) | np.isnan(y))
+                x, y = x[both], y[both]
+                totals[a, b] += [len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y]
+        rows = [(*pair, *total) for pair, total in totals.items()]
+        arrays = [pa.array(c).cast(kind) for c, kind in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=list(PAIR_SUMS))
+
+    partial = wide.mapInArrow(add, PAIR_SCHEMA)
     return partial.groupBy("pos_a", "pos_b").agg(*[F.sum(name).alias(name) for name in SUMS])
 
 

@@ -300,6 +300,21 @@ def test_correlations_are_pairwise_complete(spark, most_sums):
     assert all(found[pair]["r"] is None for pair in ((0, 2), (1, 2), (2, 3)))
 
 
+@pytest.mark.parametrize("most_sums", [1000, 0])
+def test_correlations_of_rows_far_from_the_means(spark, most_sums):
+    """Few rows share a value, and these lie far from the mean of one column."""
+    rng = random.Random(8)
+    rows = [(float(i % 3 + 7), rng.random(), 5.0) for i in range(300)]
+    rows += [(1e8 + i, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(4)
+    values = {i: F.col(c) for i, c in enumerate("abc")}
+    found = {(r["pos_a"], r["pos_b"]): r for r in correlation_pairs(df, values, most_sums).collect()}
+    want = np.corrcoef(*np.array([row[:2] for row in rows[:300]]).T)[0, 1]
+    assert found[0, 1]["r"] == pytest.approx(want, abs=1e-6)
+    assert found[0, 1]["n"] == 300
+    assert found[0, 2]["r"] is None and found[1, 2]["r"] is None
+
+
 def test_line_fit(spark):
     points = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (3.0, 7.0)], "x double, y double")
     row = line_fit(points).first()
