@@ -4,13 +4,14 @@ Groups up to ``DIRECT_ROWS`` rows are counted per value, and a running count giv
 ranks. Larger ones are narrowed first: a sketch proposes edges around the wanted ranks, each row
 finds its place between the sorted edges by one binary search, the counts between the edges say
 where the ranks are, and this repeats until such a gap is small enough to be sorted. Only sketches
-and counts are shuffled then; the column itself is not, and no row is copied for a rank.
+and counts are shuffled then; the column itself is not, and no row is copied for a rank. Columns of
+a table are read side by side in Arrow batches, their cells never lined up one by one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,9 @@ DIRECT_ROWS = 1_000_000
 GRID = 1024
 INFINITY = float("inf")
 SKETCH_ACCURACY = 10_000
+# A task sorts the rows of a bracket in pieces of this many, and of a large bracket sends every
+# THIN-th on to the sketch: ranks are then off by 1 / 1024 at most, as they are between grid points.
+PIECE, THIN = 1 << 16, 64
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,46 @@ class Bracket:
     ranks: tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Rows, and how the values of each position are read from a batch of some of its columns."""
+
+    rows: Callable[[Sequence[int]], DataFrame]
+    read: Callable[[Sequence[int], pa.RecordBatch], Iterable[tuple[int, np.ndarray]]]
+
+
+def long_cells(long: DataFrame) -> Cells:
+    """Rows (pos, value)."""
+
+    def rows(positions: Sequence[int]) -> DataFrame:
+        own = long.where(F.col("pos").isin(list(positions)))
+        return own.select("pos", F.col("value").cast("double"))
+
+    def read(
+        positions: Sequence[int], batch: pa.RecordBatch
+    ) -> Iterator[tuple[int, np.ndarray]]:
+        where, values = _columns(batch)
+        for pos in positions:
+            yield pos, values[where == pos]
+
+    return Cells(rows, read)
+
+
+def column_cells(df: DataFrame, values: Mapping[int, Column]) -> Cells:
+    """Columns side by side; NULL is no value."""
+
+    def rows(positions: Sequence[int]) -> DataFrame:
+        return df.select(*[values[pos].cast("double").alias(str(pos)) for pos in positions])
+
+    def read(
+        positions: Sequence[int], batch: pa.RecordBatch
+    ) -> Iterator[tuple[int, np.ndarray]]:
+        for i, pos in enumerate(positions):
+            yield pos, batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+
+    return Cells(rows, read)
+
+
 def exact_quantiles(
     long: DataFrame,
     probabilities: Sequence[float],
@@ -59,18 +103,35 @@ def exact_quantiles(
     )
     if not large:
         return direct
-    at_rank = values_at_ranks(long, _ranks(probabilities, large), large, direct_rows)
-    rows = []
-    for pos, n in large.items():
-        quantiles = []
+    rows = _narrowed(long_cells(long), probabilities, large, direct_rows).items()
+    narrowed = small_table(long.sparkSession, rows, "pos int, q array<double>")
+    return narrowed if not small else direct.unionByName(narrowed)
+
+
+def column_quantiles(
+    df: DataFrame,
+    values: Mapping[int, Column],
+    probabilities: Sequence[float],
+    sizes: Mapping[int, int],
+    direct_rows: int = DIRECT_ROWS,
+) -> dict[int, list[float]]:
+    """Quantiles of columns by position, however many rows each has; ``sizes`` as above."""
+    return _narrowed(column_cells(df, values), probabilities, sizes, direct_rows)
+
+
+def _narrowed(
+    cells: Cells, probabilities: Sequence[float], sizes: Mapping[int, int], direct_rows: int
+) -> dict[int, list[float]]:
+    at_rank = _values_at_ranks(cells, _ranks(probabilities, sizes), sizes, direct_rows)
+    out: dict[int, list[float]] = {}
+    for pos, n in sizes.items():
         for p in probabilities:
             place = p * (n - 1)
             lower = at_rank[pos, math.floor(place)]
             upper = at_rank[pos, math.ceil(place)]
-            quantiles.append(lower + (upper - lower) * (place - math.floor(place)))
-        rows.append((pos, quantiles))
-    narrowed = small_table(long.sparkSession, rows, "pos int, q array<double>")
-    return narrowed if not small else direct.unionByName(narrowed)
+            quantile = lower + (upper - lower) * (place - math.floor(place))
+            out.setdefault(pos, []).append(quantile)
+    return out
 
 
 def running_counts(counts: DataFrame, sizes: Mapping[int, int]) -> DataFrame:
@@ -113,7 +174,16 @@ def values_at_ranks(
     sizes: Mapping[int, int],
     direct_rows: int = DIRECT_ROWS,
 ) -> dict[tuple[int, int], float]:
-    """The values at the given 0-based ranks of each position's sorted rows."""
+    """The values at the given 0-based ranks of each position's sorted rows (pos, value)."""
+    return _values_at_ranks(long_cells(long), ranks, sizes, direct_rows)
+
+
+def _values_at_ranks(
+    cells: Cells,
+    ranks: Mapping[int, Sequence[int]],
+    sizes: Mapping[int, int],
+    direct_rows: int,
+) -> dict[tuple[int, int], float]:
     brackets = [
         Bracket(pos, -INFINITY, INFINITY, 0, sizes[pos], tuple(ranks[pos])) for pos in ranks
     ]
@@ -121,8 +191,8 @@ def values_at_ranks(
     while any(b.inside > direct_rows for b in brackets):
         wide = [b for b in brackets if b.inside > direct_rows]
         done = [b for b in brackets if b.inside <= direct_rows]
-        brackets = done + _confirm(long, _propose(long, wide), wide, found)
-    found.update(_read(long, brackets))
+        brackets = done + _confirm(cells, _propose(cells, wide), wide, found)
+    found.update(_read(cells, brackets))
     return found
 
 
@@ -138,41 +208,81 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "value"))
 
 
-def _inside(long: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
-    """(bracket, value) of the rows inside a bracket, each found by one binary search."""
-    if all(math.isinf(b.low) and math.isinf(b.high) for b in brackets):
-        numbers = small_table(
-            long.sparkSession, [(b.pos, i) for i, b in enumerate(brackets)], "pos int, bracket int"
-        )
-        whole = long.join(F.broadcast(numbers), "pos")
-        return whole.select("bracket", F.col("value").cast("double"))
+def _inside(
+    brackets: Sequence[Bracket], cells: Cells
+) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Reader of a batch: (brackets, values) inside them, each found by one binary search."""
     own = {
         pos: tuple(np.array(x) for x in zip(*sorted_own, strict=True))
         for pos, sorted_own in _by_position(brackets).items()
     }
+    read = cells.read
+
+    def inside(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for pos, v in read(list(own), batch):
+            lows, highs, numbers = own[pos]
+            at = np.searchsorted(lows, v, side="left") - 1
+            kept = (at >= 0) & (v < highs[at])
+            yield numbers[at[kept]].astype(np.int32), v[kept]
+
+    return inside
+
+
+def _tagged(cells: Cells, brackets: Sequence[Bracket]) -> DataFrame:
+    """(bracket, value) of the rows inside a bracket."""
+    inside = _inside(brackets, cells)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, values = _columns(batch)
-            for pos, (lows, highs, numbers) in own.items():
-                v = values[where == pos]
-                at = np.searchsorted(lows, v, side="left") - 1
-                kept = (at >= 0) & (v < highs[at])
+            for numbers, values in inside(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[at[kept]].astype(np.int32)), pa.array(v[kept])],
-                    names=["bracket", "value"],
+                    [pa.array(numbers), pa.array(values)], names=["bracket", "value"]
                 )
 
-    rows = long.where(F.col("pos").isin(list(own))).select("pos", F.col("value").cast("double"))
+    rows = cells.rows(list(_by_position(brackets)))
     return rows.mapInArrow(tag, "bracket int, value double")
 
 
-def _propose(long: DataFrame, brackets: Sequence[Bracket]) -> dict[int, np.ndarray]:
+def _thinned(cells: Cells, brackets: Sequence[Bracket]) -> DataFrame:
+    """(bracket, value) of the rows inside a bracket, evenly thinned in large ones."""
+    inside = _inside(brackets, cells)
+    steps = [max(1, min(THIN, b.inside // PIECE)) for b in brackets]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+
+        def piece(number: int) -> pa.RecordBatch:
+            step = steps[number]
+            values = np.concatenate(held.pop(number))
+            # a piece shorter than a step still sends one value
+            first = min(step // 2, (len(values) - 1) // 2)
+            values = np.sort(values)[first::step] if step > 1 else values
+            del size[number]
+            where = pa.array(np.full(len(values), number, np.int32))
+            return pa.RecordBatch.from_arrays([where, pa.array(values)], names=["bracket", "value"])
+
+        for batch in batches:
+            for numbers, values in inside(batch):
+                for number in np.unique(numbers).tolist():
+                    own = values[numbers == number]
+                    held.setdefault(number, []).append(own)
+                    size[number] = size.get(number, 0) + len(own)
+                    if size[number] >= PIECE:
+                        yield piece(number)
+        for number in list(held):
+            yield piece(number)
+
+    rows = cells.rows(list(_by_position(brackets)))
+    return rows.mapInArrow(thin, "bracket int, value double")
+
+
+def _propose(cells: Cells, brackets: Sequence[Bracket]) -> dict[int, np.ndarray]:
     """Edges around the wanted ranks of each position, from a sketch of each bracket."""
     grid = [i / GRID for i in range(GRID + 1)]
     sketches = {
         row["bracket"]: row["points"]
-        for row in _inside(long, brackets)
+        for row in _thinned(cells, brackets)
         .groupBy("bracket")
         .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("points"))
         .collect()
@@ -188,15 +298,15 @@ def _propose(long: DataFrame, brackets: Sequence[Bracket]) -> dict[int, np.ndarr
     return {pos: np.array(sorted(own)) for pos, own in edges.items()}
 
 
-def _slot_counts(long: DataFrame, edges: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
+def _slot_counts(cells: Cells, edges: Mapping[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Rows of each position below, on and between its edges: slot 2 i + 1 is edge i itself."""
+    read, positions = cells.read, list(edges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {pos: np.zeros(2 * len(e) + 1, np.int64) for pos, e in edges.items()}
         for batch in batches:
-            where, values = _columns(batch)
-            for pos, e in edges.items():
-                v = values[where == pos]
+            for pos, v in read(positions, batch):
+                e = edges[pos]
                 slot = np.searchsorted(e, v, side="left") + np.searchsorted(e, v, side="right")
                 totals[pos] += np.bincount(slot, minlength=2 * len(e) + 1)
         for pos, total in totals.items():
@@ -210,8 +320,7 @@ def _slot_counts(long: DataFrame, edges: Mapping[int, np.ndarray]) -> dict[int,
                 names=["pos", "slot", "n"],
             )
 
-    rows = long.where(F.col("pos").isin(list(edges))).select("pos", F.col("value").cast("double"))
-    summed = rows.mapInArrow(count, "pos int, slot int, n long").groupBy("pos", "slot").agg(
+    summed = cells.rows(positions).mapInArrow(count, "pos int, slot int, n long").groupBy("pos", "slot").agg(
         F.sum("n").alias("n")
     )
     out = {pos: np.zeros(2 * len(e) + 1, np.int64) for pos, e in edges.items()}
@@ -221,7 +330,7 @@ def _slot_counts(long: DataFrame, edges: Mapping[int, np.ndarray]) -> dict[int,
 
 
 def _confirm(
-    long: DataFrame,
+    cells: Cells,
     edges: Mapping[int, np.ndarray],
     parents: Sequence[Bracket],
     found: dict[tuple[int, int], float],
@@ -231,7 +340,7 @@ def _confirm(
     Ranks that fall on an edge are added to ``found``: an edge may be one value with a third of all
     rows. The others get the gap between two edges that they are in.
     """
-    counts = _slot_counts(long, edges)
+    counts = _slot_counts(cells, edges)
     wanted: dict[tuple[int, int], list[int]] = {}
     for parent in parents:
         ends = np.cumsum(counts[parent.pos])
@@ -250,11 +359,11 @@ def _confirm(
     return out
 
 
-def _read(long: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple[int, int], float]:
+def _read(cells: Cells, brackets: Sequence[Bracket]) -> dict[tuple[int, int], float]:
     """Sort the rows left in each bracket and read the values at the wanted ranks."""
     if not brackets:
         return {}
-    rows = _inside(long, brackets)
+    rows = _tagged(cells, brackets)
     order = Window.partitionBy("bracket").orderBy("value")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     places = {

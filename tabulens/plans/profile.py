@@ -29,7 +29,7 @@ from tabulens.operators.moments import text_lengths
 from tabulens.operators.ordinal import monotonic_flags
 from tabulens.operators.quantiles import (
     DIRECT_ROWS,
-    exact_quantiles,
+    column_quantiles,
     quantile_array,
     running_counts,
 )
@@ -140,7 +140,6 @@ def numeric_metrics(
     if not found:
         return {}
     numbers = {c.pos: c.number for c in columns if c.pos in found}
-    long = to_long(df, numbers)
     sizes = {pos: m["n_valid"] for pos, m in found.items()}
     counts = number_counts(df, numbers)
     if max(sizes.values()) <= direct_rows:
@@ -151,7 +150,8 @@ def numeric_metrics(
         )
     else:
         counted = _by_position(counts.groupBy("pos").agg(*mode_metrics()))
-        _merge(counted, _by_position(exact_quantiles(long, PROBABILITIES, sizes, direct_rows)))
+        quantiles = column_quantiles(df, numbers, PROBABILITIES, sizes, direct_rows)
+        _merge(counted, {pos: {"q": q} for pos, q in quantiles.items()})
     for pos, metrics in counted.items():
         found[pos].update(zip(QUANTILE_NAMES, metrics.pop("q")))
         found[pos].update(metrics)

@@ -33,7 +33,13 @@ from tabulens.operators.ordinal import (
     order_words,
     with_ordinal,
 )
-from tabulens.operators.quantiles import exact_quantiles
+from tabulens.operators.quantiles import (
+    Bracket,
+    _thinned,
+    column_cells,
+    column_quantiles,
+    exact_quantiles,
+)
 from tabulens.operators.sampling import sample_rows, scatter_outliers
 
 
@@ -281,6 +287,36 @@ def test_dates_fall_by_a_microsecond_between_partitions(spark):
     assert monotonic_flags(df, {0: F.col("t")}, ["k"]) == {0: (False, False)}
 
 
+def test_quantiles_of_columns_side_by_side(spark):
+    n = 300_000
+    df = spark.range(n).select(
+        (F.col("id") * 7919 % n).cast("double").alias("mixed"),
+        F.col("id").cast("double").alias("rising"),
+        F.when(F.col("id") % 3 == 0, 1e9).otherwise(F.sqrt("id")).alias("heavy"),
+        F.when(F.col("id") % 4 == 0, F.col("id") % 10).cast("double").alias("gaps"),
+    )
+    table = df.toPandas()
+    values = {i: F.col(c) for i, c in enumerate(df.columns)}
+    sizes = {i: int(table[c].count()) for i, c in enumerate(df.columns)}
+    for direct_rows in (1_000, 100_000, 1_000_000):
+        found = column_quantiles(df, values, QUANTILES, sizes, direct_rows)
+        for i, c in enumerate(df.columns):
+            want = np.quantile(table[c].dropna(), QUANTILES)
+            assert found[i] == pytest.approx(list(want), rel=1e-12), (c, direct_rows)
+
+
+def test_large_brackets_are_thinned_evenly(spark):
+    n = 1 << 20
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("v"))
+    bracket = Bracket(0, float("-inf"), float("inf"), 0, n, (0,))
+    rows = _thinned(column_cells(df, {0: F.col("v")}), [bracket])
+    assert "Generate" not in rows._jdf.queryExecution().toString()
+    sample = np.sort([r["value"] for r in rows.collect()])
+    assert len(sample) == pytest.approx(n / 16, rel=0.01)
+    grid = sample[np.linspace(0, len(sample) - 1, 65).astype(int)]
+    assert np.abs(grid / n - np.linspace(0, 1, 65)).max() < 1 / 1024
+
+
 @pytest.mark.parametrize("most_sums", [1000, 0])
 def test_correlations_are_pairwise_complete(spark, most_sums):
     rng = random.Random(7)
