@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulens.session import small_table
 
-# Up to this many sums fit one generated aggregate. Wider tables multiply blocks of rows as
-# matrices instead, so that they too are read once.
-MOST_SUMS = 120
+# Up to this many sums fit one generated aggregate; with many more it is no longer compiled. Wider
+# tables multiply blocks of rows as matrices instead, so that they too are read once.
+MOST_SUMS = 64
 
 # A spread this small next to the values' distance from the centre is rounding noise.
 NOISE = 1e-12

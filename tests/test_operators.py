@@ -336,6 +336,24 @@ def test_correlations_are_pairwise_complete(spark, most_sums):
     assert all(found[pair]["r"] is None for pair in ((0, 2), (1, 2), (2, 3)))
 
 
+def test_many_correlations_are_no_single_aggregate(spark, monkeypatch):
+    """A hundred sums in one aggregate are slower than matrix products."""
+    from tabulens.operators import correlation
+
+    taken = []
+    by_block = correlation._sums_by_block
+    monkeypatch.setattr(
+        correlation, "_sums_by_block", lambda *args: taken.append(1) or by_block(*args)
+    )
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(11)])
+    pairs = correlation_pairs(df, {i: F.col(f"c{i}") for i in range(11)}).collect()
+    table = df.toPandas().corr()
+    assert taken and len(pairs) == 55
+    for row in pairs:
+        want = table.iloc[row["pos_a"], row["pos_b"]]
+        assert row["r"] == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("most_sums", [1000, 0])
 def test_correlations_of_rows_far_from_the_means(spark, most_sums):
     """Few rows share a value, and these lie far from the mean of one column."""
