@@ -1,12 +1,13 @@
 """Near-duplicate operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulens.llm import clusters, line_dedup
 from tabulens.llm.bag_minhash import bags, dedup, near_classes, signatures
 from tabulens.llm.crowds import crowd_links, plan
-from tabulens.llm.graph import components
+from tabulens.llm.graph import Forest, components
 from tabulens.llm.line_dedup import dedup_lines
 from tabulens.llm.near_vectors import near_vectors, passes_around, passes_for
 from tabulens.llm.shingles import scramble
@@ -180,3 +181,37 @@ def test_passes_stay_where_a_crowd_costs_more():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     needed = np.where(np.arange(600) < 300, 40.0, 20.0)
     assert plan(x, needed, 10**9, 30, 0.9)[1:] == (40, [])
+
+
+def _tied(postings, threshold):
+    """Components of the ties that a task finds in packed postings, dealt in several batches."""
+    batches = []
+    for part in np.array_split(np.array(postings, np.int64), 7):
+        token, node, size, place = part.T.copy()
+        batches += line_dedup._packed(token, node, (size << 32) | place).to_pylist()
+    rows = pa.Table.from_pylist(sorted(batches, key=lambda row: row["bucket"]))
+    rows = rows.cast(pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("token", "node", "at"))]))
+    forest = Forest()
+    for batch in line_dedup._ties(iter(rows.to_batches(max_chunksize=3)), threshold):
+        for tie in batch.to_pylist():
+            forest.join(tie["a"], tie["b"])
+    return forest
+
+
+@pytest.mark.parametrize("held", [2_000_000, 40])
+def test_packed_postings_lose_no_candidate(monkeypatch, held):
+    """Long runs are thinned while they come, short ones compared pair by pair."""
+    monkeypatch.setattr(line_dedup, "RUN", 8)
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(-(2**63), 2**63, 60)
+    weights = np.r_[0.4, 0.2, np.full(58, 0.4 / 58)]
+    postings = [
+        (tokens[rng.choice(60, p=weights)], node, rng.integers(1, 60), 0) for node in range(600)
+    ]
+    forest = _tied(postings, 0.8)
+    for k, (token, node, size, place) in enumerate(postings):
+        for other, one, m, at in postings[:k]:
+            low, high = min(size, m), max(size, m)
+            if token == other and low >= 0.8 * high - 1e-9 and low >= np.ceil(0.8 / 1.8 * (low + high)):
+                assert forest.find(node) == forest.find(one)
