@@ -1,12 +1,14 @@
 """Profiles from mergeable sketches: one scan, and parts that add up without their data.
 
-``sketch`` returns one row per column whose fields can be merged: counts, moments, a KLL sketch of
-the numbers and one of the text lengths (ranks), a HyperLogLog sketch of the values (distinct
-values), and the most frequent short values. ``merge_sketches`` adds such rows up - of days,
-folders, or tables that no longer exist - and ``sketched_profile`` estimates the profile from them.
+``sketch`` returns one row per column whose fields can be merged: counts, moments, ranks of the
+numbers and of the text lengths, a HyperLogLog sketch of the values (distinct values), and the short
+values with their counts as long as they are fewer than 1000. ``merge_sketches`` adds such rows up -
+of days, folders, or tables that no longer exist - and ``sketched_profile`` estimates the profile
+from them. A task sorts each piece of a column once, in Arrow batches (see summaries.py); only
+distinct values and small rows leave it.
 
 Exact are all counts, mean, deviation, skewness, kurtosis, extremes, lengths, and everything about
-categories (a category has at most 100 values, far fewer than are tracked). Estimated are quantiles
+categories (a category has at most 100 values, far fewer than are listed). Estimated are quantiles
 (rank error below RANK_ERROR), distinct values (relative error below DISTINCT_ERROR, in 99 of 100
 columns), and what follows from them: outliers, entropy of numbers, discrete columns. Left NULL are
 the mode and what needs the order of rows or of days: monotonic, gaps, regularity.
@@ -19,12 +21,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulens.batching import batches
 from tabulens.functions.dates import whole_days
-from tabulens.functions.numbers import as_number, is_number_text
+from tabulens.functions.numbers import is_number_text
 from tabulens.functions.text import is_blank
+from tabulens.operators.summaries import (
+    BLANK,
+    ITEMS,
+    NUMERAL,
+    SHORT,
+    merged,
+    quantiles,
+    summaries,
+)
 from tabulens.plans.types import (
     CATEGORY_RATIO,
     CATEGORY_VALUES,
@@ -34,75 +45,52 @@ from tabulens.plans.types import (
     _family,
 )
 
-RANK_K, DISTINCT_BITS = 1000, 14
+DISTINCT_BITS = 14
 RANK_ERROR, DISTINCT_ERROR = 0.005, 0.03
-# values that are tracked by their counts, and the longest of them
-TRACKED, SHORT = 4096, 256
-LISTED = 1000
 PROBABILITIES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 BINS = 20
 GRID = 1000
+# groups in which the first step of a merge adds up
+PLACES = 64
 
 
-CELL = ("present", "number", "is_number", "stamp", "length", "blank", "value")
-
-
-def _cell(c: ColumnType) -> list[Column]:
-    """What a value of the column is to the aggregates."""
+def _cells(c: ColumnType) -> tuple[dict[str, Column], str | None]:
+    """What the summaries read of a column, and which of it is the value."""
     family = _family(c.dtype)
-    missing = F.lit(None)
-    number = as_number(c.column, c.dtype) if family in ("float", "number", "string") else missing
-    present = number.isNotNull() if family == "float" else c.column.isNotNull()
-    text = family in ("string", "bool")
-    stamp = missing
-    if family == "date" or c.date_format:
-        stamp = c.timestamp
-    value = missing if family == "nested" else c.text
     if family == "float":
-        value = number.cast("string")
-    numeral = is_number_text(c.column) if family == "string" else number.isNotNull()
-    return [
-        present,
-        number.cast("double"),
-        F.coalesce(numeral, F.lit(False)),
-        stamp.cast("timestamp_ntz"),
-        (F.length(c.text) if text else missing).cast("int"),
-        (is_blank(c.text) if text else missing).cast("boolean"),
-        value.cast("string"),
-    ]
+        return {"number": c.number}, "number"
+    if isinstance(c.dtype, T.DecimalType):
+        return {"number": c.number, "word": c.text}, "word"
+    if family == "number":
+        return {"whole": c.column.cast("long")}, "whole"
+    if family == "date":
+        return {"stamp": c.timestamp.cast("timestamp_ntz")}, "stamp"
+    if family == "nested":
+        return {"present": c.column.isNotNull()}, None
+    text = c.text
+    length = F.length(text)
+    numeral = is_number_text(c.column) if family == "string" else F.lit(True)
+    # every cell costs as much as a value to send: what a text is goes in one
+    bits = (length * 4).bitwiseOR(is_blank(text).cast("int") * BLANK)
+    cells = {
+        "number": c.number.cast("double"),
+        "mark": bits.bitwiseOR(numeral.cast("int") * NUMERAL),
+        "word": F.when(length > SHORT, F.hex(F.xxhash64(text))).otherwise(text),
+    }
+    if family == "string" and c.date_format:
+        cells["stamp"] = c.timestamp.cast("timestamp_ntz")
+    return cells, "word"
 
 
-def _aggregates() -> list[Column]:
-    number, length = F.col("number"), F.col("length").cast("double")
-    n = F.count("number")
-    spread = F.var_pop("number")
-    short = f"value IS NOT NULL AND length(value) <= {SHORT}"
-    return [
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("present").alias("present"),
-        F.count_if("is_number").alias("numbers"),
-        F.count("stamp").alias("dates"),
-        n.alias("n"),
-        F.coalesce(F.avg("number"), F.lit(0.0)).alias("mean"),
-        F.coalesce(n * spread, F.lit(0.0)).alias("m2"),
-        F.coalesce(F.skewness("number") * n * F.pow(spread, F.lit(1.5)), F.lit(0.0)).alias("m3"),
-        F.coalesce((F.kurtosis("number") + 3) * n * spread * spread, F.lit(0.0)).alias("m4"),
-        F.min("number").alias("min"),
-        F.max("number").alias("max"),
-        F.count_if(number == 0).alias("zeros"),
-        F.count_if(number < 0).alias("negatives"),
-        F.count_if(number == F.floor(number)).alias("integers"),
-        F.kll_sketch_agg_double(number, RANK_K).alias("ranks"),
-        F.hll_sketch_agg("value", DISTINCT_BITS).alias("distinct"),
-        F.expr(f"approx_top_k_accumulate(value, {TRACKED}) FILTER (WHERE {short})").alias("top"),
-        F.min("stamp").alias("first"),
-        F.max("stamp").alias("last"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("characters"),
-        F.min("length").alias("shortest"),
-        F.max("length").alias("longest"),
-        F.kll_sketch_agg_double(length, RANK_K).alias("lengths"),
-        F.count_if("blank").alias("blanks"),
-    ]
+def _as_text(columns: Sequence[ColumnType]) -> Column:
+    """The text of a value, from the column that its kind travels in."""
+    days = [c.pos for c in columns if isinstance(c.dtype, T.DateType)]
+    stamp = F.col("stamp").cast("string")
+    if days:
+        day = F.col("stamp").cast("date").cast("string")
+        stamp = F.when(F.col("position").isin(days), day).otherwise(stamp)
+    plain = [F.col("word"), F.col("whole").cast("string"), F.col("number").cast("string")]
+    return F.coalesce(*plain, stamp)
 
 
 def sketch(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
@@ -115,15 +103,19 @@ def sketch(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
         typed = [
             ColumnType(c.name, c.pos, c.dtype, date_format=formats.get(c.pos)) for c in batch
         ]
-        cells = [part for c in typed for part in (F.lit(c.pos), *_cell(c))]
-        long = df.select(F.stack(F.lit(len(typed)), *cells).alias("position", *CELL))
+        cells = {c.pos: _cells(c) for c in typed}
         names = F.create_map(*[F.lit(x) for c in typed for x in (c.pos, c.name)])
         kinds = F.create_map(*[F.lit(x) for c in typed for x in (c.pos, _family(c.dtype))])
         written = F.create_map(*[F.lit(x) for c in typed for x in (c.pos, c.date_format or "")])
+        found = summaries(
+            df,
+            {pos: own for pos, (own, _) in cells.items()},
+            {pos: value for pos, (_, value) in cells.items() if value is not None},
+            _as_text(typed),
+            F.hll_sketch_agg("text", DISTINCT_BITS),
+        )
         parts.append(
-            long.groupBy("position")
-            .agg(*_aggregates())
-            .select(
+            found.select(
                 names[F.col("position")].alias("column"),
                 kinds[F.col("position")].alias("family"),
                 written[F.col("position")].alias("written"),
@@ -136,36 +128,21 @@ def sketch(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
 def merge_sketches(*parts: DataFrame) -> DataFrame:
     """The sketch of all rows from the sketches of parts of them, column by column of a name."""
     rows = reduce(DataFrame.unionByName, parts)
-    own = Window.partitionBy("column")
-    n, all_rows = F.col("n"), F.sum("n").over(own)
-    mean = F.sum(n * F.col("mean")).over(own) / F.nullif(all_rows, F.lit(0))
-    d = F.coalesce(F.col("mean") - F.col("whole"), F.lit(0.0))
-    m2, m3 = F.col("m2"), F.col("m3")
-    moved = rows.withColumn("whole", F.coalesce(mean, F.lit(0.0)))
+    place = F.pmod(F.xxhash64("distinct"), F.lit(PLACES))
+    return merged(merged(rows, KEYS, *_alike(), place=place), KEYS, *_alike())
+
+
+KEYS = "column string, family string, written string, position int"
+
+
+def _alike() -> list[Column]:
     same = F.min("written") == F.max("written")
-    sums = ("total", "present", "numbers", "dates", "n", "zeros", "negatives", "integers")
-    return moved.groupBy("column").agg(
-        F.min("position").alias("position"),
-        F.when(F.min("family") == F.max("family"), F.min("family")).otherwise("string").alias("family"),
+    family = F.when(F.min("family") == F.max("family"), F.min("family")).otherwise("string")
+    return [
+        family.alias("family"),
         F.when(same, F.min("written")).otherwise("").alias("written"),
-        *[F.sum(c).alias(c) for c in sums],
-        F.first("whole").alias("mean"),
-        F.sum(m2 + n * d * d).alias("m2"),
-        F.sum(m3 + 3 * d * m2 + n * F.pow(d, F.lit(3))).alias("m3"),
-        F.sum(F.col("m4") + 4 * d * m3 + 6 * d * d * m2 + n * F.pow(d, F.lit(4))).alias("m4"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-        F.kll_merge_agg_double("ranks", RANK_K).alias("ranks"),
-        F.hll_union_agg("distinct").alias("distinct"),
-        F.expr(f"approx_top_k_combine(top, {TRACKED})").alias("top"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.sum("characters").alias("characters"),
-        F.min("shortest").alias("shortest"),
-        F.max("longest").alias("longest"),
-        F.kll_merge_agg_double("lengths", RANK_K).alias("lengths"),
-        F.sum("blanks").alias("blanks"),
-    )
+        F.min("position").alias("position"),
+    ]
 
 
 def _share_upto(point: Column) -> Column:
@@ -175,9 +152,8 @@ def _share_upto(point: Column) -> Column:
 
 def _estimates(rows: DataFrame) -> DataFrame:
     """The sketches read out: distinct values, items by count, quantiles, the type."""
-    items = F.expr(f"approx_top_k_estimate(top, {LISTED})")
     counted = F.array_sort(
-        items,
+        "items",
         lambda a, b: F.when(a["count"] > b["count"], -1)
         .when(a["count"] < b["count"], 1)
         .when(a["item"] < b["item"], -1)
@@ -186,7 +162,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
     )
     # all values are listed with exact counts if the counts add up to the rows
     listed = F.aggregate("items", F.lit(0).cast("long"), lambda total, x: total + x["count"])
-    complete = (F.size("items") < LISTED) & (listed == F.col("present"))
+    complete = F.col("listed") & (listed == F.col("present"))
     family, present = F.col("family"), F.col("present")
     is_text = family.isin("string", "bool")
     number = (
@@ -204,10 +180,11 @@ def _estimates(rows: DataFrame) -> DataFrame:
         .when(is_text & few, "categorical")
         .otherwise("text")
     )
-    wanted = F.array(*[F.lit(p) for p in PROBABILITIES])
-    fine = F.array(*[F.lit((i + 0.5) / GRID) for i in range(GRID)])
+    fine = [(i + 0.5) / GRID for i in range(GRID)]
+    # a sum of whole numbers has no error; a constant is its own mean
+    mean = F.when(F.col("min") < F.col("max"), F.col("sum") / F.col("n")).otherwise(F.col("mean"))
     return (
-        rows.withColumn("items", F.coalesce(counted, F.expr("array()").cast(_ITEMS)))
+        rows.withColumn("items", F.coalesce(counted, F.expr("array()").cast(ITEMS)))
         .withColumn(
             "u",
             F.when(complete, F.size("items").cast("long")).otherwise(
@@ -219,23 +196,18 @@ def _estimates(rows: DataFrame) -> DataFrame:
             "measured",
             (F.col("type") == "numeric") & (family != "bool") & (F.col("n") >= 2),
         )
-        .withColumn(
-            "q", F.when(F.col("measured"), F.kll_sketch_get_quantile_double(F.col("ranks"), wanted))
-        )
-        .withColumn(
-            "grid", F.when(F.col("measured"), F.kll_sketch_get_quantile_double(F.col("ranks"), fine))
-        )
+        .withColumn("mean", mean)
+        .withColumn("q", F.when(F.col("measured"), quantiles("ranks", PROBABILITIES)))
+        .withColumn("grid", F.when(F.col("measured"), quantiles("ranks", fine)))
     )
 
 
-_ITEMS = "array<struct<item:string,count:bigint>>"
-
-
 def sketched_profile(sketches: DataFrame) -> DataFrame:
     """The profile that the sketches give, in the columns of an exact one."""
     from tabulens.plans.profile import RAW_SCHEMA, _profile_columns
 
-    rows = _estimates(sketches)
+    keys = ("column", "family", "written", "position", "distinct", "items")
+    rows = _estimates(sketches.select(*keys, "state.*"))
     c = F.col
     n, spread = c("n"), c("m2") / c("n")
     low, high = c("q")[2], c("q")[4]
@@ -309,7 +281,7 @@ def sketched_profile(sketches: DataFrame) -> DataFrame:
         "avg_length": F.when(text, c("characters") / c("present")),
         "median_length": F.when(
             text,
-            F.kll_sketch_get_quantile_double(c("lengths"), F.lit(0.5)),
+            quantiles("lengths", (0.5,))[0],
         ),
         "max_length": F.when(text, c("longest")), "min_length": F.when(text, c("shortest")),
         "blank_count": F.when(text, c("blanks")),

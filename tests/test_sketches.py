@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 import tabulens
+from tabulens.operators.summaries import LEVEL, PIECE, Ranks
 from tabulens.plans.sketches import DISTINCT_ERROR, RANK_ERROR
 
 SAME = (
@@ -106,3 +108,66 @@ def test_many_distinct_values(spark):
 def test_no_rows(frame):
     rows = tabulens.profile(frame.where("false"), exact=False).collect()
     assert rows == [] or {r["type"] for r in rows} <= {"text", "nested"}
+
+
+def test_cells_are_not_lined_up(frame):
+    """A row is one row to the scan, however many columns it has."""
+    plan = tabulens.sketch(frame)._jdf.queryExecution().toString()
+    assert "Generate" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_zeros_are_one_value(spark):
+    df = spark.createDataFrame([(-0.0,), (0.0,), (1.0,), (None,)], "v double")
+    assert by_column(tabulens.profile(df, exact=False))["v"]["n_unique_vals"] == 2
+
+
+def test_texts_of_any_length(spark):
+    """Long texts are counted as values and not listed; counts of the others stay exact."""
+    texts = ["a", "a", "b", "x" * 256, "x" * 257, "y" * 5000, "y" * 5000, None, " "]
+    df = spark.createDataFrame([(t,) for t in texts * 30], "t string").repartition(3)
+    parts = [df.limit(0), df.where("t < 'b'"), df.where("t >= 'b' OR t IS NULL")]
+    for sketches in (tabulens.sketch(df), tabulens.merge_sketches(*map(tabulens.sketch, parts))):
+        row = by_column(tabulens.sketched_profile(sketches))["t"]
+        assert (row["type"], row["total"], row["missing"]) == ("categorical", 270, 30)
+        assert row["unique_count"] == 6
+        found = dict(zip(row["top_values"], row["top_counts"], strict=True))
+        assert found == {"a": 60, "b": 30, "x" * 256: 30, " ": 30}
+
+
+def test_days_and_decimals(spark):
+    df = spark.range(5000).selectExpr(
+        "date_add(DATE'2024-01-01', CAST(id % 300 AS int)) AS d",
+        "CAST(id % 70 / 4 AS decimal(9, 2)) AS m",
+        "id * 1000003 AS k",
+    )
+    got = by_column(tabulens.profile(df, exact=False))
+    assert (got["d"]["unique_dates"], got["m"]["n_unique_vals"]) == (300, 70)
+    assert got["m"]["max"] == 17.25
+    assert got["k"]["n_unique_vals"] == pytest.approx(5000, rel=DISTINCT_ERROR)
+
+
+def test_ranks_of_many_merged_parts():
+    """The error stays in its bound, however the rows are dealt and merged; no row is lost."""
+    draw = np.random.default_rng(5)
+    for values in (draw.normal(size=1_000_003), np.arange(700_001.0), draw.integers(0, 9, 400_000) * 1.0):
+        whole = Ranks((0,))
+        for i, part in enumerate(np.array_split(values, 61)):
+            own = Ranks((1, i))
+            for start in range(0, len(part), PIECE // 9):
+                own.add(np.sort(part[start : start + PIECE // 9]))
+            whole.merge(own)
+        assert sum(len(v) << i for i, v in enumerate(whole.levels)) == len(values)
+        assert all(len(v) < LEVEL for v in whole.levels)
+        wanted = np.linspace(0.01, 0.99, 99)
+        found = whole.quantiles(wanted)
+        ordered = np.sort(values)
+        below = np.searchsorted(ordered, found, "left") / len(values)
+        upto = np.searchsorted(ordered, found, "right") / len(values)
+        assert (below - RANK_ERROR <= wanted).all() and (upto + RANK_ERROR >= wanted).all()
+
+
+def test_ranks_of_few_rows_are_exact():
+    ranks = Ranks((0,))
+    ranks.add(np.arange(101.0))
+    assert ranks.quantiles([0.0, 0.5, 1.0]) == [0.0, 50.0, 100.0]
+    assert Ranks((0,)).quantiles([0.5]) is None
