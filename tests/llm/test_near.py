@@ -1,16 +1,20 @@
 """Near-duplicate operators against brute force."""
 
+import random
+from contextlib import ExitStack
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabulens.llm import clusters, line_dedup
+from tabulens.llm import clusters, graph, line_dedup
 from tabulens.llm.bag_minhash import bags, dedup, near_classes, signatures
 from tabulens.llm.crowds import crowd_links, plan
 from tabulens.llm.graph import Forest, components
 from tabulens.llm.line_dedup import dedup_lines
 from tabulens.llm.near_vectors import near_vectors, passes_around, passes_for
 from tabulens.llm.shingles import scramble
+from tabulens.llm.store import setting
 
 from . import brute
 from .conftest import edited, make_text
@@ -135,6 +139,37 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
 
 
+def test_tasks_of_components_follow_the_links(spark, monkeypatch):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    want = brute.components(range(400), pairs)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    many = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    context = spark.sparkContext
+    tracker = context.statusTracker()
+    for links, mean in ((1_000, 32), (10, 48)):  # stages that write nothing may have all 64
+        monkeypatch.setattr(graph, "LINKS", links)
+        group = f"components-{links}"
+        context.setJobGroup(group, group)
+        try:
+            with ExitStack() as stack:
+                for key, value in many.items():
+                    stack.enter_context(setting(spark, key, value))
+                got = {r.node: r.component for r in components(frame).collect()}
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
+        assert got == {x: want[x] for x in linked}
+        jobs = [tracker.getJobInfo(j) for j in sorted(tracker.getJobIdsForGroup(group))]
+        stages = sorted({s for j in jobs for s in j.stageIds})
+        ran = [x.numTasks for s in stages if (x := tracker.getStageInfo(s)) and x.numCompletedTasks]
+        assert ran and sum(ran) / len(ran) <= mean
+
+
 def test_no_row_functions_and_no_products(copies):
     plan = dedup_lines(copies)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
