@@ -13,7 +13,7 @@ from tabulens.llm.crowds import crowd_links, plan
 from tabulens.llm.graph import Forest, components
 from tabulens.llm.line_dedup import dedup_lines
 from tabulens.llm.near_vectors import near_vectors, passes_around, passes_for
-from tabulens.llm.shingles import scramble
+from tabulens.llm.shingles import scramble, shingle_hashes
 from tabulens.llm.store import setting
 
 from . import brute
@@ -250,3 +250,76 @@ def test_packed_postings_lose_no_candidate(monkeypatch, held):
             low, high = min(size, m), max(size, m)
             if token == other and low >= 0.8 * high - 1e-9 and low >= np.ceil(0.8 / 1.8 * (low + high)):
                 assert forest.find(node) == forest.find(one)
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_shingle_hashes_word_by_word(width):
+    rng = np.random.default_rng(width)
+    counts = rng.integers(0, 9, 40)
+    words = rng.integers(0, 2**63, counts.sum()).astype(np.uint64)
+    want, sizes = [], []
+    for own in np.split(words, np.cumsum(counts)[:-1]):
+        shingles = [own[k : k + width] for k in range(max(len(own) - width + 1, min(len(own), 1)))]
+        sizes.append(len(shingles))
+        for shingle in shingles:
+            value = np.zeros(1, np.uint64)
+            for k, word in enumerate(shingle):
+                value = scramble(value ^ word) + np.uint64(k + 1)
+            want.append(int(value[0]))
+    got, number = shingle_hashes(words, counts, width)
+    assert (got.tolist(), number.tolist()) == (want, sizes)
+
+
+def test_small_groups_are_compared_at_once():
+    rng = np.random.default_rng(4)
+    group = np.repeat(np.arange(30), rng.integers(1, 13, 30))
+    own = [set(rng.integers(0, 9, rng.integers(1, 7)).tolist()) for _ in group]
+    line = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    token = np.array([t for x in own for t in sorted(x)], np.uint64)
+    got = line_dedup._common_in_small(line, token, group, 12)
+    want = [
+        (a, b, len(own[a] & own[b]))
+        for a in range(len(own))
+        for b in range(a + 1, len(own))
+        if group[a] == group[b] and own[a] & own[b]
+    ]
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+@pytest.mark.parametrize("batch,rows", [(1, 1), (3, 4), (7, 5), (100, 6), (100, 1000)])
+def test_several_groups_are_whole_runs(batch, rows):
+    rng = np.random.default_rng(6)
+    keys = np.repeat(np.array([(c, i, 7) for c in range(6) for i in range(4)]), rng.integers(1, 6, 24), axis=0)
+    table = pa.table({k: keys[:, n] for n, k in enumerate(("cluster", "i", "j"))})
+    calls = []
+    list(clusters.several_groups(
+        iter(table.to_batches(max_chunksize=batch)), lambda t, starts: calls.append((t, starts)), rows
+    ))
+    runs = [t.slice(a, b - a).to_pylist() for t, s in calls for a, b in zip(s[:-1], s[1:], strict=True)]
+    assert [row for run in runs for row in run] == table.to_pylist()
+    assert len(runs) == 24 and all(row == run[0] for run in runs for row in run)
+    assert all(len(t) >= rows for t, _ in calls[:-1])
+
+
+def test_counts_of_cells_travel_packed():
+    """A task's counts are CELL_PARTS rows, not one for every cell it met."""
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 5, (3, 2**line_dedup.CELL_BITS))
+    packed = [{"cells": own.astype("<i8").tobytes()} for own in counts]
+    parts = list(line_dedup._cell_parts([pa.RecordBatch.from_pylist(packed)]))
+    assert sum(len(p) for p in parts) == 3 * line_dedup.CELL_PARTS
+    sums = pa.Table.from_batches(line_dedup._cell_sums(parts)).sort_by("part")
+    assert (np.frombuffer(b"".join(sums["counts"].to_pylist()), "<i8") == counts.sum(axis=0)).all()
+
+
+def test_lines_alone_are_not_looked_up(spark):
+    """A line that is its class, in no cluster, leaves after the classes are counted."""
+    rows = [(i, 1, 0, 100 + i, 7) for i in range(50)]
+    rows += [(60, 2, 1, 500, 7), (61, 2, 0, 500, 7), (61, 2, 0, 500, 7), (None, 3, 4, 501, 7)]
+    lines = spark.createDataFrame(rows, "id long, digest long, line int, h1 long, h2 long")
+    cluster = spark.createDataFrame([(100, 100), (101, 100), (501, 501)], "node long, component long")
+    got = [tuple(r) for r in line_dedup._places(lines, cluster.repartition(2)).select(
+        "id", "digest", "line", "h1", "h2", "component"
+    ).collect()]
+    want = [(*rows[0], 100), (*rows[1], 100), (*rows[53], 501)] + [(*r, None) for r in rows[50:53]]
+    assert sorted(got, key=str) == sorted(want, key=str)
