@@ -70,6 +70,46 @@ def test_line_dedup(spark, monkeypatch, block, run, small):
     assert got == want
 
 
+def test_texts_stay_where_they_are_in_several_rounds(spark, monkeypatch):
+    lines = [make_text(i, 30).replace("\n", " ") for i in range(20)]
+    texts = {i: "\n".join(edited(lines[(i + k) % 20], i, k) for k in range(3)) for i in range(40)}
+    want = brute.dedup_lines(texts)
+    frame = spark.createDataFrame(
+        [*texts.items(), *list(texts.items())[:5]], "doc_id long, text string"
+    ).repartition(4)
+    bytes_of_all = 40 * line_dedup.PACKED_ROW
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bytes_of_all // 4)
+    rounds = []
+    plain = line_dedup._pack_rounds
+    monkeypatch.setattr(
+        line_dedup, "_pack_rounds", lambda *a: (rounds.append(a[1]), plain(*a))[1]
+    )
+    frame = frame.localCheckpoint()
+    out = dedup_lines(frame)
+    assert len(rounds) == 2 and min(rounds) > 1
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 45
+    assert {r.doc_id: (r.text, r.n_removed, r.n_links) for r in rows} == want
+
+
+def test_packed_lines_of_documents():
+    rows = pa.table(
+        {
+            "key": pa.array([7, -3, 5]), "check": pa.array([1, 2, 3], pa.int32()),
+            "links": pa.array([0, 70_000, 2]),
+            "lines": pa.array([[], [300, 0], [1]], pa.list_(pa.int32())),
+        }
+    )
+    found = line_dedup.Packed.of(rows).find(np.array([5, 6, -3, 7, 7]), np.array([3, 3, 2, 1, 2]))
+    assert found.to_pylist() == [
+        {"links": 2, "lines": [1]}, None, {"links": 70_000, "lines": [300, 0]},
+        {"links": 0, "lines": []}, None,
+    ]
+    assert line_dedup.Packed.of(pa.concat_tables([rows, rows])) is None
+    assert line_dedup.Packed.of(rows.slice(0, 0)).find(np.array([5]), np.array([3])).to_pylist() == [None]
+
+
 def test_long_runs_of_postings_lose_nothing(spark, monkeypatch):
     # one base line and many variants of it: all share their common tokens
     monkeypatch.setattr(line_dedup, "RUN", 8)
