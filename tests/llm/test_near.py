@@ -12,7 +12,14 @@ from tabulens.llm.bag_minhash import bags, dedup, near_classes, signatures
 from tabulens.llm.crowds import crowd_links, plan
 from tabulens.llm.graph import Forest, components
 from tabulens.llm.line_dedup import dedup_lines
-from tabulens.llm.near_vectors import near_vectors, passes_around, passes_for
+from tabulens.llm import near_vectors as near_vectors_module
+from tabulens.llm.near_vectors import (
+    log_chances,
+    more_passes,
+    near_vectors,
+    passes_around,
+    passes_for,
+)
 from tabulens.llm.shingles import scramble, shingle_hashes
 from tabulens.llm.store import setting
 
@@ -166,6 +173,47 @@ def test_near_vectors_in_a_crowded_direction(spark):
     assert np.mean([got[int(i)] == 1 for i in alone]) >= 0.97
 
 
+def test_crowds_that_the_sample_misses_keep_their_links(spark, monkeypatch):
+    # 1,650 rows at a mutual cosine of 0.83, 150 pairs of them at 0.905; a sample of 8 sees no crowd
+    monkeypatch.setattr(near_vectors_module, "SAMPLE", 8)
+    draw = np.random.default_rng(21)
+    x = draw.standard_normal((6000, 128))
+    x[:1650, 0] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turned = x[1500:1650] - (x[1500:1650] * x[:150]).sum(axis=1)[:, None] * x[:150]
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    x[1500:1650] = 0.44 * x[:150] + np.sqrt(1 - 0.44**2) * turned
+    x[:1650] *= np.sqrt(0.17)
+    x[:1650, 0] = np.sqrt(0.83)
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"
+    ).repartition(4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    links = {r.vec_id: r.n_links for r in near_vectors(frame).collect()}
+    assert linked.sum() >= 300
+    assert sum(links.values()) >= 0.98 * linked.sum()
+
+
+def test_chances_of_a_sorted_run():
+    bits = np.array([0, 1, 2, 3, 1 << 62, 1 << 63], np.uint64).view(np.int64)
+    agree = np.full(6, 0.9)
+    signs = np.log1p(-np.exp(np.log(0.9) * np.arange(65)).clip(max=1 - 1e-12))
+    got = log_chances(bits, agree, 1, open_left=False, open_right=False)
+    # the first row beyond the window: 2, 3, 0 and 1 << 62, 1 and 1 << 63, 2, 3
+    assert got.tolist() == pytest.approx(signs[[63, 63, 63, 63, 2, 1]].tolist())
+    got = log_chances(bits, agree, 1, open_left=True, open_right=True)
+    assert got[[0, 5]].tolist() == pytest.approx(signs[[64, 64]].tolist())
+
+
+def test_more_passes_or_all_compared():
+    assert more_passes({}, 1000) == 0
+    assert more_passes({2: 511}, 1000) == 0
+    assert more_passes({2: 100_000}, 1000) == 2
+    assert more_passes({2: 100_000, 500: 300}, 1000) == 2
+
+
 def test_passes_grow_with_the_rows():
     counts = [passes_for(n, 0.9, 48, 0.02) for n in (10, 10**4, 10**6, 10**9)]
     assert counts == sorted(counts) and counts[0] < counts[-1]
